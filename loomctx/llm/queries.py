@@ -15,3 +15,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op1_minhash_dedup": op1_minhash_dedup}
 ORACLES: dict[str, str] = {}
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomctx.llm.pii import personal_data
+
+    return personal_data(tables(spark, sf_dir, "documents")).drop("redactions")
+
+
+QUERIES["op8_pii"] = op8_pii
