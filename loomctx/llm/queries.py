@@ -24,3 +24,18 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op8_pii"] = op8_pii
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomctx.llm.toxicity import toxicity
+
+    return toxicity(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomctx.llm.langid import identify
+
+    return identify(tables(spark, sf_dir, "documents"))
+
+
+QUERIES |= {"op5_toxicity": op5_toxicity, "op6_language_id": op6_language_id}
