@@ -8,14 +8,17 @@ How the work is spread:
 1. One pass over the texts makes, for each document, its set size, a 128-bit print of the set, 32 band keys of four
    MinHash samples each, and an odd sketch: a 512-bit map in which every (sample number, sample) toggles one bit.
 2. Documents with equal sets form a class, found by its print; only its smallest doc_id goes on.
-3. Members of a bucket (equal band key) are paired with the bucket's least id, never with each other. The population
-   count of the XOR of two odd sketches estimates the similarity; pairs far below the threshold go.
-4. Each document's best pair is confirmed on full sets and the classes are connected. What is left are pairs between
-   different components: the other pairs with a least id, and, in buckets that still hold several components, members
-   outside the bucket's largest component against the rest. These are confirmed too, so no link between components
-   that share a bucket is lost, and a group of copies yields a number of pairs linear in its size.
-
-A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32 = 5e-6; the sketch passes 0.25 below it.
+3. Members of a bucket (equal band key) are paired with one member, picked by a hash so that buckets of a group have
+   different ones. The population count of the XOR of two odd sketches estimates the similarity; pairs far below the
+   threshold go.
+4. Each document's best pair is confirmed on full sets and the classes are connected; then the best pair between
+   any two components. What is left are pairs between components that still differ: the other pairs with a bucket's
+   picked member, and, in buckets that still hold several components, members outside the bucket's largest component against the
+   rest. All of these are confirmed, so no link between components that share a bucket is lost, and a
+   group of copies, which one or two rounds connect, yields a number of pairs linear in its size.
+
+A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32 = 5e-6; the sketch passes 0.2 below it,
+more than four standard deviations of its estimate.
 """
 
 from __future__ import annotations
@@ -132,7 +135,7 @@ def most_bits(similarity: float) -> int:
     return math.ceil(BITS / 2 * (1 - math.exp(-2 * (2 * SAMPLES * (1 - similarity)) / BITS)))
 
 
-def near_duplicates(docs: DataFrame, threshold_pct: int = 75, sketch_margin: float = 0.25) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold_pct: int = 75, sketch_margin: float = 0.2) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are not read).
 
     Null and wordless texts have n_shingles 0 and are components of their own. Rows that repeat a doc_id are each
@@ -144,7 +147,7 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, sketch_margin: flo
     classes = some.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"))
     reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    leaders = banded.groupBy("band").agg(F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("leader"), F.count("*").alias("size")).where("size > 1")
     members = written(banded.join(leaders, "band").select("band", "doc_id", "leader"), "buckets")
     sketches = reps.select("doc_id", "sketch").dropDuplicates(["doc_id"])
     most = most_bits(threshold_pct / 100 - sketch_margin)
@@ -161,24 +164,28 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, sketch_margin: flo
         x, y = (sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "xy")
         return pairs.select("x", "y").join(x, "x").join(y, "y").mapInArrow(_confirm(threshold_pct), "x long, y long")
 
-    best = star.groupBy("x").agg(F.min_by("y", F.struct("bits", "y")).alias("y"))
-    linked = written(confirmed(best), "links")
-    first = written(components(linked), "components")
+    def labelled(rows: DataFrame, known: DataFrame, key: str, name: str) -> DataFrame:
+        return rows.join(known.select(F.col("id").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+
+    def open_pairs(known: DataFrame) -> DataFrame:
+        return labelled(labelled(star, known, "x", "cx"), known, "y", "cy").where("cx != cy")
 
-    def labelled(rows: DataFrame, key: str, name: str) -> DataFrame:
-        return rows.join(first.select(F.col("id").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
+    def edges(known: DataFrame) -> DataFrame:
+        return known.where("id != component").select(F.col("id").alias("x"), F.col("component").alias("y"))
+
+    best = star.groupBy("x").agg(F.min_by("y", F.struct("bits", "y")).alias("y"))
+    known = written(components(written(confirmed(best), "links")), "components")
+    between = open_pairs(known).groupBy(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).agg(F.min_by(F.struct("x", "y"), F.struct("bits", "x", "y")).alias("p")).select("p.x", "p.y")
+    known = written(components(edges(known).union(written(confirmed(between), "links"))), "components")
 
-    open_star = labelled(labelled(star.select("x", "y"), "x", "cx"), "y", "cy").where("cx != cy").select("x", "y")
-    tagged = labelled(members.select("band", "doc_id"), "doc_id", "c")
+    tagged = labelled(members.select("band", "doc_id"), known, "doc_id", "c")
     parts = tagged.groupBy("band", "c").agg(F.count("*").alias("n"))
     largest = parts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
     several = written(tagged.join(largest, "band").select("band", "doc_id", "c", "main"), "mixed")
     minor = several.where("c != main").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
     across = minor.join(several.select("band", F.col("doc_id").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("y_main")), "band").where("cx != cy and (y_main or x < y)").select("x", "y").distinct()
-    rest = sketched(across.union(open_star).distinct().join(best, ["x", "y"], "left_anti"))
-    more = written(confirmed(rest), "links")
-    edges = first.where("id != component").select(F.col("id").alias("x"), F.col("component").alias("y")).union(more)
-    final = components(edges).where("id != component")
+    rest = sketched(across).select("x", "y").union(open_pairs(known).select("x", "y")).distinct()
+    final = components(edges(known).union(written(confirmed(rest), "links"))).where("id != component")
     return (
         signed.select("doc_id", "n_shingles", "print_a", "print_b")
         .join(classes, ["print_a", "print_b"], "left")

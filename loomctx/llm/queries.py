@@ -39,3 +39,36 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op5_toxicity": op5_toxicity, "op6_language_id": op6_language_id}
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomctx.llm.decontam import contaminated
+
+    return contaminated(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
+#: Target weights of the mixture's tree: domains, then languages in every domain; sources weigh their tokens' share.
+DOMAINS = {"web": 0.5, "books": 0.3, "code": 0.2}
+LANGUAGES = {"en": 0.6, "de": 0.15, "fr": 0.15, "es": 0.1}
+MIX_SHARE = 0.5
+
+
+def mixture_levels() -> dict:
+    """Domain by the number in the source's name, language, source."""
+    from pyspark.sql import functions as F
+
+    number = F.regexp_extract("source", "([0-9]{1,6})$", 1).try_cast("int") % 3
+    return {"domain": F.when(number == 0, "web").when(number == 1, "books").when(number == 2, "code").otherwise("other"), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mixture_weights() -> dict[tuple, float]:
+    return {(d,): w for d, w in DOMAINS.items()} | {(d, lang): w for d in DOMAINS for lang, w in LANGUAGES.items()}
+
+
+def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomctx.llm.mixing import mix
+
+    return mix(tables(spark, sf_dir, "documents"), mixture_levels(), MIX_SHARE, mixture_weights()).select("doc_id", "lang", "source", "epoch", "mix_tokens")
+
+
+QUERIES |= {"op3_decontamination": op3_decontamination, "op10_source_mixing": op10_source_mixing}

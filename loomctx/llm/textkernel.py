@@ -12,7 +12,7 @@ _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INV = pow(_BASE, -1, 1 << 64)
 #: Bytes of text handled at once.
-BLOCK = 2 << 20
+BLOCK = 1 << 20
 
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _VALUE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) | _U(1)
