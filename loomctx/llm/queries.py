@@ -72,3 +72,12 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op3_decontamination": op3_decontamination, "op10_source_mixing": op10_source_mixing}
+
+
+def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomctx.llm.covertree import near_vectors
+
+    return near_vectors(tables(spark, sf_dir, "embeddings"))
+
+
+QUERIES["op9_cover_tree"] = op9_cover_tree
