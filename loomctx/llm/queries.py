@@ -81,3 +81,12 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op9_cover_tree"] = op9_cover_tree
+
+
+def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomctx.llm.suffixtree import repeated_words
+
+    return repeated_words(tables(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES["op7_suffix_tree"] = op7_suffix_tree
