@@ -90,3 +90,12 @@ def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op7_suffix_tree"] = op7_suffix_tree
+
+
+def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomctx.llm.suffixarray import repeated_bytes
+
+    return repeated_bytes(tables(spark, sf_dir, "documents")).drop("spans")
+
+
+QUERIES["op4_suffix_array"] = op4_suffix_array
