@@ -19,7 +19,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomctx.llm.stage import raw_text
 from loomctx.llm.textkernel import blocks
@@ -114,9 +113,9 @@ def label_model(votes: np.ndarray, labels: np.ndarray, rounds: int = 10) -> tupl
 
 
 def linear_classifier(votes: np.ndarray, posterior: np.ndarray, steps: int = 300, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, float]:
-    """Logistic regression with soft labels, both classes weighing the same; Adam, deterministic."""
+    """Logistic regression with soft labels; Adam, deterministic."""
     v = votes.astype(np.float64)
-    weight = posterior / max(posterior.sum(), 1e-9) + (1 - posterior) / max((1 - posterior).sum(), 1e-9)
+    weight = 1 / len(v)
     w, b = np.zeros(v.shape[1]), 0.0
     m, s = np.zeros(v.shape[1] + 1), np.zeros(v.shape[1] + 1)
     for t in range(1, steps + 1):
@@ -128,6 +127,16 @@ def linear_classifier(votes: np.ndarray, posterior: np.ndarray, steps: int = 300
     return w, float(b)
 
 
+def calibrated(margins: np.ndarray, labels: np.ndarray) -> float:
+    """Shift of the bias that puts 0.5 in the middle of the gap with the best F1 on the training rows."""
+    order = np.argsort(-margins, kind="stable")
+    m, hits = margins[order], np.cumsum(labels[order] == 1)
+    f1 = 2 * hits / (np.arange(1, len(m) + 1) + max(1, int((labels == 1).sum())))
+    f1[:-1][m[:-1] == m[1:]] = -1  # no gap there
+    k = int(np.argmax(f1))
+    return -float((m[k] + m[min(k + 1, len(m) - 1)]) / 2)
+
+
 def _score(voters: list[bytes], weights: list[float], bias: float):
     def kernel(batches):
         lexicon, w = Lexicon(voters), weights
@@ -147,8 +156,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, voters: int = 51
     labels, or labels of one class, there are no voters and every score is 0.5 or that class's side.
     """
     known = labels.where("toxic in (0, 1) and doc_id is not null").where(~held_out(F.col("doc_id"), folds, fold)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "toxic")
+    chosen = known.where("toxic = 0").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).union(known.where("toxic = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
     rows = raw_text(docs).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
     n = dict.fromkeys((0, 1), 0) | {r["toxic"]: r["count"] for r in chosen.groupBy("toxic").count().collect()}
     if not n[0] or not n[1]:
@@ -156,8 +164,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, voters: int = 51
     spec = {t: F.sum(F.when(F.col("toxic") == t, F.col("n")).otherwise(0)) for t in (0, 1)}
     counted = rows.select("body", "toxic").mapInArrow(_count, "feature binary, toxic int, n long").groupBy("feature").agg(spec[1].alias("pos"), spec[0].alias("neg"))
     odds = F.log((F.col("pos") + 0.5) / (n[1] + 1)) - F.log((F.col("neg") + 0.5) / (n[0] + 1))
-    least = max(3, n[1] // 500)
-    best = counted.withColumn("odds", odds).where((F.col("pos") >= least) & (F.col("odds") >= 2.0)).orderBy((F.col("odds") * F.col("pos")).desc(), "feature").limit(voters - len(PATTERNS))
+    least = max(3, n[1] // 200)
+    best = counted.withColumn("odds", odds).where((F.col("pos") >= least) & (F.col("odds") >= 3.0)).orderBy((F.col("odds") * F.col("pos")).desc(), "feature").limit(voters - len(PATTERNS))
     names = [bytes(r["feature"]) for r in best.collect()] + [p.encode() + b"!" for p in PATTERNS]
     cast = rows.select("body", "toxic").mapInArrow(_vote(names), "toxic int, votes array<int>").collect()  # at most 2 * sample rows
     if not cast:
@@ -166,9 +174,10 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4000, voters: int = 51
     matrix = np.zeros((len(cast), len(names)), np.float32)
     for i, r in enumerate(cast):
         matrix[i, r["votes"]] = 1
-    posterior, _, _ = label_model(matrix, np.array([r["toxic"] for r in cast]))
+    known_labels = np.array([r["toxic"] for r in cast])
+    posterior, _, _ = label_model(matrix, known_labels)
     weights, bias = linear_classifier(matrix, posterior)
-    return names, [float(x) for x in weights], bias
+    return names, [float(x) for x in weights], bias + calibrated(matrix @ weights + bias, known_labels)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
