@@ -1,7 +1,8 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-For each language a raw-content zstandard dictionary is filled with passages of training texts. A text is compressed
-whole with every dictionary; the smallest result names the language. The score grows with the gap to the next
+For each language a raw-content zstandard dictionary is filled with passages of training texts. Texts are lower-cased
+(A-Z) and everything but letters becomes single spaces; what is left is compressed whole with every
+dictionary, and the smallest result names the language. The score grows with the gap to the next
 smallest; below ``narrow`` the prediction is marked rejected, its best guess kept.
 
 Training reads at most ``sample`` texts of a language, lowest hash of doc_id first, and ``passage`` characters of each;
@@ -25,7 +26,14 @@ from loomctx.llm.toxicity import held_out
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LETTER = re.compile(r"[^\W\d_]")
-LANGUAGES = 1000
+LANGUAGES = 200
+#: Bytes of a language's dictionary at most.
+DICTIONARY = 1 << 20
+_TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
+
+
+def squeezed(body: bytes) -> bytes:
+    return b" ".join(body.translate(_TABLE).split())
 
 
 def has_letter(body: bytes) -> bool:
@@ -46,7 +54,8 @@ def _classify(dictionaries: dict[str, bytes], level: int, narrow: float):
                 if not body or not names or not has_letter(body):
                     out.append((UNKNOWN, 0.0, True))
                     continue
-                sizes = [len(c.compress(body)) for c in coders]
+                flat = squeezed(body)
+                sizes = [len(c.compress(flat)) for c in coders]
                 order = np.argsort(sizes, kind="stable")
                 gap = 1.0 if len(sizes) == 1 else 1 - sizes[order[0]] / sizes[order[1]]
                 out.append((names[order[0]], float(1 - np.exp(-20 * gap)), gap < narrow))
@@ -55,7 +64,7 @@ def _classify(dictionaries: dict[str, bytes], level: int, narrow: float):
     return kernel
 
 
-def dictionaries(docs: DataFrame, sample: int = 96, passage: int = 1200, folds: int = 4, fold: int = 2) -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, sample: int = 200, passage: int = 5000, folds: int = 4, fold: int = 2) -> dict[str, bytes]:
     """A raw-content dictionary for each language of the training rows."""
     train = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"), folds, fold))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
@@ -65,11 +74,11 @@ def dictionaries(docs: DataFrame, sample: int = 96, passage: int = 1200, folds:
     rows = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "doc_id", F.substring("text", 1, passage).alias("text")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], r["text"] or "")):
-        out[r["lang"]] = out.get(r["lang"], b"") + (r["text"] or "").encode() + b"\n"
-    return {k: v for k, v in out.items() if len(v) >= 8}
+        out[r["lang"]] = out.get(r["lang"], b"") + squeezed((r["text"] or "").encode()) + b" "
+    return {k: v[:DICTIONARY] for k, v in out.items() if len(v) >= 8}
 
 
-def identify(docs: DataFrame, level: int = 3, narrow: float = 0.01, **parameters) -> DataFrame:
+def identify(docs: DataFrame, level: int = 6, narrow: float = 0.01, **parameters) -> DataFrame:
     """(doc_id, held_out, lang_pred, score, rejected) for each row of ``docs``.
 
     ``und`` and 0 for a null text or one without a letter, and where no language could be learned. Texts of any length
