@@ -99,3 +99,56 @@ def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES["op4_suffix_array"] = op4_suffix_array
+
+
+#: Tools that the adapter below makes of conversation turns.
+TOOLS = {
+    "reply": {"type": "object", "required": ["prompt", "turn"], "additionalProperties": False, "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "after": {"type": "string"}}},
+    "configure": {"type": "object", "required": ["text", "turn"], "additionalProperties": False, "properties": {"text": {"type": "string"}, "turn": {"type": "integer", "minimum": 0}}},
+}
+
+
+def conversation_calls(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Calls and results of chat turns: a user turn calls ``reply`` and names the user turn two before it, the assistant turn after it is the result.
+
+    A system turn calls ``configure``, which has no result. Identifiers are ``c<turn>``.
+    """
+    from pyspark.sql import functions as F
+
+    name = lambda t: F.concat(F.lit("c"), t.cast("string"))
+    asked = turns.where("role = 'user'").select("conv_id", "turn", F.lit(0).alias("seq"), name(F.col("turn")).alias("call_id"), F.lit("reply").alias("name"), F.to_json(F.struct(F.when(F.col("turn") >= 2, F.concat(F.lit("$"), name(F.col("turn") - 2))).alias("after"), F.col("text").alias("prompt"), "turn")).alias("arguments"))
+    told = turns.where("role = 'system'").select("conv_id", "turn", F.lit(0).alias("seq"), name(F.col("turn")).alias("call_id"), F.lit("configure").alias("name"), F.to_json(F.struct("text", "turn")).alias("arguments"))
+    answers = turns.where("role = 'assistant'").select("conv_id", "turn", name(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
+    return asked.union(told), answers
+
+
+def op2_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomctx.llm.toolcalls import link_calls
+
+    return link_calls(*conversation_calls(tables(spark, sf_dir, "conversations")), TOOLS)
+
+
+QUERIES["op2_tool_calls"] = op2_tool_calls
+ORACLES["op2_tool_calls"] = """
+WITH c AS (
+  SELECT conv_id, turn, 'c' || turn AS call_id, CASE role WHEN 'user' THEN 'reply' ELSE 'configure' END AS name, text,
+         CASE WHEN role = 'user' AND turn >= 2 THEN 'c' || (turn - 2) END AS need
+  FROM conversations WHERE role IN ('user', 'system')),
+r AS (SELECT conv_id, 'c' || (turn - 1) AS call_id, text FROM conversations WHERE role = 'assistant'),
+j AS (
+  SELECT c.*, r.text AS result, r.call_id IS NOT NULL AS answered, c.need IS NOT NULL AND d.call_id IS NULL AS unresolved,
+         row_number() OVER (PARTITION BY c.conv_id ORDER BY c.turn) AS position
+  FROM c LEFT JOIN r ON r.conv_id = c.conv_id AND r.call_id = c.call_id
+         LEFT JOIN c d ON d.conv_id = c.conv_id AND d.call_id = c.need)
+SELECT conv_id, call_id, position, name,
+       CASE WHEN name = 'reply' AND text = '' THEN 'invalid' WHEN unresolved THEN 'unresolved' WHEN NOT answered THEN 'unanswered' ELSE 'ok' END AS status,
+       CASE WHEN name = 'reply' AND text = '' THEN '$.prompt: too short' ELSE '' END AS errors,
+       CAST(1 AS BIGINT) AS n_calls, CAST(answered AS BIGINT) AS n_results,
+       '{"arguments":{' || CASE WHEN need IS NOT NULL THEN '"after":"$' || need || '",' ELSE '' END
+         || CASE name WHEN 'reply' THEN '"prompt":' ELSE '"text":' END || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn
+         || '},"id":"' || call_id || '","name":"' || name || '","result":' || coalesce(CAST(to_json(result) AS VARCHAR), 'null') || '}' AS json
+FROM j
+UNION ALL
+SELECT r.conv_id, r.call_id, NULL, NULL, 'orphan', '', CAST(0 AS BIGINT), CAST(1 AS BIGINT), NULL
+FROM r LEFT JOIN c ON c.conv_id = r.conv_id AND c.call_id = r.call_id WHERE c.call_id IS NULL
+"""
