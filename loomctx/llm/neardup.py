@@ -5,20 +5,21 @@ words: an empty set, linked with nothing). Two documents are linked when |A & B|
 
 How the work is spread:
 
-1. One pass over the texts makes, for each document, its set size, a 128-bit print of the set, 32 band keys of four
-   MinHash samples each, and an odd sketch: a 512-bit map in which every (sample number, sample) toggles one bit.
+1. One pass over the texts makes, for each document, its set size, a 128-bit print of the set, and 32 band keys of four
+   MinHash samples each.
 2. Documents with equal sets form a class, found by its print; only its smallest doc_id goes on.
 3. Members of a bucket (equal band key) are paired with one member, picked by a hash so that buckets of a group have
-   different ones. The population count of the XOR of two odd sketches estimates the similarity; pairs far below the
-   threshold go.
-4. Each document's best pair is confirmed on full sets and the classes are connected; then the best pair between
-   any two components. What is left are pairs between components that still differ: the other pairs with a bucket's
-   picked member, and, in buckets that still hold several components, members outside the bucket's largest component against the
-   rest. All of these are confirmed, so no link between components that share a bucket is lost, and a
-   group of copies, which one or two rounds connect, yields a number of pairs linear in its size.
-
-A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32 = 5e-6; the sketch passes 0.2 below it,
-more than four standard deviations of its estimate.
+   different ones. Members get an odd sketch: a map of 4096 bits in which each of 1024 (number, MinHash sample) toggles
+   one. The population count of the XOR of two of them estimates the similarity; pairs below the threshold by a margin go.
+4. Each document's best pair is confirmed on full sets and the classes are connected; then its other pairs with picked
+   members, where the components still differ. What is left are pairs in buckets that still hold several components:
+   members outside the bucket's largest component against the rest. All of these are confirmed, so no link between
+   components that share a bucket is lost, and a group of copies, which its many picked members
+   connect, yields a number of pairs linear in its size. Sketches are compared in blocks of members, and only pairs that pass
+   become rows, each in the first band that both share.
+
+A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32 = 5e-6; the sketch passes 0.06 below it,
+more than four standard deviations (0.0135) of its estimate.
 """
 
 from __future__ import annotations
@@ -37,11 +38,14 @@ from loomctx.llm.textkernel import Words, blocks, mix, windows, within
 SHINGLE = 5
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-BITS = 512
+#: Samples and bits of the odd sketches, which only members of buckets get.
+ODD_SAMPLES, BITS = 1024, 4096
+#: Members of a bucket that are compared with each other, or with as many others, at once.
+BLOCK = 1024
 _U = np.uint64
 _seed = np.random.Generator(np.random.PCG64(11))
-_MUL = _seed.integers(0, 1 << 63, SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
-_XOR = _seed.integers(0, 1 << 63, SAMPLES, dtype=np.uint64)
+_MUL = _seed.integers(0, 1 << 63, ODD_SAMPLES, dtype=np.uint64) * _U(2) + _U(1)
+_XOR = _seed.integers(0, 1 << 63, ODD_SAMPLES, dtype=np.uint64)
 _HASH_BITS = 52
 
 
@@ -64,24 +68,32 @@ def shingle_sets(bodies: list[bytes], width: int = SHINGLE) -> tuple[np.ndarray,
     return key & _U((1 << _HASH_BITS) - 1), counts
 
 
-def signatures(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For documents with a non-empty set: prints (n, 2), band keys (n, BANDS), odd sketches (n, BITS / 64)."""
+def signatures(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For documents with a non-empty set: prints (n, 2) and band keys (n, BANDS)."""
     counts = counts[counts > 0]
     at = np.cumsum(counts) - counts
     n = len(counts)
     if not n:
-        return np.empty((0, 2), np.int64), np.empty((0, BANDS), np.int64), np.empty((0, BITS // 64), np.int64)
+        return np.empty((0, 2), np.int64), np.empty((0, BANDS), np.int64)
     prints = np.stack([np.add.reduceat(mix(hashes ^ _U(c)), at) for c in (0x5DEECE66D, 0xBF58476D1CE4E5B9)], axis=1)
     spread = mix(hashes)
-    bands, sketch = np.zeros((n, BANDS), np.uint64), np.zeros((n, BITS // 64), np.uint64)
-    rows = np.arange(n)
+    bands = np.zeros((n, BANDS), np.uint64)
     for k in range(SAMPLES):
         least = np.minimum.reduceat((spread ^ _XOR[k]) * _MUL[k], at)
-        b = k // ROWS
-        bands[:, b] = mix(bands[:, b] + least + _U(b))
-        bit = mix(least + _XOR[k]) & _U(BITS - 1)
+        bands[:, k // ROWS] = mix(bands[:, k // ROWS] + least + _U(k // ROWS))
+    return prints.view(np.int64), bands.view(np.int64)
+
+
+def odd_sketches(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For documents with a non-empty set: a map of BITS bits in which each of ODD_SAMPLES (number, MinHash sample) toggles one."""
+    counts = counts[counts > 0]
+    at = np.cumsum(counts) - counts
+    sketch = np.zeros((len(counts), BITS // 64), np.uint64)
+    rows, spread = np.arange(len(counts)), mix(hashes)
+    for k in range(ODD_SAMPLES if len(counts) else 0):
+        bit = mix(np.minimum.reduceat((spread ^ _XOR[k]) * _MUL[k], at) + _XOR[k]) & _U(BITS - 1)
         sketch[rows, (bit >> _U(6)).astype(np.int64)] ^= _U(1) << (bit & _U(63))
-    return prints.view(np.int64), bands.view(np.int64), sketch.view(np.int64)
+    return sketch.view(np.int64)
 
 
 def _lists(values: np.ndarray, there: np.ndarray) -> pa.Array:
@@ -95,11 +107,11 @@ def _sign(batches):
         ids, bodies = batch.column("doc_id"), [b or b"" for b in batch.column("body").to_pylist()]
         for first, run in blocks(bodies):
             hashes, counts = shingle_sets(run)
-            prints, bands, sketch = signatures(hashes, counts)
+            prints, bands = signatures(hashes, counts)
             there = counts > 0
             both = np.zeros((len(run), 2), np.int64)
             both[there] = prints
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(run)), pa.array(counts.astype(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), _lists(bands, there), _lists(sketch, there)], names=["doc_id", "n_shingles", "print_a", "print_b", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([ids.slice(first, len(run)), pa.array(counts.astype(np.int64)), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), _lists(bands, there)], names=["doc_id", "n_shingles", "print_a", "print_b", "bands"])
 
 
 def _sets(batches):
@@ -108,15 +120,62 @@ def _sets(batches):
         for first, run in blocks(bodies):
             hashes, counts = shingle_sets(run)
             ends = np.cumsum(counts)
-            yield pa.RecordBatch.from_arrays([ids.slice(first, len(run)), pa.array([hashes[e - c : e].tobytes() for e, c in zip(ends, counts)], type=pa.binary())], names=["doc_id", "shingles"])
+            sketch = _lists(odd_sketches(hashes, counts), counts > 0)
+            yield pa.RecordBatch.from_arrays([ids.slice(first, len(run)), pa.array([hashes[e - c : e].tobytes() for e, c in zip(ends, counts)], type=pa.binary()), sketch], names=["doc_id", "shingles", "sketch"])
+
+
+def _rows(column, width: int) -> np.ndarray:
+    return np.asarray(column.flatten()).reshape(-1, width)
+
+
+def _groups(batches, keys: list[str]):
+    """Tables of the rows with equal keys, from batches sorted by them."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        values = [np.asarray(table[k]) for k in keys]
+        cut = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        at = [0, *cut.tolist()]
+        for a, b in zip(at, at[1:]):
+            yield table.slice(a, b - a)
+        rest = table.slice(at[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _across(most: int):
+    """Pairs of different components in a pair of blocks of one bucket, if the sketches allow and no earlier band has both."""
+
+    def kernel(batches):
+        for group in _groups(batches, ["band", "i", "j"]):
+            g = group.combine_chunks().to_batches()[0]
+            band, i, j = (g.column(k)[0].as_py() for k in ("band", "i", "j"))
+            ids, c, side = (np.asarray(g.column(k)) for k in ("doc_id", "c", "side"))
+            main = np.asarray(g.column("in_main").cast(pa.int8())) == 1
+            bands, sketch = _rows(g.column("bands"), BANDS), _rows(g.column("sketch"), BITS // 64).view(np.uint64)
+            out = []
+            for x in np.flatnonzero(~main).tolist():
+                ok = (c != c[x]) & (main | (ids > ids[x]))
+                if i != j:
+                    ok &= side != side[x]
+                y = np.flatnonzero(ok)
+                y = y[np.bitwise_count(sketch[y] ^ sketch[x]).sum(1) <= most]
+                if len(y):
+                    place = int(np.flatnonzero(bands[x] == band)[0])
+                    y = y[~(bands[y, :place] == bands[x, :place]).any(1)]
+                    out.append((np.full(len(y), ids[x]), ids[y]))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(k)) for k in zip(*out)], names=["x", "y"])
+
+    return kernel
 
 
 def _confirm(threshold_pct: int):
     def kernel(batches):
         for batch in batches:
             keep = []
-            for a, b in zip(batch.column("set_x").to_pylist(), batch.column("set_y").to_pylist()):
-                x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            for a, b in zip(batch.column("set_x"), batch.column("set_y")):
+                x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
                 at = np.searchsorted(x, y) if len(x) else np.zeros(len(y), np.int64)
                 both = int(np.count_nonzero(x[np.minimum(at, len(x) - 1)] == y)) if len(x) else 0
                 keep.append(100 * both >= threshold_pct * (len(x) + len(y) - both) and both > 0)
@@ -127,38 +186,37 @@ def _confirm(threshold_pct: int):
 
 def differing_bits(a: str, b: str) -> Column:
     """Population count of the XOR of two odd sketches."""
-    return sum((F.bit_count(F.element_at(a, k + 1).bitwiseXOR(F.element_at(b, k + 1))) for k in range(BITS // 64)), F.lit(0))
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
 
 
 def most_bits(similarity: float) -> int:
     """Expected differing bits of two odd sketches of documents with this similarity, rounded up."""
-    return math.ceil(BITS / 2 * (1 - math.exp(-2 * (2 * SAMPLES * (1 - similarity)) / BITS)))
+    return math.ceil(BITS / 2 * (1 - math.exp(-2 * (2 * ODD_SAMPLES * (1 - similarity)) / BITS)))
 
 
-def near_duplicates(docs: DataFrame, threshold_pct: int = 75, sketch_margin: float = 0.2) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold_pct: int = 75, sketch_margin: float = 0.06) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are not read).
 
     Null and wordless texts have n_shingles 0 and are components of their own. Rows that repeat a doc_id are each
     returned. A null doc_id stays null and is kept; it never names a component. An empty table gives an empty result.
     """
     texts = raw_text(docs)
-    signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>, sketch array<long>"), "minhash")
+    signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"), "minhash")
     some = signed.where("n_shingles > 0 and doc_id is not null")
     classes = some.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"))
     reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
     leaders = banded.groupBy("band").agg(F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("leader"), F.count("*").alias("size")).where("size > 1")
     members = written(banded.join(leaders, "band").select("band", "doc_id", "leader"), "buckets")
-    sketches = reps.select("doc_id", "sketch").dropDuplicates(["doc_id"])
+    involved = members.select("doc_id").distinct()
+    sets = written(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary, sketch array<long>"), "sets")
     most = most_bits(threshold_pct / 100 - sketch_margin)
 
     def sketched(pairs: DataFrame) -> DataFrame:
-        x, y = (sketches.select(F.col("doc_id").alias(n), F.col("sketch").alias(f"s{n}")) for n in "xy")
+        x, y = (sets.select(F.col("doc_id").alias(n), F.col("sketch").alias(f"s{n}")) for n in "xy")
         return pairs.join(x, "x").join(y, "y").select("x", "y", differing_bits("sx", "sy").alias("bits")).where(F.col("bits") <= most)
 
     star = written(sketched(members.where("doc_id != leader").select(F.col("doc_id").alias("x"), F.col("leader").alias("y")).distinct()), "star")
-    involved = members.select("doc_id").distinct()
-    sets = written(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary"), "sets")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "xy")
@@ -175,16 +233,17 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, sketch_margin: flo
 
     best = star.groupBy("x").agg(F.min_by("y", F.struct("bits", "y")).alias("y"))
     known = written(components(written(confirmed(best), "links")), "components")
-    between = open_pairs(known).groupBy(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b")).agg(F.min_by(F.struct("x", "y"), F.struct("bits", "x", "y")).alias("p")).select("p.x", "p.y")
-    known = written(components(edges(known).union(written(confirmed(between), "links"))), "components")
+    others = open_pairs(known).select("x", "y").join(best, ["x", "y"], "left_anti")
+    known = written(components(edges(known).union(written(confirmed(others), "links"))), "components")
 
     tagged = labelled(members.select("band", "doc_id"), known, "doc_id", "c")
     parts = tagged.groupBy("band", "c").agg(F.count("*").alias("n"))
     largest = parts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    several = written(tagged.join(largest, "band").select("band", "doc_id", "c", "main"), "mixed")
-    minor = several.where("c != main").select("band", F.col("doc_id").alias("x"), F.col("c").alias("cx"))
-    across = minor.join(several.select("band", F.col("doc_id").alias("y"), F.col("c").alias("cy"), (F.col("c") == F.col("main")).alias("y_main")), "band").where("cx != cy and (y_main or x < y)").select("x", "y").distinct()
-    rest = sketched(across).select("x", "y").union(open_pairs(known).select("x", "y")).distinct()
+    several = tagged.join(largest, "band").join(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band")
+    several = several.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    meeting = several.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "c", (F.col("c") == F.col("main")).alias("in_main"))
+    meeting = meeting.join(reps.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id").join(sets.select("doc_id", "sketch"), "doc_id").select("band", "i", "j", "side", "doc_id", "c", "in_main", "bands", "sketch")
+    rest = meeting.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across(most), "x long, y long").distinct()
     final = components(edges(known).union(written(confirmed(rest), "links"))).where("id != component")
     return (
         signed.select("doc_id", "n_shingles", "print_a", "print_b")
