@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomctx.llm.components import components
-from loomctx.llm.stage import written
+from loomctx.llm.stage import small_batches, written
 
 #: Added to bounds and to single-precision products, so that rounding excludes no pair.
 SLACK = 1e-5
@@ -226,7 +226,7 @@ def _meet(threshold: float):
     return kernel
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096, cells: int = 256, chunk: int = 4096) -> DataFrame:
+def near_vectors(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096, cells: int = 256, chunk: int = 2048) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for each row of ``vectors`` (vec_id, embedding; labels aren't read).
 
     Null, empty or zero vectors and those with null or non-finite components link with nothing, and vectors of different
@@ -234,6 +234,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096
     repeat an id with an equal vector count as links of each other. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
+    small_batches(spark, size=32 << 20)
     rows = written(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")), "vectors")
     finite = F.forall("embedding", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
     valid = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).where(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda c: c != 0))

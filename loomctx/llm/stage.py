@@ -61,6 +61,15 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession, records: int = 1000, size: int = 8 << 20) -> None:
+    """Bound the Arrow batches sent to Python from now on, so that long rows can't fill a worker's memory."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = str(spark.conf.get(key))
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 def raw_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, body): the text's UTF-8 bytes, so Python kernels never decode."""
+    """(doc_id, body): the text's UTF-8 bytes, so Python kernels never decode. Arrow batches are bounded from here on."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
