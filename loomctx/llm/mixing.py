@@ -70,9 +70,10 @@ def mix(docs: DataFrame, levels: dict[str, Column], total: Column | int, weights
 
     ``total`` is a token count, or a share of all tokens if below 1. Null levels are a value of their own ("").
     Texts without tokens cost nothing and are taken with their place in the order; repeated rows are each
-    counted and taken together. Columns of docs keep their names (epoch, mix_tokens and names starting with ``__`` must be free).
-    An empty table gives an empty result.
+    counted and taken together. Columns of docs keep their names; those named epoch or mix_tokens, or starting with ``__``, are left
+    out. An empty table gives an empty result.
     """
+    docs = docs.drop(*(c for c in docs.columns if c in ("epoch", "mix_tokens") or c.startswith("__")))
     inner = [f"__{n}" for n in levels]
     level_values = {i: F.coalesce(levels[n].cast("string"), F.lit("")) for i, n in zip(inner, levels)}
     rows = docs.withColumns(level_values | {"mix_tokens": F.coalesce(estimated_tokens(F.col("text")) if tokens is None else tokens.cast("long"), F.lit(0))})

@@ -248,11 +248,12 @@ def redacted(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with every redaction replaced by ``<kind>`` in its text; other columns stay, as do null texts.
 
     A length column ``n_chars`` of the input is brought up to date. Ids have to be unique for texts to be changed: rows that
-    share an id get the redactions of one of them only if their texts are equal.
+    share an id get the redactions of one of them only if their texts are equal. Columns named ``__redaction*`` are left out.
     """
+    docs = docs.drop(*(c for c in docs.columns if c.startswith("__redaction")))
     found = personal_data(docs, **parameters).where(F.size("redactions") > 0)
-    edits = found.groupBy(F.col("doc_id").alias("__id")).agg(F.collect_set("redactions").alias("__all")).where(F.size("__all") == 1).select("__id", F.col("__all")[0].alias("__spans"))
-    joined = docs.join(edits, F.col("doc_id").cast("long") == F.col("__id"), "left")
+    edits = found.groupBy(F.col("doc_id").alias("__redaction_id")).agg(F.collect_set("redactions").alias("__redaction_all")).where(F.size("__redaction_all") == 1).select("__redaction_id", F.col("__redaction_all")[0].alias("__redaction_spans"))
+    joined = docs.join(edits, F.col("doc_id").cast("long") == F.col("__redaction_id"), "left")
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
 
     def step(acc: Column, s: Column) -> Column:
@@ -263,9 +264,9 @@ def redacted(docs: DataFrame, **parameters) -> DataFrame:
         return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(F.concat(gap, F.element_at(names, s["kind"] + 1))))).alias("out"))
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
-    whole = F.aggregate("__spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    text = F.when(F.col("__spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(whole)
+    whole = F.aggregate("__redaction_spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
+    text = F.when(F.col("__redaction_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(whole)
     out = joined.withColumn("text", text)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("__redaction_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(docs.columns)

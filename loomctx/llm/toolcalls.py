@@ -4,8 +4,8 @@
   by aggregation and joined by hash on both keys, so one long conversation or one much-used identifier is no hot key.
 * Order. A call comes after the calls its arguments name (strings ``"$<call_id>"``). Where these stand earlier, as they mostly do,
   (turn, seq) is a topological order already; a call that names a later one takes over its place, one step behind, and so
-  on along chains, by joins over the affected calls alone until nothing moves. Calls that still move after as
-  many rounds as there are affected calls lie on, or behind, a cycle and keep their own place. Positions are counted in ranges of turns.
+  on along chains, by joins over the affected calls alone until nothing moves. Calls further behind than their conversation
+  has affected calls lie on, or behind, a cycle and keep their own place. Positions are counted in ranges of turns.
 * Arguments are checked against the tool's JSON schema (type, required, properties, additionalProperties, items, enum, minimum, maximum,
   minLength, maxLength, pattern).
 * JSON has sorted keys, no spaces, and no escapes but those that JSON requires.
@@ -105,17 +105,18 @@ def _ordered(calls: DataFrame) -> DataFrame:
     edges = edges.join(keys.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"])
     late = edges.join(keys, ["conv_id", "call_id"]).join(keys.select("conv_id", F.col("call_id").alias("need"), F.col("place").alias("other")), ["conv_id", "need"])
     moved = written(late.where("other >= place").groupBy("conv_id", "call_id").agg(F.max("other").alias("place")).select("conv_id", "call_id", F.struct("place.turn", "place.seq", (F.col("place.behind") + 1).alias("behind")).alias("place")), "moved")
-    front, rounds, most = moved, 0, None
+    front, rounds, most = moved, 0, 0
     all_moved = moved
-    while (n := front.count()) and (most is None or rounds <= most):
+    while not front.isEmpty() and rounds <= 2 * most + 2:
         # calls that need one which has moved, and would not come after it any more
         needed = front.select("conv_id", F.col("call_id").alias("need"), F.col("place").alias("other"))
         users = edges.join(needed, ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.max("other").alias("other"))
         now = users.join(keys, ["conv_id", "call_id"]).join(all_moved.withColumnRenamed("place", "better"), ["conv_id", "call_id"], "left").withColumn("place", F.coalesce("better", "place"))
         front = written(now.where("other >= place").select("conv_id", "call_id", F.struct("other.turn", "other.seq", (F.col("other.behind") + 1).alias("behind")).alias("place")), "moved")
         all_moved = written(all_moved.unionByName(front).groupBy("conv_id", "call_id").agg(F.max("place").alias("place")), "moved")
-        rounds, most = rounds + 1, all_moved.count()
-    stuck = front.select("conv_id", "call_id", F.lit(True).alias("cyclic")) if n else front.select("conv_id", "call_id", F.lit(True).alias("cyclic")).limit(0)
+        rounds, most = rounds + 1, all_moved.groupBy("conv_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
+    # no chain is longer than the calls that moved in its conversation; what is further behind goes round in a circle
+    stuck = all_moved.where(F.col("place.behind") > most).select("conv_id", "call_id", F.lit(True).alias("cyclic"))
     out = calls.join(all_moved.withColumnRenamed("place", "better"), ["conv_id", "call_id"], "left").join(stuck, ["conv_id", "call_id"], "left")
     own = F.struct("turn", "seq", F.lit(0).alias("behind"))
     return out.withColumn("cyclic", F.coalesce("cyclic", F.lit(False))).withColumn("place", F.when(F.col("cyclic"), own).otherwise(F.coalesce("better", own))).drop("better")
