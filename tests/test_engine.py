@@ -147,3 +147,17 @@ def test_usage_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("usage_now").collect())) == sorted(map(tuple, usage_stats(rows).collect()))
+
+
+def test_evaluation(spark, tmp_path):
+    from loomctx.plans.evaluate import evaluate, verify
+
+    root = tmp_path / "small"
+    for name, text in FILES.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(text)
+    manifest = evaluate(spark, [str(root), str(tmp_path / "missing")], str(tmp_path / "out"))
+    assert (manifest["repos"], manifest["packs"], manifest["failures"]) == (1, 9, 1)
+    checks = verify(spark, [str(root)], str(tmp_path / "out"))
+    assert [c for c, ok in checks if not ok] == ["no failures"] and len(checks) == 12
+    assert "| budget |" in (tmp_path / "out" / "report.md").read_text()
