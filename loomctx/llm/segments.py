@@ -7,6 +7,9 @@ windows can only be shared between segments of one anchor. So of each content on
 its anchor has other contents too, or may come up twice inside it: those first segments are cut out of the texts and go, by anchor, to the operators'
 suffix structures.
 
+Anchors that many documents share are told apart by a sample: their rows are counted before the shuffle and meet the counts in
+a join whose skewed keys Spark splits; only the others meet in windows, which are thus bounded.
+
 Texts are shuffled once, by document. Segment rows are fixed-size; a long run of one anchor (periodic text) is cut into pieces of
 ``PIECE`` windows, which the suffix structures treat like any others.
 """
@@ -23,6 +26,9 @@ from loomctx.llm.textkernel import _BASE, _INV, _VALUE, Words, blocks, mix, powe
 
 _U = np.uint64
 PIECE = 2048
+#: An anchor is hot if it may have more rows than HOT_ROWS and than one for HOT_SHARE documents; one document in HOT_SAMPLE is looked at. So
+#: at most 2 * HOT_SHARE times the mean number of segments of a document are hot.
+HOT_ROWS, HOT_SHARE, HOT_SAMPLE = 1000, 200, 16
 #: Low bits that hold a place while anchors are looked for; the bits above them are the anchor.
 PLACE = 28
 
@@ -158,12 +164,28 @@ def repeated(texts: DataFrame, kind: str, length: int, gram: int, compare, first
     (row, start, n) of runs of windows to remove. With ``first_stays`` the first of equal segments isn't removed
     by its copies.
     """
-    found = texts.mapInArrow(_segment_rows(kind, length, gram), "anchor long, content long, row long, start int, n int, inside boolean").repartition("anchor")
+    schema = "anchor long, content long, row long, start int, n int, inside boolean"
+    found = texts.mapInArrow(_segment_rows(kind, length, gram), schema)
+    # Anchors that many documents may share, by a sample; which path an anchor takes does not change the result.
+    most = max(HOT_ROWS, texts.count() // HOT_SHARE)
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(_segment_rows(kind, length, gram), schema)
+    hot = written(sample.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > most / (2 * HOT_SAMPLE)).select("anchor"), "hot")
+    some_hot = not hot.isEmpty()
+    cool = found.join(F.broadcast(hot), "anchor", "left_anti") if some_hot else found
     same = Window.partitionBy("anchor", "content")
-    seen = found.withColumns({"low": F.min("content").over(Window.partitionBy("anchor")), "high": F.max("content").over(Window.partitionBy("anchor"))})
-    seen = seen.withColumns({"nth": F.row_number().over(same.orderBy("row", "start")), "copies": F.count("*").over(same)})
-    gone = (F.col("nth") > 1) if first_stays else (F.col("copies") > 1)
-    compared = (F.col("nth") == 1) & ((F.col("low") != F.col("high")) | F.col("inside"))
+    seen = cool.repartition("anchor").withColumns({"low": F.min("content").over(Window.partitionBy("anchor")), "high": F.max("content").over(Window.partitionBy("anchor"))})
+    seen = seen.withColumns({"first": F.row_number().over(same.orderBy("row", "start")) == 1, "copies": F.count("*").over(same)})
+    columns = ["anchor", "row", "start", "n", "inside", "low", "high", "first", "copies"]
+    seen = seen.select(columns)
+    if some_hot:
+        # Shared widely: contents are counted before they are shuffled, and the rows meet the counts in a join that splits skewed keys.
+        warm = written(found.join(F.broadcast(hot), "anchor", "left_semi"), "warm")
+        contents = written(warm.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("at")), "contents")
+        range_ = contents.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high"))
+        met = warm.join(contents, ["anchor", "content"]).join(F.broadcast(range_), "anchor")  # a row for each hot anchor
+        seen = seen.unionByName(met.withColumn("first", F.struct("row", "start") == F.col("at")).select(columns))
+    gone = ~F.col("first") if first_stays else (F.col("copies") > 1)
+    compared = F.col("first") & ((F.col("low") != F.col("high")) | F.col("inside"))
     kept = written(seen.select("anchor", "row", "start", "n", F.least("copies", F.lit(2)).cast("int").alias("copies"), gone.alias("gone"), compared.alias("compared")).where("gone or compared"), "segments")
     wanted = kept.where("compared").groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "n", "copies")).alias("wanted"))
     cut = texts.join(wanted, "row").mapInArrow(_cut(kind, length), "anchor long, row long, start int, n int, copies int, data binary")

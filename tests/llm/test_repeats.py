@@ -100,3 +100,15 @@ def test_odd_rows(odd, nothing):
     assert {r["n_words"] for r in words if r["doc_id"] in (3, 4, 10)} == {0}
     assert [r["n_removed"] for r in data if r["doc_id"] == 11] == [20000]
     assert repeated_words(nothing).collect() == repeated_bytes(nothing).collect() == []
+
+
+def test_widely_shared_passages(spark, monkeypatch):
+    """The same result where anchors are hot."""
+    from loomctx.llm import segments
+
+    monkeypatch.setattr(segments, "HOT_ROWS", 4)
+    passage = " ".join(f"p{i}" for i in range(150))
+    texts = {i: " ".join(f"a{i}x{j}" for j in range(i % 30)) + " " + passage + " " + " ".join(f"b{i}x{j}" for j in range(i % 17)) for i in range(120)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeated_words(df).collect()} == brute_words(texts)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_bytes(df).collect()} == brute_bytes(texts, 400)
