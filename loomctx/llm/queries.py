@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from loomctx.llm import oracles
 from loomctx.llm.stage import tables
 
 
@@ -152,3 +153,4 @@ UNION ALL
 SELECT r.conv_id, r.call_id, NULL, NULL, 'orphan', '', CAST(0 AS BIGINT), CAST(1 AS BIGINT), NULL
 FROM r LEFT JOIN c ON c.conv_id = r.conv_id AND c.call_id = r.call_id WHERE c.call_id IS NULL
 """
+ORACLES |= {"op1_minhash_dedup": oracles.NEAR_DUPLICATES, "op4_suffix_array": oracles.REPEATED_BYTES, "op7_suffix_tree": oracles.REPEATED_WORDS, "op9_cover_tree": oracles.NEAR_VECTORS}
