@@ -77,7 +77,7 @@ class Queue:
     def __init__(self, space: Workspace):
         self.space, self.pages = space, []
         self.least = _FAR  # least common prefix of the inducing tuples since the last one that fed this queue
-        self.fresh = True
+        self.fresh, self.fed = True, False
 
     def put(self, suffix: np.ndarray, prefix: np.ndarray) -> None:
         self.space.held += len(suffix)
@@ -120,44 +120,49 @@ def run_lengths(text: np.ndarray) -> np.ndarray:
     return np.minimum.accumulate(end[::-1])[::-1] - np.arange(n) + 1
 
 
-def _feed(queues: dict[int, Queue], space: Workspace, text, kinds, want_s: bool, suffix: np.ndarray, prefix: np.ndarray, depth: int) -> None:
-    """Induce the predecessors of these tuples, which follow all tuples given before."""
+def _feed(queues: dict[int, Queue], space: Workspace, text, kinds, want_s: bool, suffix: np.ndarray, prefix: np.ndarray | None, depth: int) -> None:
+    """Induce the predecessors of these tuples, which follow all tuples given before; without ``prefix`` no values are carried."""
     before = suffix - 1
-    ok = before >= 0
-    head = text[np.maximum(before, 0)].astype(np.int64)
-    ok &= kinds[np.maximum(before, 0)] == want_s
-    running = np.minimum.accumulate(prefix) if len(prefix) else prefix
-    place = np.flatnonzero(ok)
-    order = place[np.argsort(head[place], kind="stable")]
-    cuts = np.flatnonzero(np.concatenate([[True], head[order][1:] != head[order][:-1]])) if len(order) else []
-    total = running[-1] if len(running) else _FAR
-    touched = set()
-    for part in np.split(order, cuts[1:]) if len(order) else ():
-        h = int(head[part[0]])
+    place = np.flatnonzero((kinds[before] == want_s) & (before >= 0))
+    before = before[place]
+    head = text[before]
+    by = np.argsort(head, kind="stable")  # a radix sort: symbols have 16 bits
+    before, place, head = before[by], place[by], head[by]
+    cuts = np.flatnonzero(head[1:] != head[:-1]) + 1
+    bounds = [0, *cuts.tolist(), len(head)] if len(head) else []
+    for a, b in zip(bounds, bounds[1:]):
+        h = int(head[a])
         q = queues.get(h)
         if q is None:
             q = queues[h] = Queue(space)
-        values = np.minimum.reduceat(prefix, np.concatenate([[0], part[:-1] + 1]))
-        # reduceat's last range runs to the end; the first also has what came since this queue was fed
-        values[-1] = prefix[(part[-2] + 1 if len(part) > 1 else 0) : part[-1] + 1].min()
-        values[0] = min(int(values[0]), int(q.least))
-        values = np.minimum(values + 1, depth).astype(np.int32)
+        if prefix is None:
+            q.put(before[a:b], np.zeros(b - a, np.int32))
+            continue
+        part = place[a:b]
+        values = np.empty(b - a, np.int32)
+        # a tuple's value: the least between its inducer and the one before; the first also has what came since this queue was fed
+        values[0] = min(int(prefix[: part[0] + 1].min()), int(q.least))
+        if b - a > 1:
+            values[1:] = np.minimum.reduceat(prefix[: part[-1] + 1], part[:-1] + 1)
+        np.minimum(values + 1, depth, out=values)
         if q.fresh:
             values[0], q.fresh = 0, False
         tail = prefix[part[-1] + 1 :]
-        q.least = tail.min() if len(tail) else _FAR
-        q.put(before[part], values)
-        touched.add(h)
-    for h, q in queues.items():
-        if h not in touched:
-            q.least = min(q.least, total)
+        q.least, q.fed = (int(tail.min()) if len(tail) else _FAR), True
+        q.put(before[a:b], values)
+    if prefix is not None and len(prefix):
+        total = int(prefix.min())
+        for q in queues.values():
+            if not q.fed:
+                q.least = min(q.least, total)
+            q.fed = False
 
 
-def induce(text: np.ndarray, kinds: np.ndarray, seeds: dict[int, tuple[np.ndarray, np.ndarray]], space: Workspace, depth: int) -> dict[int, tuple]:
+def induce(text: np.ndarray, kinds: np.ndarray, seeds: dict[int, tuple[np.ndarray, np.ndarray]], space: Workspace, depth: int, carry: bool = True) -> dict[int, tuple]:
     """By first symbol: (L suffixes, values, S suffixes, values), each ascending; a value is the common prefix with the one before.
 
     ``seeds``: S* suffixes by first symbol in order, with their values. Values of first suffixes of a symbol's
-    L or S part are 0.
+    L or S part are 0. Without ``carry`` all values are 0.
     """
     symbols = sorted(set(np.unique(text).tolist()))
     runs = run_lengths(text)
@@ -169,14 +174,14 @@ def induce(text: np.ndarray, kinds: np.ndarray, seeds: dict[int, tuple[np.ndarra
         q = queues.setdefault(c, Queue(space))
         while (batch := q.take()) is not None:
             got.append(batch)
-            _feed(queues, space, text, kinds, False, batch[0], batch[1], depth)
+            _feed(queues, space, text, kinds, False, batch[0], batch[1] if carry else None, depth)
         large[c] = (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else empty
         queues.pop(c)
         if c in seeds:
             suffix, prefix = seeds[c]
             prefix = prefix.copy()
             prefix[0] = min(runs[suffix[0]], runs[large[c][0][-1]]) if got else 0
-            _feed(queues, space, text, kinds, False, suffix, prefix, depth)
+            _feed(queues, space, text, kinds, False, suffix, prefix if carry else None, depth)
     out: dict[int, tuple] = {}
     queues = {symbols[0]: Queue(space)}
     queues[symbols[0]].put(np.array([len(text) - 1]), np.zeros(1, np.int32))  # the last suffix, which nothing induces
@@ -185,14 +190,14 @@ def induce(text: np.ndarray, kinds: np.ndarray, seeds: dict[int, tuple[np.ndarra
         q = queues.setdefault(c, Queue(space))
         while (batch := q.take()) is not None:
             got.append(batch)
-            _feed(queues, space, text, kinds, True, batch[0], batch[1], depth)
+            _feed(queues, space, text, kinds, True, batch[0], batch[1] if carry else None, depth)
         queues.pop(c)
         small = (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else empty
         suffix, prefix = large[c]
         if len(suffix):
             # descending: each value belongs to the pair with the one that follows it
             down = np.concatenate([[min(runs[small[0][-1]], runs[suffix[-1]]) if len(small[0]) else 0], prefix[1:][::-1]]).astype(np.int32)
-            _feed(queues, space, text, kinds, True, suffix[::-1], down, depth)
+            _feed(queues, space, text, kinds, True, suffix[::-1], down if carry else None, depth)
         up = np.concatenate([[0], small[1][1:][::-1]]).astype(np.int32) if len(small[0]) else small[1]
         out[c] = (suffix, prefix, small[0][::-1], up)
     return out
@@ -213,7 +218,7 @@ def sort_names(names: np.ndarray, reach: int) -> np.ndarray:
         if width < n:
             follow[:-width] = rank[width:] + 1
         key = rank * (n + 2) + follow
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = fresh
@@ -232,18 +237,31 @@ class Prints:
     def of(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return mix((self.total[stop] - self.total[start]) * self.inverse[start])
 
-    def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-        """Common prefix of the suffixes at a and b, up to ``most``."""
+    def same(self, a: np.ndarray, b: np.ndarray, length: np.ndarray | int) -> np.ndarray:
+        """Whether the substrings of this length are equal; not beyond the text."""
         n = len(self.total) - 1
-        low, step = np.zeros(len(a), np.int64), 1 << max(0, most.bit_length() - 1)
-        while step:
-            more = low + step
-            ok = (more <= most) & (a + more <= n) & (b + more <= n)
-            ea, eb = np.minimum(a + more, n), np.minimum(b + more, n)
-            ok &= self.of(a, ea) == self.of(b, eb)
-            low[ok] = more[ok]
-            step >>= 1
-        return low
+        ea, eb = a + length, b + length
+        inside = (ea <= n) & (eb <= n)
+        ea, eb = np.minimum(ea, n), np.minimum(eb, n)
+        # (total[e] - total[s]) / base**s compared without division by either power
+        left = (self.total[ea] - self.total[a]) * self.inverse[a]
+        return inside & (left == (self.total[eb] - self.total[b]) * self.inverse[b])
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        """Common prefix of the suffixes at a and b, up to ``most``: whole ones first, then short ones, then by halving."""
+        out = np.full(len(a), most, np.int64)
+        rest = np.flatnonzero(~self.same(a, b, most))
+        short = min(16, most)
+        beyond = self.same(a[rest], b[rest], short)
+        for part, low, high in ((rest[~beyond], 0, short), (rest[beyond], short, most)):
+            x, y = a[part], b[part]
+            lo, hi = np.full(len(part), low), np.full(len(part), high)
+            while len(part) and (hi - lo > 1).any():
+                mid = (lo + hi) // 2
+                ok = self.same(x, y, mid)
+                lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid)
+            out[part] = lo
+        return out
 
 
 def suffix_array(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> tuple[np.ndarray, np.ndarray]:
@@ -261,7 +279,7 @@ def suffix_array(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> tu
         if len(star) > 1:
             # substrings from each S* suffix to the next, sorted by a first induction, then named
             by_head = star[np.argsort(held[star], kind="stable")]
-            first = induce(held, kinds, _by_symbol(held, by_head, np.zeros(len(by_head), np.int32)), space, depth)
+            first = induce(held, kinds, _by_symbol(held, by_head, np.zeros(len(by_head), np.int32)), space, depth, False)
             is_star = np.zeros(len(text), bool)
             is_star[star] = True
             order = np.concatenate([np.concatenate([v[0], v[2]]) for _, v in sorted(first.items())])
