@@ -20,11 +20,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomctx.llm.stage import raw_text, written
-from loomctx.llm.textkernel import _BASE, _INV, _VALUE, _VALUE_LOWER, blocks, mix, powers, windows, within
+from loomctx.llm.textkernel import _BASE, _INV, _VALUE_LOWER, blocks, mix, powers, windows, within
 
 _U = np.uint64
 # Words that count as numbers and as units.

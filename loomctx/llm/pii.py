@@ -67,9 +67,13 @@ def _digits(body: Column, drop: str) -> Column:
 
 
 def _octets(body: Column) -> Column:
-    return F.forall(F.split(body, r"\."), lambda p: F.char_length(F.ltrim(p, F.lit("0"))) <= 2) | F.forall(
-        F.split(body, r"\."), lambda p: (F.char_length(F.ltrim(p, F.lit("0"))) <= 3) & (F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int").isNull() | (F.substring(F.ltrim(p, F.lit("0")), 1, 3).try_cast("int") <= 255))
-    )
+    """All four parts are at most 255, leading zeros aside."""
+
+    def ok(part: Column) -> Column:
+        bare = F.ltrim(part, F.lit("0"))
+        return (F.char_length(bare) <= 3) & (F.coalesce(F.substring(bare, 1, 3).try_cast("int"), F.lit(0)) <= 255)
+
+    return F.forall(F.split(body, r"\."), ok)
 
 
 def _luhn(digits: Column) -> Column:
