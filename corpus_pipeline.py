@@ -7,7 +7,6 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from loomctx.llm.decontam import contaminated
 from loomctx.llm.mixing import mix
