@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from loomctx import schema as S
 from loomctx.functions.text import hop_decay, percent, query_tokens, round2, short_name
-from loomctx.operators.graph import paths_matching, walk
+from loomctx.operators.graph import cut, paths_matching, walk
 from loomctx.operators.search import bm25, lengths, matched_term, positional, postings
 
 
@@ -105,7 +105,8 @@ def gather(requests: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataF
     chunks = valid.where(F.col("kind") == S.CHUNK)
     if posts is None:
         posts = postings(nodes.where(F.col("valid") & (F.col("kind") != S.FILE)), "id", "symbol", "path", "content")
-    seeds = precedence(anchors(asked, chunks, files.where("skipped is null")).unionByName(search_hits(requests, nodes, posts, lengths(posts))))
+    # a hundred rows or so for each request, read many times below
+    seeds = cut(precedence(anchors(asked, chunks, files.where("skipped is null")).unionByName(search_hits(requests, nodes, posts, lengths(posts)))))
     order = Window.partitionBy("path").orderBy("byte_start", "id")
     members = chunks.withColumn("k", F.row_number().over(order)).where(F.col("k") <= S.FILE_FANOUT).select("path", F.col("id").alias("member"))
     inside = valid.where(F.col("kind") == S.FILE).select("id", "path").join(members, "path").select("id", "member")
@@ -179,7 +180,7 @@ def build_packs(requests: DataFrame, nodes: DataFrame, edges: DataFrame, files:
     """(items, totals) of every request. Items carry type, lines, reason, score and detail; their content is joined last, for chosen nodes only."""
     modes = profiles(requests.sparkSession, weights, threshold)
     requests = requests.withColumn("mode", F.when(F.coalesce("mode", F.lit("")) == "", "default").otherwise(F.col("mode")))
-    candidates = gather(requests, nodes, edges, files, modes, posts)
+    candidates = cut(gather(requests, nodes, edges, files, modes, posts))
     chosen = select_budget(with_signatures(candidates, nodes), requests)
     wanted = requests.select("request_id", F.coalesce("include_content", F.lit(True)).alias("include_content"))
     items = chosen.join(nodes.select("id", "hash", "kind", "path", "symbol", "role", "line_start", "line_end", "tokens", "content"), "id").join(wanted, "request_id")
