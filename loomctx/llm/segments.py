@@ -157,18 +157,21 @@ def _cut(kind: str, length: int):
     return kernel
 
 
-def repeated(texts: DataFrame, kind: str, length: int, gram: int, compare, first_stays: bool) -> DataFrame:
+def repeated(texts: DataFrame, kind: str, length: int, gram: int, compare, first_stays: bool, keep: bool) -> DataFrame:
     """(row, spans): for each document with repeated windows, the element ranges (start, stop) that they cover.
 
     ``compare`` is a mapInArrow kernel over the first segments of one task's anchors, sorted by anchor, which returns
     (row, start, n) of runs of windows to remove. With ``first_stays`` the first of equal segments isn't removed
-    by its copies.
+    by its copies. With ``keep`` segment rows are written once, else made again where hot anchors need a second look: rows of long
+    windows are few, those of short ones would take as much room as the texts.
     """
     schema = "anchor long, content long, row long, start int, n int, inside boolean"
     found = texts.mapInArrow(_segment_rows(kind, length, gram), schema)
+    found = written(found, "all") if keep else found
     # Anchors that many documents may share, by a sample; which path an anchor takes does not change the result.
     most = max(HOT_ROWS, texts.count() // HOT_SHARE)
-    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(HOT_SAMPLE)) == 0).mapInArrow(_segment_rows(kind, length, gram), schema)
+    chosen = F.pmod(F.xxhash64("row"), F.lit(HOT_SAMPLE)) == 0
+    sample = found.where(chosen) if keep else texts.where(chosen).mapInArrow(_segment_rows(kind, length, gram), schema)
     hot = written(sample.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > most / (2 * HOT_SAMPLE)).select("anchor"), "hot")
     some_hot = not hot.isEmpty()
     cool = found.join(F.broadcast(hot), "anchor", "left_anti") if some_hot else found

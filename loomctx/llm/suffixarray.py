@@ -31,7 +31,7 @@ from loomctx.llm.textkernel import _BASE, _INV, _VALUE, mix, powers
 
 _U = np.uint64
 GRAM = 24
-SHARD = 4 << 20
+SHARD = 1 << 20
 #: Tuples in memory before queues go to disk, and text length from which arrays are memory-mapped.
 IN_MEMORY = 1 << 24
 _FAR = np.int32(1 << 30)
@@ -158,14 +158,13 @@ def _feed(queues: dict[int, Queue], space: Workspace, text, kinds, want_s: bool,
             q.fed = False
 
 
-def induce(text: np.ndarray, kinds: np.ndarray, seeds: dict[int, tuple[np.ndarray, np.ndarray]], space: Workspace, depth: int, carry: bool = True) -> dict[int, tuple]:
+def induce(text: np.ndarray, kinds: np.ndarray, seeds: dict[int, tuple[np.ndarray, np.ndarray]], space: Workspace, depth: int, runs: np.ndarray, carry: bool = True) -> dict[int, tuple]:
     """By first symbol: (L suffixes, values, S suffixes, values), each ascending; a value is the common prefix with the one before.
 
     ``seeds``: S* suffixes by first symbol in order, with their values. Values of first suffixes of a symbol's
     L or S part are 0. Without ``carry`` all values are 0.
     """
-    symbols = sorted(set(np.unique(text).tolist()))
-    runs = run_lengths(text)
+    symbols = np.flatnonzero(np.bincount(text)).tolist()
     queues: dict[int, Queue] = {}
     large: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     empty = np.empty(0, np.int64), np.empty(0, np.int32)
@@ -211,18 +210,20 @@ def _by_symbol(text: np.ndarray, suffixes: np.ndarray, values: np.ndarray) -> di
 
 
 def sort_names(names: np.ndarray, reach: int) -> np.ndarray:
-    """Order of the suffixes of a string of names, to a depth of ``reach`` names, by doubling."""
+    """Order of the suffixes of a string of names, to a depth of ``reach`` names, by doubling; by threes where ranks are small enough."""
     rank, width, n = names.astype(np.int64), 1, len(names)
+    times = 3 if n < (1 << 21) - 2 else 2
     while True:
-        follow = np.zeros(n, np.int64)
-        if width < n:
-            follow[:-width] = rank[width:] + 1
-        key = rank * (n + 2) + follow
+        key = rank.copy()
+        for k in range(1, times):
+            key *= n + 2
+            if k * width < n:
+                key[: n - k * width] += rank[k * width :] + 1
         order = np.argsort(key)
         fresh = np.concatenate([[0], np.cumsum(key[order][1:] != key[order][:-1])])
         rank = np.empty(n, np.int64)
         rank[order] = fresh
-        width *= 2
+        width *= times
         if width >= reach or fresh[-1] == n - 1:
             return order
 
@@ -274,12 +275,12 @@ def suffix_array(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> tu
     try:
         held = space.array(len(text), np.uint16)
         held[:] = text
-        kinds = types(text)
+        kinds, runs = types(text), run_lengths(text)
         star = np.flatnonzero(kinds[1:] & ~kinds[:-1]) + 1
         if len(star) > 1:
             # substrings from each S* suffix to the next, sorted by a first induction, then named
             by_head = star[np.argsort(held[star], kind="stable")]
-            first = induce(held, kinds, _by_symbol(held, by_head, np.zeros(len(by_head), np.int32)), space, depth, False)
+            first = induce(held, kinds, _by_symbol(held, by_head, np.zeros(len(by_head), np.int32)), space, depth, runs, False)
             is_star = np.zeros(len(text), bool)
             is_star[star] = True
             order = np.concatenate([np.concatenate([v[0], v[2]]) for _, v in sorted(first.items())])
@@ -295,8 +296,7 @@ def suffix_array(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> tu
             values = np.concatenate([[0], prints.common(order[:-1], order[1:], depth)]).astype(np.int32)
         else:
             order, values = star, np.zeros(len(star), np.int32)
-        final = induce(held, kinds, _by_symbol(held, order, values), space, depth)
-        runs = run_lengths(held)
+        final = induce(held, kinds, _by_symbol(held, order, values), space, depth, runs)
         suffixes, prefixes = [], []
         for _, (large, lv, small, sv) in sorted(final.items()):
             lv, sv = lv.copy(), sv.copy()
@@ -358,7 +358,7 @@ def repeated_bytes(docs: DataFrame, length: int = 400) -> DataFrame:
     doc_id, and null ids, are documents of their own, so equal rows remove each other's long strings.
     """
     texts, ids = keyed(docs)
-    spans = repeated(texts, "bytes", length, GRAM, _compare(length), first_stays=False)
+    spans = repeated(texts, "bytes", length, GRAM, _compare(length), first_stays=False, keep=True)
     out = texts.join(spans, "row", "left").mapInArrow(_strip, "row long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,stop:int>>")
     out = out.withColumn("doc_id", F.col("row")) if ids is None else out.join(ids, "row")
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")

@@ -134,7 +134,7 @@ def repeated_words(docs: DataFrame, length: int = 20) -> DataFrame:
     Rows that repeat a doc_id, and null ids (last), are documents of their own in the order of their texts' hash.
     """
     texts, ids = keyed(docs)
-    spans = repeated(texts, "words", length, GRAM, _compare(length), first_stays=True)
+    spans = repeated(texts, "words", length, GRAM, _compare(length), first_stays=True, keep=False)
     out = texts.join(spans, "row", "left").mapInArrow(_strip, "row long, n_words long, n_removed long, kept_sha256 string, spans array<struct<start:int,stop:int>>")
     out = out.withColumn("doc_id", F.col("row")) if ids is None else out.join(ids, "row")
     return out.select("doc_id", "n_words", "n_removed", "kept_sha256", "spans")
