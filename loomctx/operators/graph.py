@@ -135,7 +135,8 @@ def walk(seeds: DataFrame, edges: DataFrame, valid: DataFrame, priors, hops: int
     """
     keys = list(group)
     some = edges.where(F.col("kind").isin(*S.WALK_KINDS))
-    both = some.select(F.col("src").alias("source"), F.col("dst").alias("id"), "kind", F.lit(False).alias("reverse")).unionByName(some.select(F.col("dst").alias("source"), F.col("src").alias("id"), "kind", F.lit(True).alias("reverse")))
+    end = lambda a, b, reverse: F.struct(F.col(a).alias("source"), F.col(b).alias("id"), F.lit(reverse).alias("reverse"))
+    both = some.select("kind", F.explode(F.array(end("src", "dst", False), end("dst", "src", True))).alias("e")).select("e.source", "e.id", "kind", "e.reverse")
     known = seeds.select(*keys, "id").distinct()
     frontier, found = known, None
     for hop in range(1, hops + 1):
@@ -148,7 +149,7 @@ def walk(seeds: DataFrame, edges: DataFrame, valid: DataFrame, priors, hops: int
         steps = steps.join(valid.select("id"), "id", "left_semi").join(known, [*keys, "id"], "left_anti")
         steps = steps.withColumn("reason", reasons(F.col("kind"), F.col("reverse")))
         best = steps.groupBy(*keys, "id").agg(F.min_by(F.struct("reason", "source"), F.struct((-priors(F.col("reason"))).alias("p"), "kind", "reverse", "source")).alias("b"))
-        level = best.select(*keys, "id", F.lit(hop).alias("hops"), "b.reason", "b.source")
+        level = cut(best.select(*keys, "id", F.lit(hop).alias("hops"), "b.reason", "b.source"))
         found = level if found is None else found.unionByName(level)
         frontier = level.select(*keys, "id")
         known = known.unionByName(frontier)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomctx import schema as S
 from loomctx.functions.text import hop_decay, percent, query_tokens, round2, short_name
 from loomctx.operators.graph import cut, paths_matching, walk
-from loomctx.operators.search import bm25, lengths, matched_term, positional, postings
+from loomctx.operators.search import bm25, lengths, matched_term, positional, postings, query_terms
 
 
 def profiles(spark: SparkSession, weights: dict[str, float] | None = None, threshold: float = 0.0) -> DataFrame:
@@ -87,9 +87,9 @@ def symbol_hits(chunks: DataFrame, names: DataFrame, limit: int) -> DataFrame:
     return by_name.join(names, "name").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).select("name", "id", "nth")
 
 
-def search_hits(requests: DataFrame, nodes: DataFrame, posts: DataFrame, dl: DataFrame, limit: int = S.SEARCH_HITS) -> DataFrame:
+def search_hits(requests: DataFrame, nodes: DataFrame, posts: DataFrame, dl: DataFrame, limit: int = S.SEARCH_HITS, restricted: bool = False) -> DataFrame:
     """Candidates by BM25; hits on signatures stand for their chunks. Scores are positions among raw hits, before invalid nodes go."""
-    ranked = positional(bm25(posts, dl, requests.select(F.col("request_id").alias("query_id"), "query")), limit)
+    ranked = positional(bm25(posts, dl, requests.select(F.col("request_id").alias("query_id"), "query"), restricted), limit)
     hits = ranked.withColumnRenamed("query_id", "request_id").join(nodes.where("valid").select("id", "kind", "path", "symbol", "content"), "id").join(requests.select("request_id", "query"), "request_id")
     hits = hits.withColumn("term", matched_term("query", F.col("symbol"), F.col("content")))
     chunk = _first(nodes.where("valid"), S.CHUNK, "chunk")
@@ -103,10 +103,12 @@ def gather(requests: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataF
     slim = nodes.select("id", "hash", "kind", "path", "symbol", "role", "byte_start", "byte_end", "line_start", "line_end", "tokens", "centrality", "valid")
     valid = slim.where("valid")
     chunks = valid.where(F.col("kind") == S.CHUNK)
-    if posts is None:
-        posts = postings(nodes.where(F.col("valid") & (F.col("kind") != S.FILE)), "id", "symbol", "path", "content")
+    searched = (nodes.where(F.col("valid") & (F.col("kind") != S.FILE)), "id", "symbol", "path", "content")
+    restricted = posts is None
+    if restricted:
+        posts = postings(*searched, only=query_terms(requests.select(F.col("request_id").alias("query_id"), "query")))
     # a hundred rows or so for each request, read many times below
-    seeds = cut(precedence(anchors(asked, chunks, files.where("skipped is null")).unionByName(search_hits(requests, nodes, posts, lengths(posts)))))
+    seeds = cut(precedence(anchors(asked, chunks, files.where("skipped is null")).unionByName(search_hits(requests, nodes, posts, lengths(*searched), restricted=restricted))))
     order = Window.partitionBy("path").orderBy("byte_start", "id")
     members = chunks.withColumn("k", F.row_number().over(order)).where(F.col("k") <= S.FILE_FANOUT).select("path", F.col("id").alias("member"))
     inside = valid.where(F.col("kind") == S.FILE).select("id", "path").join(members, "path").select("id", "member")

@@ -18,27 +18,42 @@ def fold(text):
     return F.translate(F.lower(text), ACCENTED, PLAIN)
 
 
-def postings(docs: DataFrame, id_col: str, *texts: str) -> DataFrame:
-    """(term, id, tf): folded words of the given columns; null columns are empty."""
-    body = F.concat_ws(" ", *(F.coalesce(F.col(t), F.lit("")) for t in texts))
-    terms = docs.select(F.col(id_col).alias("id"), F.explode(words(fold(body))).alias("term"))
+def _body(texts):
+    return F.concat_ws(" ", *(F.coalesce(F.col(t), F.lit("")) for t in texts))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, term, mult): folded terms of queries (query_id, query); repeated terms count."""
+    terms = queries.select("query_id", F.explode(search_terms("query")).alias("t")).select("query_id", fold(F.col("t")).alias("term"))
+    return terms.groupBy("query_id", "term").agg(F.count("*").alias("mult"))
+
+
+def postings(docs: DataFrame, id_col: str, *texts: str, only: DataFrame | None = None) -> DataFrame:
+    """(term, id, tf): folded words of the given columns; null columns are empty.
+
+    With ``only`` (term) just the postings of these terms are made: the rest is dropped before anything is shuffled.
+    """
+    terms = docs.select(F.col(id_col).alias("id"), F.explode(words(fold(_body(texts)))).alias("term"))
+    if only is not None:
+        terms = terms.join(only.select("term").distinct(), "term", "left_semi")
     return terms.groupBy("term", "id").agg(F.count("*").alias("tf"))
 
 
-def lengths(posts: DataFrame) -> DataFrame:
-    return posts.groupBy("id").agg(F.sum("tf").alias("dl"))
+def lengths(docs: DataFrame, id_col: str, *texts: str) -> DataFrame:
+    """(id, dl): words of each document that has any; no shuffle."""
+    return docs.select(F.col(id_col).alias("id"), F.size(words(_body(texts))).cast("long").alias("dl")).where("dl > 0")
 
 
-def bm25(posts: DataFrame, dl: DataFrame, queries: DataFrame, n_docs: int | None = None) -> DataFrame:
+def bm25(posts: DataFrame, dl: DataFrame, queries: DataFrame, restricted: bool = False) -> DataFrame:
     """(query_id, id, score) of every document with a term of the query; repeated terms count repeatedly.
 
-    Only postings of query terms are read beyond the document frequencies; queries are a table, so many are answered in one job.
+    Queries are a table, so many are answered in one job. ``restricted`` says that ``posts`` has the queries' terms only.
     """
-    terms = queries.select("query_id", F.explode(search_terms("query")).alias("t")).select("query_id", fold(F.col("t")).alias("term"))
-    terms = terms.groupBy("query_id", "term").agg(F.count("*").alias("mult"))
+    terms = query_terms(queries)
     stats = dl.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = posts.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    hits = posts if restricted else posts.join(terms.select("term").distinct(), "term", "left_semi")
+    # tf takes part so that both uses of the postings read one exchange
+    df = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = terms.join(df, "term").crossJoin(F.broadcast(stats)).withColumn("idf", F.when(idf <= 0, 1e-6).otherwise(idf))  # stats is one row
     part = F.col("mult") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))

@@ -271,9 +271,10 @@ _BM25 = rf"""docterms AS (SELECT doc_id, unnest(regexp_extract_all({_FOLD.format
 
 
 def _ranked(spark, sf):
-    posts = search.postings(A.table(spark, sf, "documents").where("text is not null"), "doc_id", "text")
+    docs = A.table(spark, sf, "documents").where("text is not null")
     queries = A.query_requests(spark, sf).select(F.col("request_id").cast("long").alias("query_id"), "query")
-    return search.positional(search.bm25(posts, search.lengths(posts), queries), S.SEARCH_HITS)
+    posts = search.postings(docs, "doc_id", "text", only=search.query_terms(queries))
+    return search.positional(search.bm25(posts, search.lengths(docs, "doc_id", "text"), queries, restricted=True), S.SEARCH_HITS)
 
 
 @query(f"WITH {_BM25} SELECT item_id AS query_id, doc_id AS id, score FROM top")
@@ -312,7 +313,7 @@ def _hop(n: int, frontier: str, known: str) -> str:
 )
 def graph_walk_2hop(spark, sf):
     seeds = A.table(spark, sf, "part").where("p_partkey <= 5").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
-    return G.walk(seeds, G.max_weight(A.graph_edges(spark, sf)), A.graph_nodes(spark, sf).where("valid"), pack.default_prior)
+    return G.walk(seeds, A.graph_edges(spark, sf), A.graph_nodes(spark, sf).where("valid"), pack.default_prior)
 
 
 def _profiles_sql() -> str:
@@ -540,7 +541,7 @@ def find_tests(spark, sf):
     SELECT id, min(d) AS distance, CASE WHEN starts_with(id, 'o') THEN 'called_by' ELSE 'imported_by' END AS via FROM bfs GROUP BY id HAVING min(d) > 0"""
 )
 def impact_bfs(spark, sf):
-    return G.impact(_first_parts(spark, sf, 3), _graph(spark, sf)[1], 2)
+    return G.impact(_first_parts(spark, sf, 3), A.graph_edges(spark, sf), 2)
 
 
 @query(
@@ -716,8 +717,7 @@ def _packs(spark, sf, budget=2000):
     edges = G.doc_mentions(docs, names)  # documents have no code edges
     files = nodes.where("kind = 2").select("path", F.lit(None).cast("string").alias("skipped"))
     hot = hotset.hot_members(nodes)
-    posts = search.postings(nodes.where("kind = 2"), "id", "symbol", "path", "content")
-    return pack.build_packs(A.query_requests(spark, sf, budget), nodes, edges, files, hot, 1, posts=posts)
+    return pack.build_packs(A.query_requests(spark, sf, budget), nodes, edges, files, hot, 1)
 
 
 @query(None)

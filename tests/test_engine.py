@@ -132,7 +132,7 @@ def test_bm25_like_fts5(spark):
     want = {r: -s for r, s in con.execute("select rowid, bm25(t) from t where t match 'fox OR quick OR cafe'")}
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, body string")
     posts = search.postings(docs, "id", "body")
-    got = search.bm25(posts, search.lengths(posts), spark.createDataFrame([(1, "fox quick café")], "query_id int, query string"))
+    got = search.bm25(posts, search.lengths(docs, "id", "body"), spark.createDataFrame([(1, "fox quick café")], "query_id int, query string"))
     assert {r["id"]: pytest.approx(r["score"], abs=1e-5) for r in got.collect()} == want
 
 
