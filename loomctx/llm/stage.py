@@ -19,7 +19,8 @@ _PATHS: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder for intermediate tables, from the session; a local one where it names none."""
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
+    known = sc._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (None if known.isEmpty() else known.get())
     if named:
         return str(named).rstrip("/")
     local = "file://" + tempfile.mkdtemp(prefix="loomctx-")
