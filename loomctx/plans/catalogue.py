@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from loomctx import schema as S
 from loomctx.functions import sections
 from loomctx.functions import text as T
+from loomctx.functions.parse import declarations
 from loomctx.operators import graph as G
 from loomctx.operators import hotset, lookup, maintain, pack, render, report, search
 from loomctx.plans import adapters as A
+from loomctx.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -735,3 +737,52 @@ def bench_token_savings(spark, sf):
 def eval_by_budget(spark, sf):
     rows = [_packs(spark, sf, b)[1].withColumn("budget", F.lit(b)) for b in (2000, 6000, 12000)]
     return report.grouped_medians(rows[0].unionByName(rows[1]).unionByName(rows[2]), "budget", "selected_tokens", "raw_tokens", "saved_pct")
+
+
+# --- sources and parsing ------------------------------------------------------------------------------------------
+
+
+@query(
+    r"""SELECT 'f' || doc_id AS path, CASE doc_id % 3 WHEN 0 THEN 'binary' WHEN 1 THEN 'non-utf8' END AS skipped, CASE WHEN doc_id % 3 = 2 THEN sha256(regexp_replace(text, '\n+$', '') || chr(10)) END AS content_sha FROM documents WHERE text IS NOT NULL"""
+)
+def src_prepare(spark, sf):
+    k, body = F.col("doc_id") % 3, F.col("text").cast("binary")
+    content = F.when(k == 0, F.concat(body, F.unhex(F.lit("00")))).when(k == 1, F.concat(body, F.unhex(F.lit("FF")))).otherwise(body)
+    rows = A.table(spark, sf, "documents").where("text is not null").select(F.concat(F.lit("f"), "doc_id").alias("path"), F.lit(0).cast("long").alias("mtime"), F.octet_length(content).cast("long").alias("size"), content.alias("content"))
+    return files.prepare(rows).select("path", "skipped", "content_sha")
+
+
+_SOURCES = [
+    ("a.py", "python", "import os\n\n@dec\ndef f(a):\n    return g(self.h(a))\n\nclass K(B, m.C):\n    def q(self):\n        run()\n"),
+    ("broken.py", "python", "from .x import y\ndef ok(a):\n    return run(a)\n\ndef bad(:\n    x\n"),
+    ("b.ts", "typescript", "import { a } from './a';\nexport class Foo extends Bar implements Baz {\n  run(x: string) { go(`n ${fmt(x)} }`); }\n}\nexport const add = (a: number) => sum(a);\ntype U = 'a' | 'b';\n"),
+    ("C.java", "java", 'package p;\nimport java.util.List;\npublic class C extends D<E> implements I {\n  int run(String s) { helper("}"); return new Inner().call(); }\n}\nrecord R(int a) { int t() { return dbl(a); } }\n'),
+    ("d.txt", "text", "def f(): pass\n"),
+]
+
+
+@query(
+    """SELECT * FROM (VALUES ('a.py', 'function', 'f', 3, 5, 'g|h', '', ''), ('a.py', 'class', 'K', 7, 9, 'run', 'B|C', ''), ('broken.py', 'function', 'ok', 2, 3, 'run', '', ''), ('broken.py', 'function', 'bad', 5, 6, '', '', ''),
+    ('b.ts', 'class', 'Foo', 2, 4, 'fmt|go', 'Bar', 'Baz'), ('b.ts', 'function', 'add', 5, 5, 'sum', '', ''), ('b.ts', 'type', 'U', 6, 6, '', '', ''), ('C.java', 'class', 'C', 3, 5, 'Inner|call|helper', 'D|E', 'I'), ('C.java', 'record', 'R', 6, 6, 'dbl', '', ''))
+    t(path, kind, name, line_start, line_end, calls, bases, impls)"""
+)
+def tg_declarations(spark, sf):
+    d = declarations(spark.createDataFrame(_SOURCES, "path string, lang string, text string")).select("path", F.explode("decls").alias("d"))
+    return d.select("path", "d.kind", "d.name", "d.line_start", "d.line_end", *(F.array_join(f"d.{c}", "|").alias(c) for c in ("calls", "bases", "impls")))
+
+
+@query("SELECT * FROM (VALUES ('a.py', 'os'), ('broken.py', '.x'), ('b.ts', './a'), ('C.java', 'java.util.List')) t(path, module)")
+def tg_imports(spark, sf):
+    return declarations(spark.createDataFrame(_SOURCES, "path string, lang string, text string")).select("path", F.explode("imports").alias("module"))
+
+
+@query(
+    "SELECT version, position, node_id FROM (VALUES (2, 1, 'a'), (2, 2, 'b'), (3, 1, 'a'), (3, 2, 'c'), (4, 1, 'a'), (4, 2, 'd')) t(version, position, node_id)"
+)
+def hot_set_versions(spark, sf):
+    """A changed membership makes version 4 and drops version 1; unchanged members make none."""
+    rows = [(1, 1, "z"), (2, 1, "a"), (2, 2, "b"), (3, 1, "a"), (3, 2, "c")]
+    before = spark.createDataFrame(rows, "version long, position long, node_id string")
+    members = lambda *ids: spark.createDataFrame(list(enumerate(ids, 1)), "position long, node_id string")
+    changed = hotset.next_version(before, members("a", "d"))
+    return hotset.next_version(changed, members("a", "d"))
