@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomctx.llm.stage import raw_text
+from loomctx.llm.stage import raw_text, small_batches
 from loomctx.llm.textkernel import blocks
 
 STARTS = range(4, 9)
@@ -188,3 +188,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
     names, weights, bias = fit(docs, labels, **parameters)
     scored = raw_text(docs).mapInArrow(_score(names, weights, bias), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id"), parameters.get("folds", 5), parameters.get("fold", 0)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _drop(voters: list[bytes], weights: list[float], bias: float):
+    def kernel(batches):
+        lexicon = Lexicon(voters)
+        for batch in batches:
+            bodies = batch.column("text").cast(pa.binary()).to_pylist()
+            yield batch.filter(pa.array([bias + sum(weights[i] for i in lexicon.votes(b or b"")) < 0 for b in bodies], pa.bool_()))
+
+    return kernel
+
+
+def not_toxic(docs: DataFrame, labels: DataFrame, **parameters) -> DataFrame:
+    """The rows of ``docs`` that ``toxicity`` predicts 0 for, with all their columns; scored and dropped in one pass, by row, so ids don't matter."""
+    small_batches(docs.sparkSession)
+    return docs.mapInArrow(_drop(*fit(docs, labels, **parameters)), docs.schema)

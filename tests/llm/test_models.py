@@ -102,3 +102,11 @@ def test_odd_rows(spark, odd, nothing):
 def test_language_held_out(docs):
     got = langid.identify(docs).join(docs.select("doc_id", "lang", "n_chars"), "doc_id").where("held_out and n_chars > 100").toPandas()
     assert len(got) > 20 and (got.lang == got.lang_pred).mean() > 0.85
+
+
+def test_dropping_follows_the_scores(spark, sf, docs, odd):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    kept = toxicity.not_toxic(docs, labels)
+    want = {r["doc_id"] for r in toxicity.toxicity(docs, labels).where("predicted = 0").collect()}
+    assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
+    assert toxicity.not_toxic(odd, labels).columns == odd.columns
