@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomctx.llm.components import components
-from loomctx.llm.stage import raw_text, written
+from loomctx.llm.stage import raw_text, release, written
 from loomctx.llm.textkernel import Words, blocks, mix, windows, within
 
 SHINGLE = 5
@@ -244,7 +244,10 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, sketch_margin: flo
     meeting = several.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "c", (F.col("c") == F.col("main")).alias("in_main"))
     meeting = meeting.join(reps.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id").join(sets.select("doc_id", "sketch"), "doc_id").select("band", "i", "j", "side", "doc_id", "c", "in_main", "bands", "sketch")
     rest = meeting.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across(most), "x long, y long").distinct()
-    final = components(edges(known).union(written(confirmed(rest), "links"))).where("id != component")
+    last = written(confirmed(rest), "links")
+    # what follows reads the signatures and the components only
+    release(sets, members, star)
+    final = components(edges(known).union(last)).where("id != component")
     return (
         signed.select("doc_id", "n_shingles", "print_a", "print_b")
         .join(classes, ["print_a", "print_b"], "left")

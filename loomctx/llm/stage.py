@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PATHS: list[tuple[SparkSession, str]] = []
+_FRAMES: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -34,7 +35,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _PATHS.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _FRAMES[id(out)] = path
+    return out
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete written tables that nothing still to be run reads."""
+    for df in frames:
+        path = _FRAMES.pop(id(df), None)
+        if path is not None:
+            _delete(df.sparkSession, path)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
