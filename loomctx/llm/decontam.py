@@ -6,11 +6,13 @@ Tokens are maximal runs of letters or of digits (with inner points and commas).
 * a unit right after a number by ``<unit>``,
 * a word with one capital, its first letter, that doesn't begin a sentence by ``<name>``,
 
-and lower-cases the rest. Windows of ``width`` tokens with at least ``literals`` literal ones are hashed (an item with
-fewer tokens, four at least, is one window). A document's windows that equal an item's are joined with it; then the slots are checked: within a document and
-item each slot value of the item must always stand for the same value, names for names and numbers for numbers. Windows that
-break this majority mapping don't count. A pair is reported when the consistent windows cover ``share`` of the item's
-or ``run`` of them match.
+and lower-cases the rest. Windows of ``width`` tokens are hashed (an item with fewer tokens is one window) in up to two readings:
+as a template where at least ``literals`` tokens are literal and the window has four at least, and by the words themselves.
+A document's windows that equal an item's are joined with it; then the slots of templates are checked: within a document and
+item each slot value of the item must always stand for the same value, names for names and numbers for numbers. Templates that
+break this majority mapping don't count. A pair is reported when the windows found cover ``share`` of the item's, or of those of
+them that have a template, or ``run`` of them match. So a verbatim copy of any item with a letter or digit is found, however few literal
+tokens it has.
 
 The items' window hashes are sent to every task while there are at most ``sent`` of them (8 bytes each); a larger benchmark is
 joined by shuffling the documents' windows, with the same result.
@@ -36,6 +38,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
 _BREAK = np.zeros(256, bool)
 _BREAK[[ord(c) for c in ".!?:;\n"]] = True
+#: Tokens that a template has at least.
+SHORTEST = 4
 _NUM, _UNIT, _NAME = _U(0x6E756D), _U(0x756E6974), _U(0x6E616D65)
 
 
@@ -89,18 +93,23 @@ class Template:
         self.slot = number | unit | name
         self.template = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, self.value)))
 
-    def windows(self, width: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """First tokens and hashes of the windows of this width that count."""
-        hashes = windows(self.template, width)
-        if not len(hashes):
-            return np.empty(0, np.int64), hashes
-        literal = np.concatenate([[0], np.cumsum(~self.slot)])
-        ok = within(self.doc, width) & (literal[width:] - literal[:-width] >= literals)
-        return np.flatnonzero(ok), hashes[ok] + _U(width)
-
-    def slots(self, at: int, width: int) -> list[int]:
+    def readings(self, width: int, literals: int):
+        """(first tokens, hashes, slot flags) of the windows of this width: as templates, then by the words themselves where that differs."""
+        inside = within(self.doc, width)
+        if not len(inside):
+            return
+        slots = np.concatenate([[0], np.cumsum(self.slot)])
+        slots = slots[width:] - slots[:-width]
+        plain = inside
+        if width >= SHORTEST:
+            ok = inside & (width - slots >= min(literals, width - 1))
+            yield np.flatnonzero(ok), windows(self.template, width)[ok] + _U(width), self.slot
+            plain = inside & (slots > 0)
+        yield np.flatnonzero(plain), windows(self.value, width)[plain] + _U(width), np.zeros(len(self.slot), bool)
+
+    def slots(self, at: int, width: int, slot: np.ndarray) -> list[int]:
         s = slice(at, at + width)
-        return self.value[s][self.slot[s]].view(np.int64).tolist()
+        return self.value[s][slot[s]].view(np.int64).tolist()
 
 
 def _item_windows(width: int, literals: int):
@@ -110,11 +119,12 @@ def _item_windows(width: int, literals: int):
             for item, body in zip(batch.column("doc_id").to_pylist(), batch.column("body").to_pylist()):
                 t = Template([body or b""])
                 w = min(width, len(t.value))
-                if w >= 4:
-                    at, hashes = t.windows(w, min(literals, w - 1))
-                    out += [(item, w, int(a), int(h), t.slots(a, w), len(at)) for a, h in zip(at, hashes.view(np.int64))]
-            cols = list(zip(*out)) if out else [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.int32()))], names=["item_id", "width", "at", "hash", "item_slots", "item_windows"])
+                if w:
+                    readings = list(t.readings(w, literals))
+                    templates = {int(a) for at, _, _ in readings[:-1] for a in at}
+                    out += [(item, w, int(a), int(h), t.slots(a, w, slot), int(a) in templates, len(templates), len(t.value) - w + 1) for at, hashes, slot in readings for a, h in zip(at, hashes.view(np.int64))]
+            cols = list(zip(*out)) if out else [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.bool_(), pa.int32(), pa.int32()))], names=["item_id", "width", "at", "hash", "item_slots", "templated", "item_templates", "item_windows"])
 
     return kernel
 
@@ -127,15 +137,15 @@ def _doc_windows(widths: list[int], width: int, literals: int, known):
             for first, run in blocks(bodies):
                 t = Template(run)
                 for w in widths:
-                    at, hashes = t.windows(w, min(literals, w - 1))
-                    if wanted is not None:
-                        hit = _in(hashes, wanted)
-                        at, hashes = at[hit], hashes[hit]
-                    doc = t.doc[at]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([ids[first + d] for d in doc], pa.int64()), pa.array((at - t.first[doc]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array([t.slots(a, w) for a in at], pa.list_(pa.int64()))],
-                        names=["doc_id", "place", "hash", "doc_slots"],
-                    )
+                    for at, hashes, slot in t.readings(w, literals):
+                        if wanted is not None:
+                            hit = _in(hashes, wanted)
+                            at, hashes = at[hit], hashes[hit]
+                        doc = t.doc[at]
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([ids[first + d] for d in doc], pa.int64()), pa.array((at - t.first[doc]).astype(np.int32)), pa.array(hashes.view(np.int64)), pa.array([t.slots(a, w, slot) for a in at], pa.list_(pa.int64()))],
+                            names=["doc_id", "place", "hash", "doc_slots"],
+                        )
 
     return kernel
 
@@ -143,24 +153,30 @@ def _doc_windows(widths: list[int], width: int, literals: int, known):
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 4, share: float = 0.5, run: int = 6, sent: int = 1 << 22) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, coverage, replaced) for each document and item found in it.
 
-    ``replaced`` counts the item's slot values that stand for another value. Null or short texts match nothing; null
-    ids are not reported; rows that repeat an id count as one document, since only distinct windows count. Other columns
+    ``replaced`` counts the item's slot values that stand for another value. ``windows`` and ``item_windows`` count those with a
+    template where these alone suffice, else all. Null texts and texts without letters and digits match nothing; an item of one to three
+    tokens is found where these follow one another; null ids are not reported; rows that repeat an id count as one document, since only distinct windows count. Other columns
     are not read; empty tables give an empty result.
     """
     items = benchmark.select(F.col("item_id").alias("doc_id"), F.col("text"))
-    wanted = written(raw_text(items).where("doc_id is not null").mapInArrow(_item_windows(width, literals), "item_id long, width int, at int, hash long, item_slots array<long>, item_windows int").distinct(), "items")
+    wanted = written(raw_text(items).where("doc_id is not null").mapInArrow(_item_windows(width, literals), "item_id long, width int, at int, hash long, item_slots array<long>, templated boolean, item_templates int, item_windows int").distinct(), "items")
     widths = sorted(r["width"] for r in wanted.select("width").distinct().collect())  # at most ``width`` of them
     known = None
     hashes = wanted.select("hash").distinct()
     if hashes.count() <= sent:
         known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in hashes.collect()], dtype=np.int64).view(np.uint64)))
     found = raw_text(docs).where("doc_id is not null").mapInArrow(_doc_windows(widths, width, literals, known), "doc_id long, place int, hash long, doc_slots array<long>")
-    hits = written(found.join(wanted, "hash").select("doc_id", "item_id", "place", "at", "doc_slots", "item_slots", "item_windows"), "hits")
+    hits = written(found.join(wanted, "hash").select("doc_id", "item_id", "place", "at", "doc_slots", "item_slots", "templated", "item_templates", "item_windows"), "hits")
     pairs = hits.where(F.size("item_slots") > 0).select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).groupBy("doc_id", "item_id", "s.item_slots", "s.doc_slots").agg(F.count("*").alias("n"))
     major = pairs.groupBy("doc_id", "item_id", "item_slots").agg(F.max_by("doc_slots", F.struct("n", "doc_slots")).alias("stands_for"))
     mapping = major.groupBy("doc_id", "item_id").agg(F.map_from_entries(F.collect_list(F.struct("item_slots", "stands_for"))).alias("m"), F.count_if(F.col("item_slots") != F.col("stands_for")).alias("replaced"))
     checked = hits.join(mapping, ["doc_id", "item_id"], "left")
     agree = F.forall(F.arrays_zip("item_slots", "doc_slots"), lambda s: F.element_at("m", s["item_slots"]) == s["doc_slots"])
     ok = checked.where((F.size("item_slots") == 0) | agree)
-    out = ok.groupBy("doc_id", "item_id").agg(F.count_distinct("at").alias("windows"), F.max("item_windows").cast("long").alias("item_windows"), F.coalesce(F.max("replaced"), F.lit(0)).cast("long").alias("replaced"))
+    places = ok.groupBy("doc_id", "item_id", "at", "templated").agg(F.max("item_templates").alias("item_templates"), F.max("item_windows").alias("item_windows"), F.max("replaced").alias("replaced"))
+    out = places.groupBy("doc_id", "item_id").agg(
+        F.count_if("templated").alias("templates"), F.max("item_templates").cast("long").alias("item_templates"), F.count_distinct("at").alias("windows"), F.max("item_windows").cast("long").alias("item_windows"), F.coalesce(F.max("replaced"), F.lit(0)).cast("long").alias("replaced")
+    )
+    enough = (F.col("templates") >= run) | ((F.col("item_templates") > 0) & (F.col("templates") >= share * F.col("item_templates")))
+    out = out.select("doc_id", "item_id", F.when(enough, F.col("templates")).otherwise(F.col("windows")).alias("windows"), F.when(enough, F.col("item_templates")).otherwise(F.col("item_windows")).alias("item_windows"), "replaced")
     return out.withColumn("coverage", F.col("windows") / F.col("item_windows")).where((F.col("coverage") >= share) | (F.col("windows") >= run)).select("doc_id", "item_id", "windows", "item_windows", "coverage", "replaced")

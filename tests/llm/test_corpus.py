@@ -173,3 +173,12 @@ def test_pipeline(spark, sf, odd):
     assert not docs.where(F.col("text").rlike(r"[a-z]+\.\d\d@mail")).count()
     assert P.STAGES[1][1](spark, odd, sf).columns == odd.columns
     assert "corpus_pipeline" in sys.modules
+
+
+def test_verbatim_copies_of_items_with_few_literals(spark):
+    texts = ["Compute 12 + 7 * 3 - 45 / 9 + 8", "3 4 7 1 9 12 44 6 81 2 5", "go with Ada, Bob, Cyd, Dan, Eve, Fay, Gus, Hal, Ivy, Jon", "Why 42?"]
+    b = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    d = spark.createDataFrame([(i, f"so we said {t} and left") for i, t in enumerate(texts)] + [(10, "Compute 13 + 7 * 3 - 45 / 9 + 8"), (11, "Why 43? go with Kim, Lea, Max, Ned, Ole, Pia, Quin, Ray, Sue, Tim")], "doc_id long, text string")
+    for sent in (1 << 20, 0):
+        got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(d, b, sent=sent).collect()}
+        assert set(got) == {(i, i) for i in range(4)} and all(r["coverage"] == 1 and r["replaced"] == 0 for r in got.values())
