@@ -6,8 +6,10 @@ Tokens are maximal runs of letters or of digits (with inner points and commas).
 * a unit right after a number by ``<unit>``,
 * a word with one capital, its first letter, that doesn't begin a sentence by ``<name>``,
 
-and lower-cases the rest. Windows of ``width`` tokens are hashed (an item with fewer tokens is one window) in up to two readings:
-as a template where at least ``literals`` tokens are literal and the window has four at least, and by the words themselves.
+and lower-cases the rest. A word with such a capital that begins a sentence may be a name or not, so windows with one are read both
+ways. Windows of ``width`` tokens are hashed (an item with fewer tokens is one window) in up to three readings: as templates, the
+words that begin sentences literal or names, where at least ``literals`` tokens are literal and the window has four at least, and by the
+words themselves.
 A document's windows that equal an item's are joined with it; then the slots of templates are checked: within a document and
 item each slot value of the item must always stand for the same value, names for names and numbers for numbers. Templates that
 break this majority mapping don't count. A pair is reported when the windows found cover ``share`` of the item's, or of those of
@@ -87,25 +89,26 @@ class Template:
         uppers = np.concatenate([[0], np.cumsum(upper)])
         breaks = np.concatenate([[0], np.cumsum(_BREAK[data])])
         last = np.concatenate([[0], stop[:-1]]) if n else stop
-        name = (kind[start] == 1) & upper[start] & (uppers[stop] - uppers[start] == 1) & (stop - start > 1) & (breaks[start] == breaks[last]) & ~number & ~unit if n else number
+        capital = (kind[start] == 1) & upper[start] & (uppers[stop] - uppers[start] == 1) & (stop - start > 1) & ~number & ~unit if n else number
+        inner_name = capital & (breaks[start] == breaks[last]) if n else number
         if n:
-            name[self.first[self.count > 0]] = False
-        self.slot = number | unit | name
-        self.template = np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, self.value)))
+            inner_name[self.first[self.count > 0]] = False
+        # with the words that begin sentences literal, then as names
+        self.templates = [(np.where(number, _NUM, np.where(unit, _UNIT, np.where(name, _NAME, self.value))), number | unit | name) for name in (inner_name, capital)]
 
     def readings(self, width: int, literals: int):
-        """(first tokens, hashes, slot flags) of the windows of this width: as templates, then by the words themselves where that differs."""
+        """(first tokens, hashes, slot flags) of the windows of this width: as templates, then by the words themselves, each where it differs."""
         inside = within(self.doc, width)
         if not len(inside):
             return
-        slots = np.concatenate([[0], np.cumsum(self.slot)])
-        slots = slots[width:] - slots[:-width]
-        plain = inside
-        if width >= SHORTEST:
-            ok = inside & (width - slots >= min(literals, width - 1))
-            yield np.flatnonzero(ok), windows(self.template, width)[ok] + _U(width), self.slot
-            plain = inside & (slots > 0)
-        yield np.flatnonzero(plain), windows(self.value, width)[plain] + _U(width), np.zeros(len(self.slot), bool)
+        fewer, plain = np.full(len(inside), -1), inside
+        for template, slot in self.templates if width >= SHORTEST else ():
+            slots = np.concatenate([[0], np.cumsum(slot)])
+            slots = slots[width:] - slots[:-width]
+            ok = inside & (slots > fewer) & (width - slots >= min(literals, width - 1))
+            yield np.flatnonzero(ok), windows(template, width)[ok] + _U(width), slot
+            fewer, plain = slots, inside & (slots > 0)
+        yield np.flatnonzero(plain), windows(self.value, width)[plain] + _U(width), np.zeros(len(self.value), bool)
 
     def slots(self, at: int, width: int, slot: np.ndarray) -> list[int]:
         s = slice(at, at + width)

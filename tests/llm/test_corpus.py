@@ -182,3 +182,11 @@ def test_verbatim_copies_of_items_with_few_literals(spark):
     for sent in (1 << 20, 0):
         got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(d, b, sent=sent).collect()}
         assert set(got) == {(i, i) for i in range(4)} and all(r["coverage"] == 1 and r["replaced"] == 0 for r in got.values())
+
+
+def test_names_that_begin_sentences_are_swapped(spark):
+    b = spark.createDataFrame([(1, "Tom has 5 apples. Tom gives 2 to Sara. How many apples does Tom have?"), (2, "Greta walks to the station every morning before work.")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "Anna has 7 apples. Anna gives 3 to Lucy. How many apples does Anna have?"), (2, "We saw that Paula walks to the station every morning before work."), (3, "Peter walks to the market every evening after work.")], "doc_id long, text string")
+    for sent in (1 << 20, 0):
+        got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(d, b, sent=sent).collect()}
+        assert set(got) == {(1, 1), (2, 2)} and got[1, 1]["coverage"] > 0.8 and got[1, 1]["replaced"] == 4
