@@ -7,34 +7,38 @@ All but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomctx.llm.decontam import contaminated
+from loomctx.llm.decontam import contaminated_rows
 from loomctx.llm.mixing import mix
 from loomctx.llm.neardup import near_duplicates
 from loomctx.llm.pii import redacted
 from loomctx.llm.queries import MIX_SHARE, mixture_levels, mixture_weights
-from loomctx.llm.stage import tables, written
-from loomctx.llm.toxicity import toxicity
+from loomctx.llm.stage import ROW, numbered, tables, written
+from loomctx.llm.toxicity import not_toxic
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    return docs.join(ids.select("doc_id").where("doc_id is not null").distinct(), "doc_id", "left_anti").select(docs.columns)
+def _without(rows: DataFrame, dropped: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows whose number isn't among ``dropped``."""
+    return rows.join(dropped.select(ROW).distinct(), ROW, "left_anti").select(columns)
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
-    scored = toxicity(docs, tables(spark, sf_dir, "labels"))
-    return _without(docs, scored.where("predicted = 1"))
+    return not_toxic(docs, tables(spark, sf_dir, "labels"))
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each group of near duplicates."""
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    """One row, the one with the least id, of each group of near duplicates; rows without an id come last."""
+    rows = numbered(docs)
+    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
+    return _without(rows, found.where("not kept").select(F.col("doc_id").alias(ROW)), docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark item is found, re-parameterised or not."""
-    return _without(docs, contaminated(docs, tables(spark, sf_dir, "benchmark")))
+    rows = numbered(docs)
+    return _without(rows, contaminated_rows(rows, tables(spark, sf_dir, "benchmark")), docs.columns)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomctx.llm.stage import raw_text, written
+from loomctx.llm.stage import ROW, numbered, raw_text, written
 from loomctx.llm.textkernel import _BASE, _INV, _VALUE_LOWER, blocks, mix, powers, windows, within
 
 _U = np.uint64
@@ -153,22 +153,31 @@ def _doc_windows(widths: list[int], width: int, literals: int, known):
     return kernel
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 4, share: float = 0.5, run: int = 6, sent: int = 1 << 22) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, **parameters) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, coverage, replaced) for each document and item found in it.
 
     ``replaced`` counts the item's slot values that stand for another value. ``windows`` and ``item_windows`` count those with a
     template where these alone suffice, else all. Null texts and texts without letters and digits match nothing; an item of one to three
-    tokens is found where these follow one another; null ids are not reported; rows that repeat an id count as one document, since only distinct windows count. Other columns
+    tokens is found where these follow one another; null ids are not reported; of rows that repeat an id the one with most of the item counts. Other columns
     are not read; empty tables give an empty result.
     """
+    rows = numbered(docs, "doc_id", "text")
+    found = contaminated_rows(rows, benchmark, **parameters)
+    named = found.join(rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null"), ROW)
+    best = F.max_by(F.struct("windows", "item_windows", "coverage", "replaced"), F.struct("coverage", "windows", ROW)).alias("best")
+    return named.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
+
+def contaminated_rows(rows: DataFrame, benchmark: DataFrame, width: int = 8, literals: int = 4, share: float = 0.5, run: int = 6, sent: int = 1 << 22) -> DataFrame:
+    """As ``contaminated``, by the number in ``ROW`` instead of doc_id, for every row."""
     items = benchmark.select(F.col("item_id").alias("doc_id"), F.col("text"))
     wanted = written(raw_text(items).where("doc_id is not null").mapInArrow(_item_windows(width, literals), "item_id long, width int, at int, hash long, item_slots array<long>, templated boolean, item_templates int, item_windows int").distinct(), "items")
     widths = sorted(r["width"] for r in wanted.select("width").distinct().collect())  # at most ``width`` of them
     known = None
     hashes = wanted.select("hash").distinct()
     if hashes.count() <= sent:
-        known = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in hashes.collect()], dtype=np.int64).view(np.uint64)))
-    found = raw_text(docs).where("doc_id is not null").mapInArrow(_doc_windows(widths, width, literals, known), "doc_id long, place int, hash long, doc_slots array<long>")
+        known = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in hashes.collect()], dtype=np.int64).view(np.uint64)))
+    found = raw_text(rows, ROW).mapInArrow(_doc_windows(widths, width, literals, known), "doc_id long, place int, hash long, doc_slots array<long>")
     hits = written(found.join(wanted, "hash").select("doc_id", "item_id", "place", "at", "doc_slots", "item_slots", "templated", "item_templates", "item_windows"), "hits")
     pairs = hits.where(F.size("item_slots") > 0).select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).groupBy("doc_id", "item_id", "s.item_slots", "s.doc_slots").agg(F.count("*").alias("n"))
     major = pairs.groupBy("doc_id", "item_id", "item_slots").agg(F.max_by("doc_slots", F.struct("n", "doc_slots")).alias("stands_for"))
@@ -182,4 +191,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 8, literals
     )
     enough = (F.col("templates") >= run) | ((F.col("item_templates") > 0) & (F.col("templates") >= share * F.col("item_templates")))
     out = out.select("doc_id", "item_id", F.when(enough, F.col("templates")).otherwise(F.col("windows")).alias("windows"), F.when(enough, F.col("item_templates")).otherwise(F.col("item_windows")).alias("item_windows"), "replaced")
-    return out.withColumn("coverage", F.col("windows") / F.col("item_windows")).where((F.col("coverage") >= share) | (F.col("windows") >= run)).select("doc_id", "item_id", "windows", "item_windows", "coverage", "replaced")
+    return out.withColumn("coverage", F.col("windows") / F.col("item_windows")).where((F.col("coverage") >= share) | (F.col("windows") >= run)).select(F.col("doc_id").alias(ROW), "item_id", "windows", "item_windows", "coverage", "replaced")

@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomctx.llm.stage import written
+from loomctx.llm.stage import ROW, numbered, written
 
 MARK, STAND_IN = "\ue000", "\ue001"
 KINDS = ("email", "ip", "card", "phone", "mail", "number", "secret")
@@ -251,13 +251,13 @@ def personal_data(docs: DataFrame, precision: float = 0.8) -> DataFrame:
 def redacted(docs: DataFrame, **parameters) -> DataFrame:
     """``docs`` with every redaction replaced by ``<kind>`` in its text; other columns stay, as do null texts.
 
-    A length column ``n_chars`` of the input is brought up to date. Ids have to be unique for texts to be changed: rows that
-    share an id get the redactions of one of them only if their texts are equal. Columns named ``__redaction*`` are left out.
+    A length column ``n_chars`` of the input is brought up to date. Every row gets its own redactions, whatever its id. Columns
+    named ``__redaction*`` are left out.
     """
     docs = docs.drop(*(c for c in docs.columns if c.startswith("__redaction")))
-    found = personal_data(docs, **parameters).where(F.size("redactions") > 0)
-    edits = found.groupBy(F.col("doc_id").alias("__redaction_id")).agg(F.collect_set("redactions").alias("__redaction_all")).where(F.size("__redaction_all") == 1).select("__redaction_id", F.col("__redaction_all")[0].alias("__redaction_spans"))
-    joined = docs.join(edits, F.col("doc_id").cast("long") == F.col("__redaction_id"), "left")
+    rows = numbered(docs)
+    found = personal_data(rows.select(F.col(ROW).alias("doc_id"), "text"), **parameters).where(F.size("redactions") > 0)
+    joined = rows.join(found.select(F.col("doc_id").alias(ROW), F.col("redactions").alias("__redaction_spans")), ROW, "left")
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
 
     def step(acc: Column, s: Column) -> Column:

@@ -73,6 +73,24 @@ def tables(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Column of the rows' numbers.
+ROW = "__row_number"
+
+
+def numbered(docs: DataFrame, *columns: str) -> DataFrame:
+    """``docs``, or these columns of it, with a unique long in ``ROW``, in the order of doc_id, null ids last.
+
+    It is doc_id itself where that is unique; only where ids repeat or are null are the rows written once more.
+    """
+    key = F.col("doc_id").cast("long")
+    odd = docs.groupBy(key.alias("doc_id")).agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    rows = docs.drop(ROW).select(*columns) if columns else docs.drop(ROW)
+    if not odd:
+        return rows.withColumn(ROW, key)
+    order = [key.asc_nulls_last(), F.xxhash64("text")]
+    return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
 def small_batches(spark: SparkSession, records: int = 1000, size: int = 8 << 20) -> None:
     """Bound the Arrow batches sent to Python from now on, so that long rows can't fill a worker's memory."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):

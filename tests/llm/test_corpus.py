@@ -190,3 +190,18 @@ def test_names_that_begin_sentences_are_swapped(spark):
     for sent in (1 << 20, 0):
         got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(d, b, sent=sent).collect()}
         assert set(got) == {(1, 1), (2, 2)} and got[1, 1]["coverage"] > 0.8 and got[1, 1]["replaced"] == 4
+
+
+def test_stages_decide_by_row(spark, sf, docs):
+    import corpus_pipeline as P
+
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first()["text"]
+    base = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau"
+    make = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert rows(P.near_duplicate(spark, make([(None, base), (2, base), (2, base), (2, "one other text of a few words"), (None, None)]), sf)) == [(2, base), (2, "one other text of a few words"), (None, None)]
+    assert rows(P.decontaminated(spark, make([(None, item), (5, item), (5, base), (None, base)]), sf)) == [(5, base), (None, base)]
+    private = make([(None, "mail a@b.cd now"), (7, "mail a@b.cd now"), (7, "at 10.0.0.1 end"), (7, "no such thing here"), (None, None)])
+    assert rows(P.without_personal_data(spark, private, sf)) == [(7, "at <ip> end"), (7, "mail <email> now"), (7, "no such thing here"), (None, "mail <email> now"), (None, None)]
+    both = P.toxic(spark, docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))), sf)
+    assert both.where("doc_id is null").count() == both.where("doc_id is not null").count() < docs.count()
