@@ -36,7 +36,7 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 # Generators.
 MAIL = r"(?<!\S)[^\s@]++@[^\s@]++(?!\S)"
 NUMBER = r"(?<![A-Za-z0-9])[+(]?[0-9](?:[\x20().-]{0,2}+[0-9])++(?![A-Za-z0-9])"
-SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,512}+(?![A-Za-z0-9_+/-])"
+SECRET = r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{20,}+(?![A-Za-z0-9_+/-])"
 
 ASSIGNED = r"(?i)(token|secret|passw(or)?d|api.?key|credential|auth)\w*\s*[=:]\s*[\"']?$"
 CONTEXT = (r"(?i)(tel|phone|call|fax|mobile|contact)", r"(?i)(card|visa|master|amex|credit|iban|account)", r"(?i)(\bip\b|host|server|address|addr)", r"(?i)(mail|write to|reach)")

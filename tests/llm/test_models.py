@@ -110,3 +110,10 @@ def test_dropping_follows_the_scores(spark, sf, docs, odd):
     want = {r["doc_id"] for r in toxicity.toxicity(docs, labels).where("predicted = 0").collect()}
     assert {r["doc_id"] for r in kept.collect()} == want and kept.columns == docs.columns
     assert toxicity.not_toxic(odd, labels).columns == odd.columns
+
+
+def test_long_tokens_are_candidates(spark):
+    token = "aB3" * 400
+    rows = spark.createDataFrame([(1, f"secret={token} end"), (2, "x " + "Z9" * 50000)], "doc_id long, text string")
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["proposed"] if s["kind"] == pii.KINDS.index("secret")] for r in pii.candidates(rows).collect()}
+    assert got == {1: [(7, 1207)], 2: [(2, 100002)]}
