@@ -76,6 +76,32 @@ def query_requests(spark: SparkSession, sf_dir: str, budget: int = 2000) -> Data
     return b.select(F.col("item_id").cast("string").alias("request_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"), F.lit(budget).cast("long").alias("token_budget"), mode.alias("mode"), F.lit(False).alias("include_content"), F.array().cast("array<string>").alias("dirty_paths"))
 
 
+def pack_requests(spark: SparkSession, sf_dir: str, budget: int = 2000) -> DataFrame:
+    """As ``query_requests``, with the whole text of every item."""
+    whole = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("request_id"), F.col("text").alias("query"))
+    return query_requests(spark, sf_dir, budget).drop("query").join(whole, "request_id")
+
+
+def item_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items as nodes of their own, with the columns of ``doc_nodes``."""
+    size = F.octet_length("text").cast("long")
+    b = table(spark, sf_dir, "benchmark").where("text is not null")
+    return b.select(
+        _id("i", "item_id").alias("id"), F.sha2("text", 256).alias("hash"), F.lit(4).alias("kind"), F.concat(F.lit("benchmark/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), _id("item_", "item_id").alias("symbol"), F.lit("").alias("lang"),
+        F.lit("").alias("role"), F.lit(0).cast("long").alias("byte_start"), size.alias("byte_end"), F.lit(1).cast("long").alias("line_start"), F.lit(1).cast("long").alias("line_end"),
+        F.floor((size + 3) / 4).cast("long").alias("tokens"), F.col("text").alias("content"), F.lit(True).alias("valid"), F.lit(0.0).alias("centrality"),
+    )
+
+
+def mention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from benchmark items to the documents that have words of theirs, over both whole tables."""
+    from loomctx.functions.text import words
+    from loomctx.operators.graph import doc_mentions
+
+    names = table(spark, sf_dir, "benchmark").select(_id("i", "item_id").alias("id"), F.explode(words("text")).alias("symbol"))
+    return doc_mentions(doc_nodes(spark, sf_dir).where("kind = 2").select("id", "content"), names)
+
+
 def pack_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events as a log of packs and uses: id, ts, node_id (user), surface (type), saved_pct (value)."""
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "ts", F.col("user_id").alias("node_id"), F.col("event_type").alias("surface"), F.round("value", 2).alias("saved_pct"))

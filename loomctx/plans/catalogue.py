@@ -714,12 +714,9 @@ def ag_lang(spark, sf):
 
 def _packs(spark, sf, budget=2000):
     nodes = A.doc_nodes(spark, sf)
-    docs = nodes.where("kind = 2").select("id", "content").limit(0)
-    names = A.table(spark, sf, "benchmark").select(F.lit("").alias("id"), F.lit("").alias("symbol")).limit(0)
-    edges = G.doc_mentions(docs, names)  # documents have no code edges
     files = nodes.where("kind = 2").select("path", F.lit(None).cast("string").alias("skipped"))
     hot = hotset.hot_members(nodes)
-    return pack.build_packs(A.query_requests(spark, sf, budget), nodes, edges, files, hot, 1)
+    return pack.build_packs(A.pack_requests(spark, sf, budget), nodes.unionByName(A.item_nodes(spark, sf)), G.cut(A.mention_edges(spark, sf)), files, hot, 1)
 
 
 @query(None)
