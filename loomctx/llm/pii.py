@@ -9,7 +9,8 @@ with an at sign, and long mixed tokens. Candidates that overlap a base span are
 tokens right after an assignment to a secret's name; the boosted trees see format and context, never the checks or
 that assignment. Training reads only the cube: counts of positive and negative candidates for each combination of small
 categorical features, of which there are at most ``CUBE_BOUND`` whatever the input, so all documents count and the driver holds
-no rows. Even and odd hash halves of the documents give the fit and the calibration. Each generator's threshold is the
+no rows. Even and odd hash halves of the texts give the fit and the calibration. Candidates stay in their document's row, in a written
+table from which the cube, the scores and the redacted texts are made without a join or a shuffle of rows. Each generator's threshold is the
 lowest score whose calibrated precision reaches ``precision``; candidates at or above it that no base span
 overlaps are added, the earlier one where two overlap.
 """
@@ -17,12 +18,13 @@ overlaps are added, the earlier one where two overlap.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomctx.llm.stage import ROW, numbered, written
+from loomctx.llm.stage import written
 
 MARK, STAND_IN = "\ue000", "\ue001"
 KINDS = ("email", "ip", "card", "phone", "mail", "number", "secret")
@@ -50,16 +52,25 @@ def _pieces(text: Column, pattern: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, f"{MARK}$0{MARK}"), MARK)
 
 
+_SPANS = "array<struct<start:bigint,end:bigint,body:string>>"
+#: Pieces whose offsets are summed up at once, an even number: arrays that grow by appending stay short.
+RUN = 256
+
+
 def _located(pieces: Column) -> Column:
     """Matches (every second piece) with their code-point offsets, end exclusive."""
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("odd"), F.array().cast("array<struct<start:bigint,end:bigint,body:string>>").alias("out"))
+    zero = F.struct(F.lit(0).cast("long").alias("at"), F.lit(False).alias("odd"), F.array().cast(_SPANS).alias("out"))
 
     def step(acc: Column, piece: Column) -> Column:
         end = acc["at"] + F.char_length(piece)
         grown = F.concat(acc["out"], F.array(F.struct(acc["at"].alias("start"), end.alias("end"), piece.alias("body"))))
         return F.struct(end.alias("at"), (~acc["odd"]).alias("odd"), F.when(acc["odd"], grown).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
+    numbers = F.sequence(F.lit(0), F.floor((F.size(pieces) - 1) / RUN).cast("int"))
+    runs = F.transform(numbers, lambda k: F.aggregate(F.slice(pieces, k * RUN + 1, RUN), zero, step, lambda acc: F.struct(acc["at"].alias("length"), acc["out"].alias("out"))))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(f"array<struct<at:bigint,out:{_SPANS}>>").alias("runs"))
+    placed = F.aggregate(runs, start, lambda acc, r: F.struct((acc["at"] + r["length"]).alias("at"), F.concat(acc["runs"], F.array(F.struct(acc["at"].alias("at"), r["out"].alias("out")))).alias("runs")), lambda acc: acc["runs"])
+    return F.flatten(F.transform(placed, lambda r: F.transform(r["out"], lambda m: F.struct((m["start"] + r["at"]).alias("start"), (m["end"] + r["at"]).alias("end"), m["body"].alias("body")))))
 
 
 def _digits(body: Column, drop: str) -> Column:
@@ -91,45 +102,72 @@ CHECKS = {
 }
 
 
+def _below(values: Column, bound: Column) -> Column:
+    """How many of the sorted ``values`` are less than ``bound``, by bisection."""
+    zero = F.struct(F.lit(0).alias("low"), F.size(values).alias("high"))
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["low"] + acc["high"], 1)
+        less = F.coalesce(F.get(values, middle) < bound, F.lit(False))
+        open_ = acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & less, middle + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~less, middle).otherwise(acc["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(F.size(values) + 1)).cast("int")), zero, step, lambda acc: acc["low"])
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, base, proposed): for each document its checked base spans and the generators' spans with context."""
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(STAND_IN)).alias("text"))
-    out = out.withColumns({"at": F.contains("text", F.lit("@")), "number": F.col("text").rlike("[0-9]"), "plus": F.contains("text", F.lit("+")), "long": F.col("text").rlike("[A-Za-z0-9_+/-]{20}")})
-    empty = F.array().cast("array<struct<start:bigint,end:bigint,body:string>>")
-    for kind, pattern, when in (("email", EMAIL, "at"), ("ip", IP, "number"), ("card", CARD, "number"), ("phone", PHONE, "plus"), ("g_mail", MAIL, "at"), ("g_number", NUMBER, "number"), ("g_secret", SECRET, "long")):
-        out = out.withColumn(f"p_{kind}", F.when(F.col(when), _pieces(F.col("text"), pattern)))
-        out = out.withColumn(kind, F.when(F.size(f"p_{kind}") > 1, _located(F.col(f"p_{kind}"))).otherwise(empty)).drop(f"p_{kind}")
+    """``docs`` with its checked base spans in ``__redaction_base`` and the generators' in ``__redaction_proposed``, these with their features.
+
+    A proposed span is ``covered`` if it overlaps a base span. Columns of ``docs`` named ``__redaction*`` are left out.
+    """
+    docs = docs.drop(*(c for c in docs.columns if c.startswith("__redaction")))
+    name = lambda c: f"__redaction_{c}"
+    text = F.col(name("text"))
+    out = docs.withColumn(name("text"), F.replace(F.coalesce("text", F.lit("")), F.lit(MARK), F.lit(STAND_IN)))
+    out = out.withColumns({name("at"): F.contains(text, F.lit("@")), name("digit"): text.rlike("[0-9]"), name("plus"): F.contains(text, F.lit("+")), name("long"): text.rlike("[A-Za-z0-9_+/-]{20}")})
+    for kind, pattern, when in (("email", EMAIL, "at"), ("ip", IP, "digit"), ("card", CARD, "digit"), ("phone", PHONE, "plus"), ("mail", MAIL, "at"), ("number", NUMBER, "digit"), ("secret", SECRET, "long")):
+        out = out.withColumn(name("pieces"), F.when(F.col(name(when)), _pieces(text, pattern)))
+        out = out.withColumn(name(kind), F.when(F.size(name("pieces")) > 1, _located(F.col(name("pieces")))).otherwise(F.array().cast(_SPANS)))
 
     def plain(kind: str, number: int) -> Column:
-        return F.transform(F.filter(kind, lambda m: CHECKS[kind](m["body"])), lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")))
+        return F.transform(F.filter(name(kind), lambda m: CHECKS[kind](m["body"])), lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end")))
 
     def proposed(kind: str, number: int) -> Column:
-        return F.transform(kind, lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end"), m["body"].alias("body"), F.substring(F.col("text"), F.greatest(m["start"] - 23, F.lit(1)).cast("int"), F.least(m["start"], F.lit(24)).cast("int")).alias("before"), F.substring(F.col("text"), (m["end"] + 1).cast("int"), F.lit(1)).alias("after")))
+        return F.transform(name(kind), lambda m: F.struct(m["start"].alias("start"), F.lit(number).alias("kind"), m["end"].alias("end"), m["body"].alias("body"), F.substring(text, F.greatest(m["start"] - 23, F.lit(1)).cast("int"), F.least(m["start"], F.lit(24)).cast("int")).alias("before"), F.substring(text, (m["end"] + 1).cast("int"), F.lit(1)).alias("after")))
+
+    useful = F.filter(name("number"), lambda m: F.char_length(F.regexp_replace(m["body"], "[^0-9]", "")) >= 7)
+    out = out.withColumn(name("number"), useful).withColumn(name("secret"), F.filter(name("secret"), lambda m: m["body"].rlike("[0-9]") & m["body"].rlike("[A-Za-z]")))
+    base = F.array_sort(F.concat(*(plain(k, i) for i, k in enumerate(KINDS[:BASE]))))
+    spans = F.concat(*(proposed(k, BASE + i) for i, k in enumerate(KINDS[BASE:])))
+    out = out.select(*docs.columns, base.alias(name("base")), spans.alias(name("spans")))
+    # starts and ends of the base spans, sorted once for a document
+    edges = F.array(F.struct(F.transform(name("base"), lambda s: s["start"]).alias("starts"), F.array_sort(F.transform(name("base"), lambda s: s["end"])).alias("ends")))
+
+    def featured(e: Column) -> Column:
+        overlaps = lambda m: F.when(F.size(e["starts"]) == 0, F.lit(False)).otherwise(_below(e["starts"], m["end"]) > _below(e["ends"], m["start"] + 1))
+        return F.transform(name("spans"), lambda m: F.struct(m["start"].alias("start"), m["kind"].alias("kind"), m["end"].alias("end"), overlaps(m).alias("covered"), *(c.alias(k) for k, c in _features(m).items())))
 
-    useful = F.filter("g_number", lambda m: F.char_length(F.regexp_replace(m["body"], "[^0-9]", "")) >= 7)
-    out = out.withColumn("g_number", useful).withColumn("g_secret", F.filter("g_secret", lambda m: m["body"].rlike("[0-9]") & m["body"].rlike("[A-Za-z]")))
-    return out.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.array_sort(F.concat(*(plain(k, i) for i, k in enumerate(KINDS[:BASE])))).alias("base"), F.concat(*(proposed(f"g_{k}", BASE + i) for i, k in enumerate(KINDS[BASE:]))).alias("proposed"))
+    return out.withColumn(name("proposed"), F.flatten(F.transform(edges, featured))).drop(name("spans"))
 
 
-def _featured(spans: DataFrame) -> DataFrame:
-    digits = F.char_length(F.regexp_replace("body", "[^0-9]", ""))
+def _features(m: Column) -> dict[str, Column]:
+    digits = F.char_length(F.regexp_replace(m["body"], "[^0-9]", ""))
     edge = lambda c: F.when(c.rlike(r"^\s?$"), 0).when(c.rlike("[A-Za-z0-9]"), 1).otherwise(2)
-    context = reduce(lambda acc, kp: acc.when(F.col("before").rlike(kp[1]), kp[0] + 1), enumerate(CONTEXT), F.when(F.lit(False), 0)).otherwise(0)
-    length = F.char_length("body")
-    return spans.withColumns(
-        {
-            "gen": F.col("kind") - BASE,
-            "digits": F.when(digits < 7, 0).when(digits < 9, 1).when(digits < 11, 2).when(digits < 13, 3).when(digits < 16, 4).when(digits == 16, 5).when(digits < 20, 6).otherwise(7),
-            "groups": F.least(F.size(F.split("body", "[^A-Za-z0-9]+")) - 1, F.lit(4)),
-            "seps": F.when(F.contains("body", F.lit(" ")), 1).otherwise(0) + F.when(F.contains("body", F.lit("-")), 2).otherwise(0) + F.when(F.contains("body", F.lit(".")), 4).otherwise(0),
-            "plus": F.when(F.startswith("body", F.lit("+")), 1).otherwise(0),
-            "after": edge(F.col("after")),
-            "context": context,
-            "size": F.least(F.floor(length / 8), F.lit(5)).cast("int"),
-            "letters": F.when(F.col("body").rlike(r"^[0-9a-f]+$"), 1).when(F.col("body").rlike("[a-z]") & F.col("body").rlike("[A-Z]"), 2).otherwise(0),
-            "assigned": F.col("before").rlike(ASSIGNED),
-        }
-    ).withColumn("before", edge(F.substring("before", -1, 1)))
+    context = reduce(lambda acc, kp: acc.when(m["before"].rlike(kp[1]), kp[0] + 1), enumerate(CONTEXT), F.when(F.lit(False), 0)).otherwise(0)
+    has = lambda c, n: F.when(F.contains(m["body"], F.lit(c)), n).otherwise(0)
+    return {
+        "gen": m["kind"] - BASE,
+        "digits": F.when(digits < 7, 0).when(digits < 9, 1).when(digits < 11, 2).when(digits < 13, 3).when(digits < 16, 4).when(digits == 16, 5).when(digits < 20, 6).otherwise(7),
+        "groups": F.least(F.size(F.split(m["body"], "[^A-Za-z0-9]+")) - 1, F.lit(4)),
+        "seps": has(" ", 1) + has("-", 2) + has(".", 4),
+        "plus": F.when(F.startswith(m["body"], F.lit("+")), 1).otherwise(0),
+        "before": edge(F.substring(m["before"], -1, 1)),
+        "after": edge(m["after"]),
+        "context": context,
+        "size": F.least(F.floor(F.char_length(m["body"]) / 8), F.lit(5)).cast("int"),
+        "letters": F.when(m["body"].rlike(r"^[0-9a-f]+$"), 1).when(m["body"].rlike("[a-z]") & m["body"].rlike("[A-Z]"), 2).otherwise(0),
+        "assigned": m["before"].rlike(ASSIGNED),
+    }
 
 
 class Boosted:
@@ -190,11 +228,13 @@ class Boosted:
     def score(self, x: tuple[int, ...]) -> float:
         return 1 / (1 + math.exp(-(self.start + sum(self._leaf(t, x) for t in self.trees))))
 
-    def column(self, names: list[str]) -> Column:
-        def of(tree) -> Column:
-            return F.when(F.col(names[tree[0]]) <= tree[1], of(tree[2])).otherwise(of(tree[3])) if isinstance(tree, tuple) else F.lit(float(tree))
+    def column(self, of: Callable[[int], Column]) -> Column:
+        """The score of a candidate whose features ``of`` gives by number."""
 
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(lambda a, b: a + b, (of(t) for t in self.trees), F.lit(float(self.start)))))
+        def grown(tree) -> Column:
+            return F.when(of(tree[0]) <= tree[1], grown(tree[2])).otherwise(grown(tree[3])) if isinstance(tree, tuple) else F.lit(float(tree))
+
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-reduce(lambda a, b: a + b, (grown(t) for t in self.trees), F.lit(float(self.start)))))
 
 
 def thresholds(model: Boosted, cells, precision: float) -> dict[int, float]:
@@ -211,53 +251,51 @@ def thresholds(model: Boosted, cells, precision: float) -> dict[int, float]:
     return out
 
 
+def selected(found: DataFrame, precision: float) -> Column:
+    """Trains on all of ``found`` (a written table of ``candidates``); the sorted spans to redact in each of its rows, (start, kind, end)."""
+    spans = found.select(F.explode("__redaction_proposed").alias("s"), F.pmod(F.xxhash64("__redaction_half"), F.lit(2)).alias("half")).select("half", "s.*")
+    positive = F.col("covered") | (F.col("assigned") & (F.col("gen") == 2))
+    cube = spans.groupBy("half", *FEATURES).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")).collect()  # at most 2 * CUBE_BOUND rows
+    cells = [[(tuple(r[f] for f in FEATURES), r["pos"], r["neg"]) for r in sorted(cube) if r["half"] == k] for k in (0, 1)]
+    model = Boosted().fit(cells[0])
+    least = thresholds(model, cells[1], precision)
+    names = list(FEATURES)
+    limit = lambda s: F.element_at(F.array(*(F.lit(least[g]) for g in range(FEATURES["gen"]))), s["gen"] + 1)
+    fit = F.filter("__redaction_proposed", lambda s: ~s["covered"] & (model.column(lambda i: s[names[i]]) >= limit(s) - 1e-9))
+    slim = F.array_sort(F.transform(fit, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    zero = F.struct(F.lit(0).cast("long").alias("reach"), F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>").alias("out"))
+    # the earlier one where two overlap
+    added = F.aggregate(slim, zero, lambda acc, s: F.struct(F.greatest(acc["reach"], s["end"]).alias("reach"), F.when(s["start"] >= acc["reach"], F.concat(acc["out"], F.array(s))).otherwise(acc["out"]).alias("out")), lambda acc: acc["out"])
+    return F.array_sort(F.concat("__redaction_base", added))
+
+
+def _halved(rows: DataFrame) -> DataFrame:
+    """The value whose hash parts the documents into fit and calibration: their own text's."""
+    return rows.withColumn("__redaction_half", F.xxhash64("text"))
+
+
 def personal_data(docs: DataFrame, precision: float = 0.8) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, redactions) for each row of ``docs``.
 
     ``redactions`` is the array of (start, kind, end) behind ``spans``, kind by its number in ``KINDS``. Null and empty texts have
     no spans. Repeated rows and null ids are returned as they are; columns besides doc_id and text are not read.
     """
-    found = written(candidates(docs), "pii")
-    base = found.select("row", F.explode("base").alias("s")).select("row", "s.*")
-    more = found.select("row", F.explode("proposed").alias("s")).select("row", "s.*")
-    # Overlap with base spans by running extremes in order of start, within one document.
-    before = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
-    # a base span that starts later can only overlap when it starts before the candidate ends
-    after = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(0, Window.unboundedFollowing)
-    is_base = F.col("kind") < BASE
-    both = more.unionByName(base.join(more.select("row").distinct(), "row", "left_semi"), allowMissingColumns=True)
-    placed = both.withColumns({"past": F.max(F.when(is_base, F.col("end"))).over(before), "next": F.min(F.when(is_base, F.col("start"))).over(after)})
-    spans = _featured(placed.where(~is_base)).withColumn("covered", F.coalesce(F.col("past") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False)))
-    spans = written(spans.select("row", "start", "end", "kind", "covered", "assigned", *FEATURES), "spans")
-    positive = F.col("covered") | (F.col("assigned") & (F.col("gen") == 2))
-    half = F.pmod(F.xxhash64("row"), F.lit(2)).alias("half")
-    cube = spans.groupBy(half, *FEATURES).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg")).collect()  # at most 2 * CUBE_BOUND rows
-    cells = [[(tuple(r[f] for f in FEATURES), r["pos"], r["neg"]) for r in sorted(cube) if r["half"] == k] for k in (0, 1)]
-    model = Boosted().fit(cells[0])
-    least = thresholds(model, cells[1], precision)
-    names = list(FEATURES)
-    limit = F.element_at(F.array(*(F.lit(least[g]) for g in range(FEATURES["gen"]))), F.col("gen") + 1)
-    chosen = spans.where(~F.col("covered")).withColumn("score", model.column(names)).where(F.col("score") >= limit - 1e-9)
-    earlier = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    chosen = chosen.withColumn("reach", F.max("end").over(earlier)).where(F.coalesce(F.col("reach") <= F.col("start"), F.lit(True)))
-    added = chosen.groupBy("row").agg(F.collect_list(F.struct("start", "kind", "end")).alias("added"))
-    joined = found.select("row", "doc_id", "base").join(added, "row", "left")
-    joined = joined.withColumn("redactions", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<start:bigint,kind:int,end:bigint>>")))))
+    found = _halved(candidates(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))).drop("text")
+    found = written(found, "pii")
+    found = found.withColumn("redactions", selected(found, precision))
     text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
-    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
-    return joined.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE])), F.sha2(text("base"), 256).alias("base_sha256"), text("redactions").alias("spans"), "redactions")
+    count = lambda k: F.size(F.filter("__redaction_base", lambda s: s["kind"] == k)).cast("long")
+    return found.select("doc_id", *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS[:BASE])), F.sha2(text("__redaction_base"), 256).alias("base_sha256"), text("redactions").alias("spans"), "redactions")
 
 
-def redacted(docs: DataFrame, **parameters) -> DataFrame:
+def redacted(docs: DataFrame, precision: float = 0.8) -> DataFrame:
     """``docs`` with every redaction replaced by ``<kind>`` in its text; other columns stay, as do null texts.
 
-    A length column ``n_chars`` of the input is brought up to date. Every row gets its own redactions, whatever its id. Columns
+    A length column ``n_chars`` of the input is brought up to date where something is redacted. Spans stay with their row, so ids may repeat or be null. Columns
     named ``__redaction*`` are left out.
     """
-    docs = docs.drop(*(c for c in docs.columns if c.startswith("__redaction")))
-    rows = numbered(docs)
-    found = personal_data(rows.select(F.col(ROW).alias("doc_id"), "text"), **parameters).where(F.size("redactions") > 0)
-    joined = rows.join(found.select(F.col("doc_id").alias(ROW), F.col("redactions").alias("__redaction_spans")), ROW, "left")
+    found = written(_halved(candidates(docs)), "pii")
+    rows = found.withColumn("__redaction_spans", selected(found, precision))
     names = F.array(*(F.lit(f"<{k}>") for k in KINDS))
 
     def step(acc: Column, s: Column) -> Column:
@@ -269,8 +307,10 @@ def redacted(docs: DataFrame, **parameters) -> DataFrame:
 
     zero = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out"))
     whole = F.aggregate("__redaction_spans", zero, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.lit(2147483647))))
-    text = F.when(F.col("__redaction_spans").isNull() | F.col("text").isNull(), F.col("text")).otherwise(whole)
-    out = joined.withColumn("text", text)
+    some = F.size("__redaction_spans") > 0
+    out = rows.select(*found.columns, F.when(some, whole).otherwise(F.col("text")).alias("__redaction_text"), some.alias("__redaction_some"))
+    changed = {"text": F.col("__redaction_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__redaction_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+        changed["n_chars"] = F.when(F.col("__redaction_some"), F.char_length("__redaction_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    kept = [c for c in docs.columns if not c.startswith("__redaction")]
+    return out.withColumns(changed).select(kept)

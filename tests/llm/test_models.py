@@ -115,5 +115,5 @@ def test_dropping_follows_the_scores(spark, sf, docs, odd):
 def test_long_tokens_are_candidates(spark):
     token = "aB3" * 400
     rows = spark.createDataFrame([(1, f"secret={token} end"), (2, "x " + "Z9" * 50000)], "doc_id long, text string")
-    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["proposed"] if s["kind"] == pii.KINDS.index("secret")] for r in pii.candidates(rows).collect()}
+    got = {r["doc_id"]: [(s["start"], s["end"]) for s in r["__redaction_proposed"] if s["kind"] == pii.KINDS.index("secret")] for r in pii.candidates(rows).collect()}
     assert got == {1: [(7, 1207)], 2: [(2, 100002)]}
