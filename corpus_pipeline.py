@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loomctx.llm.decontam import contaminated_rows
 from loomctx.llm.mixing import mix
-from loomctx.llm.neardup import near_duplicates
+from loomctx.llm.neardup import near_duplicate_rows
 from loomctx.llm.pii import redacted
 from loomctx.llm.queries import MIX_SHARE, mixture_levels, mixture_weights
 from loomctx.llm.stage import ROW, numbered, tables, written
@@ -31,8 +31,7 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row, the one with the least id, of each group of near duplicates; rows without an id come last."""
     rows = numbered(docs)
-    found = near_duplicates(rows.select(F.col(ROW).alias("doc_id"), "text"))
-    return _without(rows, found.where("not kept").select(F.col("doc_id").alias(ROW)), docs.columns)
+    return _without(rows, near_duplicate_rows(rows).where(F.col("component") != F.col(ROW)), docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

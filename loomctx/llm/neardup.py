@@ -8,14 +8,12 @@ How the work is spread:
 1. One pass over the texts makes, for each document, its set size, a 128-bit print of the set, and 32 band keys of four
    MinHash samples each.
 2. Documents with equal sets form a class, found by its print; only its smallest doc_id goes on.
-3. Members of a bucket (equal band key) are paired with one member, picked by a hash so that buckets of a group have
-   different ones. Members get an odd sketch: a map of 4096 bits in which each of 1024 (number, MinHash sample) toggles
+3. Members of a bucket (equal band key) are paired with its smallest one. Members get an odd sketch: a map of 4096 bits in which each of 1024 (number, MinHash sample) toggles
    one. The population count of the XOR of two of them estimates the similarity; pairs below the threshold by a margin go.
-4. Each document's best pair is confirmed on full sets and the classes are connected; then its other pairs with picked
-   members, where the components still differ. What is left are pairs in buckets that still hold several components:
+4. Each document's best pair is confirmed on full sets, which gives first labels; then its other pairs, and those of members with another member, picked by a
+   hash, of buckets that hold several labels. Then the classes are connected. What is left are pairs in buckets of three or more that still hold several components:
    members outside the bucket's largest component against the rest. All of these are confirmed, so no link between
-   components that share a bucket is lost, and a group of copies, which its many picked members
-   connect, yields a number of pairs linear in its size. Sketches are compared in blocks of members, and only pairs that pass
+   components that share a bucket is lost, and a group of copies yields a number of pairs linear in its size. Sketches are compared in blocks of members, and only pairs that pass
    become rows, each in the first band that both share.
 
 A pair at the threshold shares no bucket with probability (1 - 0.75**4)**32 = 5e-6; the sketch passes 0.06 below it,
@@ -31,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomctx.llm.components import components
-from loomctx.llm.stage import raw_text, release, written
+from loomctx.llm.components import forest
+from loomctx.llm.stage import ROW, numbered, numbers_differ, raw_text, release, written
 from loomctx.llm.textkernel import Words, blocks, mix, windows, within
 
 SHINGLE = 5
@@ -198,26 +196,35 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, sketch_margin: flo
     """(doc_id, n_shingles, component_id, kept) for each row of ``docs`` (doc_id, text; other columns are not read).
 
     Null and wordless texts have n_shingles 0 and are components of their own. Rows that repeat a doc_id are each
-    returned. A null doc_id stays null and is kept; it never names a component. An empty table gives an empty result.
+    returned and each compared with its own text. A null doc_id stays null and is kept; it never names a component. An empty table gives an empty result.
     """
-    texts = raw_text(docs)
+    rows = numbered(docs, "doc_id", "text")
+    found = near_duplicate_rows(rows, threshold_pct, sketch_margin)
+    ids = rows.select(ROW, F.col("doc_id").cast("long").alias("doc_id"))
+    # rows are numbered in the order of doc_id, so the component's first row has its smallest id
+    named = found.join(ids, ROW).join(ids.select(F.col(ROW).alias("component"), F.col("doc_id").alias("component_id")), "component") if numbers_differ(rows) else found.select("*", F.col(ROW).alias("doc_id"), F.col("component").alias("component_id"))
+    return named.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def near_duplicate_rows(rows: DataFrame, threshold_pct: int = 75, sketch_margin: float = 0.06) -> DataFrame:
+    """(ROW, n_shingles, component) for rows with a unique number in ``ROW``; component is the smallest number reachable."""
+    texts = raw_text(rows, ROW)
     signed = written(texts.mapInArrow(_sign, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"), "minhash")
-    some = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = some.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"))
-    reps = some.join(classes.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    leaders = banded.groupBy("band").agg(F.min_by("doc_id", F.xxhash64("doc_id", "band")).alias("leader"), F.count("*").alias("size")).where("size > 1")
-    members = written(banded.join(leaders, "band").select("band", "doc_id", "leader"), "buckets")
+    prints = ["print_a", "print_b"]
+    # a table of its own, so that the joins with it have plain shuffles on both sides, which Spark can split where a set has many copies
+    classes = written(signed.where("n_shingles > 0").groupBy(*prints).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select(*prints, "rep"), "classes")
+    named = signed.join(classes, prints, "left").withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
+    banded = named.where("doc_id = rep").select("doc_id", F.explode("bands").alias("band"))
+    leaders = banded.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count("*").alias("size")).where("size > 1")
+    members = written(banded.join(leaders, "band").select("band", "doc_id", "leader", "size"), "buckets")
     involved = members.select("doc_id").distinct()
-    sets = written(texts.join(involved, "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets, "doc_id long, shingles binary, sketch array<long>"), "sets")
+    sets = written(texts.join(involved, "doc_id", "left_semi").mapInArrow(_sets, "doc_id long, shingles binary, sketch array<long>"), "sets")
     most = most_bits(threshold_pct / 100 - sketch_margin)
 
     def sketched(pairs: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("doc_id").alias(n), F.col("sketch").alias(f"s{n}")) for n in "xy")
         return pairs.join(x, "x").join(y, "y").select("x", "y", differing_bits("sx", "sy").alias("bits")).where(F.col("bits") <= most)
 
-    star = written(sketched(members.where("doc_id != leader").select(F.col("doc_id").alias("x"), F.col("leader").alias("y")).distinct()), "star")
-
     def confirmed(pairs: DataFrame) -> DataFrame:
         x, y = (sets.select(F.col("doc_id").alias(n), F.col("shingles").alias(f"set_{n}")) for n in "xy")
         return pairs.select("x", "y").join(x, "x").join(y, "y").mapInArrow(_confirm(threshold_pct), "x long, y long")
@@ -225,34 +232,39 @@ def near_duplicates(docs: DataFrame, threshold_pct: int = 75, sketch_margin: flo
     def labelled(rows: DataFrame, known: DataFrame, key: str, name: str) -> DataFrame:
         return rows.join(known.select(F.col("id").alias(key), F.col("component").alias(name)), key, "left").withColumn(name, F.coalesce(name, key))
 
-    def open_pairs(known: DataFrame) -> DataFrame:
-        return labelled(labelled(star, known, "x", "cx"), known, "y", "cy").where("cx != cy")
-
-    def edges(known: DataFrame) -> DataFrame:
-        return known.where("id != component").select(F.col("id").alias("x"), F.col("component").alias("y"))
-
+    star = written(sketched(members.where("doc_id != leader").select(F.col("doc_id").alias("x"), F.col("leader").alias("y")).distinct()), "star")
     best = star.groupBy("x").agg(F.min_by("y", F.struct("bits", "y")).alias("y"))
-    known = written(components(written(confirmed(best), "links")), "components")
-    others = open_pairs(known).select("x", "y").join(best, ["x", "y"], "left_anti")
-    known = written(components(edges(known).union(written(confirmed(others), "links"))), "components")
-
-    tagged = labelled(members.select("band", "doc_id"), known, "doc_id", "c")
+    links = written(confirmed(best), "links")
+    # each document has one link to a smaller one here: three steps along these give a label that many of a group share
+    known = links.select(F.col("x").alias("id"), F.col("y").alias("component"))
+    steps = links.select(F.col("x").alias("component"), F.col("y").alias("next"))
+    for _ in range(2):
+        known = known.join(steps, "component", "left").select("id", F.coalesce("next", "component").alias("component"))
+    known = written(known, "labels")
+
+    larger = members.where("size > 2")
+    tagged = labelled(larger, known, "doc_id", "c")
+    picked = tagged.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.min_by(F.struct("doc_id", "c"), F.xxhash64("doc_id", "band")).alias("pick")).where("low != high")
+    second = tagged.join(picked, "band").where("c != pick.c and doc_id != leader and pick.doc_id != leader")
+    second = sketched(second.select(F.greatest("doc_id", "pick.doc_id").alias("x"), F.least("doc_id", "pick.doc_id").alias("y")).distinct())
+    others = labelled(labelled(star.join(best, ["x", "y"], "left_anti"), known, "x", "cx"), known, "y", "cy").where("cx != cy")
+    more = written(confirmed(others.select("x", "y").union(second.select("x", "y"))), "links")
+    release(star, known)
+    known = forest(links.union(more))
+
+    tagged = labelled(larger.select("band", "doc_id", "size"), known, "doc_id", "c")
     parts = tagged.groupBy("band", "c").agg(F.count("*").alias("n"))
-    largest = parts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
-    several = tagged.join(largest, "band").join(members.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "band")
+    largest = parts.groupBy("band").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.count("*").alias("parts")).where("parts > 1").select("band", "main")
+    several = tagged.join(largest, "band").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     several = several.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     meeting = several.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("side"), "doc_id", "c", (F.col("c") == F.col("main")).alias("in_main"))
-    meeting = meeting.join(reps.select("doc_id", "bands").dropDuplicates(["doc_id"]), "doc_id").join(sets.select("doc_id", "sketch"), "doc_id").select("band", "i", "j", "side", "doc_id", "c", "in_main", "bands", "sketch")
+    meeting = meeting.join(signed.select("doc_id", "bands"), "doc_id").join(sets.select("doc_id", "sketch"), "doc_id").select("band", "i", "j", "side", "doc_id", "c", "in_main", "bands", "sketch")
     rest = meeting.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_across(most), "x long, y long").distinct()
     last = written(confirmed(rest), "links")
-    # what follows reads the signatures and the components only
-    release(sets, members, star)
-    final = components(edges(known).union(last)).where("id != component")
-    return (
-        signed.select("doc_id", "n_shingles", "print_a", "print_b")
-        .join(classes, ["print_a", "print_b"], "left")
-        .withColumn("rep", F.when(F.col("n_shingles") > 0, F.coalesce("rep", "doc_id")).otherwise(F.col("doc_id")))
-        .join(final.withColumnRenamed("id", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("component", "rep")).alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-    )
+    # what follows reads the signatures, the classes and the components only
+    release(sets, members, links, more)
+    if not last.isEmpty():
+        known = forest(known.union(last))
+    release(last)
+    final = known.withColumnRenamed("id", "rep")
+    return named.select("doc_id", "n_shingles", "rep").join(final, "rep", "left").select(F.col("doc_id").alias(ROW), "n_shingles", F.coalesce("component", "rep").alias("component"))

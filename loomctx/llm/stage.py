@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _PATHS: list[tuple[SparkSession, str]] = []
-_FRAMES: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,14 +35,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     _PATHS.append((spark, path))
     out = spark.read.schema(df.schema).parquet(path)
-    _FRAMES[id(out)] = path
+    out._written_path = path
     return out
 
 
 def release(*frames: DataFrame) -> None:
     """Delete written tables that nothing still to be run reads."""
     for df in frames:
-        path = _FRAMES.pop(id(df), None)
+        path = df.__dict__.pop("_written_path", None)
         if path is not None:
             _delete(df.sparkSession, path)
 
@@ -91,6 +90,11 @@ def numbered(docs: DataFrame, *columns: str) -> DataFrame:
     return written(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(ROW, F.monotonically_increasing_id()), "rows")
 
 
+def numbers_differ(rows: DataFrame) -> bool:
+    """Whether rows of ``numbered`` got numbers other than their doc_id, for which they were written once more."""
+    return "_written_path" in rows.__dict__
+
+
 def small_batches(spark: SparkSession, records: int = 1000, size: int = 8 << 20) -> None:
     """Bound the Arrow batches sent to Python from now on, so that long rows can't fill a worker's memory."""
     for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", records), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
