@@ -176,7 +176,7 @@ def contaminated_rows(rows: DataFrame, benchmark: DataFrame, width: int = 8, lit
     known = None
     hashes = wanted.select("hash").distinct()
     if hashes.count() <= sent:
-        known = rows.sparkSession.sparkContext.broadcast(np.sort(np.array([r["hash"] for r in hashes.collect()], dtype=np.int64).view(np.uint64)))
+        known = rows.sparkSession.sparkContext.broadcast(np.sort(np.asarray(hashes.toArrow()["hash"]).view(np.uint64)))
     found = raw_text(rows, ROW).mapInArrow(_doc_windows(widths, width, literals, known), "doc_id long, place int, hash long, doc_slots array<long>")
     hits = written(found.join(wanted, "hash").select("doc_id", "item_id", "place", "at", "doc_slots", "item_slots", "templated", "item_templates", "item_windows"), "hits")
     pairs = hits.where(F.size("item_slots") > 0).select("doc_id", "item_id", F.explode(F.arrays_zip("item_slots", "doc_slots")).alias("s")).groupBy("doc_id", "item_id", "s.item_slots", "s.doc_slots").agg(F.count("*").alias("n"))

@@ -7,19 +7,23 @@ and then a prefix of the next: documents in the order of a hash of (seed, epoch,
 would pass the budget.
 
 Only one row for each leaf reaches the driver (``leaves`` at most; more is an error). The prefix is found in
-two steps, so no task sorts a leaf: token sums by (leaf, leading bits of the hash) tell the bin in which the budget ends, and
-running sums within that bin give the last document taken. Texts are not shuffled: a document is taken if it does
+steps, so no task sorts a leaf: token sums by (leaf, leading bits of the hash) tell the bin in which the budget ends, the same
+with more bits within that bin, and so on; running sums within the last, narrowest bin give the last document taken. Texts are not shuffled: a document is taken if it does
 not come after its leaf's last one.
 """
 
 from __future__ import annotations
 
+import math
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomctx.llm.stage import written
 
-BIN_BITS = 12
+#: Leading bits of the hash by which the bin that holds a budget's end is narrowed down, step by step.
+BIN_BITS = (8, 16)
 
 
 def estimated_tokens(text: Column) -> Column:
@@ -27,42 +31,58 @@ def estimated_tokens(text: Column) -> Column:
     return F.floor((F.coalesce(F.octet_length(text), F.lit(0)) + 3) / 4).cast("long")
 
 
-def split(total: float, capacity: dict, weight: dict) -> dict:
-    """Water filling: ``total`` in proportion to the weights, none above its capacity."""
-    out, open_, left = {k: 0.0 for k in capacity}, sorted(k for k in capacity if capacity[k] > 0 and weight[k] > 0), float(total)
-    while open_ and left > 1e-9:
-        scale = left / sum(weight[k] for k in open_)
-        full = [k for k in open_ if out[k] + weight[k] * scale >= capacity[k]]
-        if not full:
-            for k in open_:
-                out[k] += weight[k] * scale
-            break
-        for k in full:
-            left -= capacity[k] - out[k]
-            out[k] = float(capacity[k])
-        open_ = [k for k in open_ if k not in full]
+def split(total: int, capacity: dict, weight: dict) -> dict[tuple, int]:
+    """Water filling in whole tokens: ``total`` in proportion to the weights, none above its capacity.
+
+    Tokens that proportions leave over go one each to the largest fractions, smaller names first. Children without weight get nothing.
+    The parts add up to the lesser of ``total`` and the capacities of those with weight.
+    """
+    out, left = dict.fromkeys(capacity, 0), int(total)
+    open_ = sorted(k for k in capacity if capacity[k] > 0 and weight[k] > 0)
+    while open_ and left:
+        whole = sum(weight[k] for k in open_)
+        full = [k for k in open_ if weight[k] * left >= capacity[k] * whole]
+        if full:
+            for k in full:
+                out[k] = min(capacity[k], left)
+                left -= out[k]
+            open_ = [k for k in open_ if out[k] < capacity[k] and k not in full]
+            continue
+        share = {k: weight[k] * left / whole for k in open_}
+        for k in open_:
+            out[k] = min(capacity[k], math.floor(share[k]))
+        left -= sum(out[k] for k in open_)
+        for k in sorted(open_, key=lambda k: (out[k] - share[k], k)):
+            more = min(left, 1, capacity[k] - out[k])
+            out[k] += more
+            left -= more
+        break
     return out
 
 
 def budgets(tokens: dict[tuple, int], total: float, weights: dict[tuple, float], epochs: int) -> dict[tuple, int]:
-    """Budget of every leaf. ``weights`` gives a node's weight by its path; others weigh their tokens' share."""
-
-    def fill(prefix: tuple, total: float) -> dict:
-        if prefix in tokens:
-            return {prefix: int(total)}
-        children: dict[tuple, int] = {}
-        for leaf, n in tokens.items():
-            if leaf[: len(prefix)] == prefix:
-                children[leaf[: len(prefix) + 1]] = children.get(leaf[: len(prefix) + 1], 0) + n
-        everything = sum(children.values()) or 1
-        weight = {c: float(weights.get(c, n / everything)) for c, n in children.items()}
-        share = split(total, {c: n * epochs for c, n in children.items()}, weight)
-        out: dict = {}
-        for c, amount in share.items():
-            out |= fill(c, amount)
-        return out
-
-    return fill((), min(float(total), float(sum(tokens.values()) * epochs)))
+    """Budget of every leaf. ``weights`` gives a node's weight by its path; others weigh their tokens' share among their siblings.
+
+    A node's capacity counts only what its children with weight can take, so what they cannot goes to the node's siblings, and
+    to its parent's where these are full. The budgets add up to the lesser of ``total`` (whole tokens) and the root's capacity.
+    """
+    children: dict[tuple, list[tuple]] = {}
+    size: dict[tuple, int] = {}
+    for leaf in sorted(tokens):
+        for depth in range(len(leaf) + 1):
+            if leaf[:depth] not in size and depth:
+                children.setdefault(leaf[: depth - 1], []).append(leaf[:depth])
+            size[leaf[:depth]] = size.get(leaf[:depth], 0) + tokens[leaf]
+    weight = {(): Fraction(1)}
+    for parent, below in children.items():
+        weight |= {c: Fraction(weights[c]) if c in weights else Fraction(size[c], size[parent] or 1) for c in below}
+    capacity = {leaf: n * epochs for leaf, n in tokens.items()}
+    for node in sorted(children, key=len, reverse=True):
+        capacity[node] = sum(capacity[c] for c in children[node] if weight[c] > 0)
+    out = {(): min(int(total), capacity.get((), 0))}
+    for node in sorted(children, key=len):
+        out |= split(out[node], {c: capacity[c] for c in children[node]}, weight)
+    return {leaf: out[leaf] for leaf in tokens}
 
 
 def mix(docs: DataFrame, levels: dict[str, Column], total: Column | int, weights: dict[tuple, float], epochs: int = 2, seed: int = 17, tokens: Column | None = None, leaves: int = 1_000_000) -> DataFrame:
@@ -89,16 +109,22 @@ def mix(docs: DataFrame, levels: dict[str, Column], total: Column | int, weights
     group = [*inner, "epoch"]
 
     def ordered(frame: DataFrame) -> DataFrame:
-        out = frame.join(quota, inner).withColumn("__order", F.xxhash64(F.lit(seed), "epoch", F.col("doc_id").cast("long")))
-        return out.withColumn("__bin", F.shiftrightunsigned("__order", 64 - BIN_BITS))
-
-    bins = ordered(slim).groupBy(*group, "quota", "__bin").agg(F.sum("mix_tokens").alias("n"))
-    start = bins.withColumn("start", F.sum("n").over(Window.partitionBy(*group).orderBy("__bin")) - F.col("n"))
-    # the one bin of a leaf and epoch in which the budget ends, if it ends before the leaf does
-    edge = written(start.where("start <= quota and start + n > quota").select(*group, "__bin", "start"), "edges")
-    within = Window.partitionBy(*group).orderBy("__order", "doc_id")
-    inside = ordered(slim).join(F.broadcast(edge), [*group, "__bin"]).withColumn("upto", F.col("start") + F.sum("mix_tokens").over(within)).where("upto <= quota")
-    last = inside.groupBy(*group).agg(F.max(F.struct("__order", "doc_id")).alias("__last"))
-    cuts = F.broadcast(written(edge.select(*group, F.col("__bin").alias("__edge")).join(last, group, "left"), "cuts"))
-    taken = F.col("__edge").isNull() | (F.col("__bin") < F.col("__edge")) | ((F.col("__bin") == F.col("__edge")) & F.coalesce(F.struct("__order", F.col("doc_id").cast("long").alias("doc_id")) <= F.col("__last"), F.lit(False)))
+        return frame.join(quota, inner).withColumn("__order", F.xxhash64(F.lit(seed), "epoch", F.col("doc_id").cast("long")))
+
+    # the order is that of the hash's bits; the one bin of a leaf and epoch in which the budget ends, if it ends before the leaf does
+    leading = lambda bits: F.shiftrightunsigned("__order", 64 - bits)
+    edge = None
+    for bits in BIN_BITS:
+        inside = ordered(slim) if edge is None else ordered(slim).withColumn("__before", leading(known)).join(F.broadcast(edge), [*group, "__before"])
+        bins = inside.groupBy(*group, "quota", F.lit(0).cast("long").alias("from") if edge is None else F.col("from"), leading(bits).alias("__bin")).agg(F.sum("mix_tokens").alias("n"))
+        start = bins.withColumn("start", F.col("from") + F.sum("n").over(Window.partitionBy(*group).orderBy("__bin")) - F.col("n"))
+        edge = written(start.where("start <= quota and start + n > quota").select(*group, F.col("__bin").alias("__before"), F.col("start").alias("from")), "edges")
+        known = bits
+    within = Window.partitionBy(*group).orderBy("__unsigned", "doc_id")
+    place = F.struct(F.col("__order").bitwiseXOR(F.lit(-(1 << 63))).alias("__unsigned"), F.col("doc_id").cast("long").alias("doc_id"))
+    inside = ordered(slim).withColumn("__before", leading(known)).join(F.broadcast(edge), [*group, "__before"]).withColumn("__unsigned", place["__unsigned"])
+    inside = inside.withColumn("upto", F.col("from") + F.sum("mix_tokens").over(within)).where("upto <= quota")
+    last = inside.groupBy(*group).agg(F.max(place).alias("__last"))
+    cuts = F.broadcast(written(edge.select(*group, F.col("__before").alias("__edge")).join(last, group, "left"), "cuts"))
+    taken = F.col("__edge").isNull() | (leading(known) < F.col("__edge")) | ((leading(known) == F.col("__edge")) & F.coalesce(place <= F.col("__last"), F.lit(False)))
     return ordered(rows).join(cuts, group, "left").where(taken).select(*docs.columns, "epoch", "mix_tokens")
