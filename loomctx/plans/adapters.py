@@ -68,18 +68,12 @@ DOC_NODES_SQL = """chunks AS (
 
 
 def query_requests(spark: SparkSession, sf_dir: str, budget: int = 2000) -> DataFrame:
-    """The first six words of every benchmark item as a request, modes taken in turn."""
+    """The whole text of every benchmark item as a request, modes taken in turn."""
     from loomctx.schema import MODES
 
     b = table(spark, sf_dir, "benchmark")
     mode = F.element_at(F.array(*map(F.lit, MODES)), (F.col("item_id") % 7 + 1).cast("int"))
-    return b.select(F.col("item_id").cast("string").alias("request_id"), F.array_join(F.slice(F.split("text", " "), 1, 6), " ").alias("query"), F.lit(budget).cast("long").alias("token_budget"), mode.alias("mode"), F.lit(False).alias("include_content"), F.array().cast("array<string>").alias("dirty_paths"))
-
-
-def pack_requests(spark: SparkSession, sf_dir: str, budget: int = 2000) -> DataFrame:
-    """As ``query_requests``, with the whole text of every item."""
-    whole = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("request_id"), F.col("text").alias("query"))
-    return query_requests(spark, sf_dir, budget).drop("query").join(whole, "request_id")
+    return b.select(F.col("item_id").cast("string").alias("request_id"), F.col("text").alias("query"), F.lit(budget).cast("long").alias("token_budget"), mode.alias("mode"), F.lit(False).alias("include_content"), F.array().cast("array<string>").alias("dirty_paths"))
 
 
 def item_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,7 +222,7 @@ def jn_import_resolution(spark, sf):
     return G.resolve_imports(spark.createDataFrame(imports, "path string, module string, lang string"), files)
 
 
-_NAMED = r"named AS (SELECT name, min(id) AS id FROM (SELECT 'i' || item_id AS id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS name FROM benchmark) WHERE strlen(name) >= 4 AND length(name) >= 9 GROUP BY name)"
+_NAMED = r"named AS (SELECT name, min(id) AS id FROM (SELECT 'i' || item_id AS id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS name FROM benchmark) WHERE strlen(name) >= 4 GROUP BY name)"
 
 
 @query(
@@ -230,7 +230,7 @@ _NAMED = r"named AS (SELECT name, min(id) AS id FROM (SELECT 'i' || item_id AS i
     SELECT id AS src, 6 AS kind, 'd' || doc_id AS dst, 0.7::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS k FROM t JOIN named USING (name)) WHERE k <= 8"""
 )
 def jn_doc_mentions(spark, sf):
-    b = A.table(spark, sf, "benchmark").select(F.concat(F.lit("i"), "item_id").alias("id"), F.explode(T.words("text")).alias("symbol")).where(F.char_length("symbol") >= 9)
+    b = A.table(spark, sf, "benchmark").select(F.concat(F.lit("i"), "item_id").alias("id"), F.explode(T.words("text")).alias("symbol"))
     docs = A.table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), F.col("text").alias("content"))
     return G.doc_mentions(docs, b)
 
@@ -264,7 +264,7 @@ def hot_set(spark, sf):
 _FOLD = f"translate(lower({{}}), '{search.ACCENTED}', '{search.PLAIN}')"
 _BM25 = rf"""docterms AS (SELECT doc_id, unnest(regexp_extract_all({_FOLD.format("text")}, '[\p{{L}}\p{{N}}_]+')) AS term FROM documents WHERE text IS NOT NULL),
   tf AS (SELECT term, doc_id, count(*) AS tf FROM docterms GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
-  q AS (SELECT item_id, array_to_string(string_split(text, ' ')[1:6], ' ') AS query FROM benchmark),
+  q AS (SELECT item_id, text AS query FROM benchmark),
   qt AS (SELECT item_id, term, count(*) AS mult FROM (SELECT item_id, {_FOLD.format("t")} AS term FROM (SELECT item_id, unnest([t FOR t IN regexp_extract_all(query, '[\p{{L}}\p{{N}}_]+') IF strlen(t) >= 2]) AS t FROM q)) GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   w AS (SELECT item_id, term, mult, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf, avgdl FROM qt JOIN df USING (term), st),
@@ -310,11 +310,11 @@ def _hop(n: int, frontier: str, known: str) -> str:
 
 
 @query(
-    f"""WITH {A.EDGES_SQL}, {A.NODES_SQL}, steps AS (SELECT * FROM {_STEP}), seeds AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey <= 5), {_hop(1, "seeds", "seeds")}, seen AS (SELECT id FROM seeds UNION SELECT id FROM h1), {_hop(2, "h1", "seen")}
+    f"""WITH {A.EDGES_SQL}, {A.NODES_SQL}, steps AS (SELECT * FROM {_STEP}), seeds AS (SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey % 100 = 0), {_hop(1, "seeds", "seeds")}, seen AS (SELECT id FROM seeds UNION SELECT id FROM h1), {_hop(2, "h1", "seen")}
     SELECT id, hops, reason, source FROM h1 UNION ALL SELECT id, hops, reason, source FROM h2"""
 )
 def graph_walk_2hop(spark, sf):
-    seeds = A.table(spark, sf, "part").where("p_partkey <= 5").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+    seeds = A.table(spark, sf, "part").where("p_partkey % 100 = 0").select(F.concat(F.lit("p"), "p_partkey").alias("id"))
     return G.walk(seeds, A.graph_edges(spark, sf), A.graph_nodes(spark, sf).where("valid"), pack.default_prior)
 
 
@@ -350,13 +350,13 @@ def threshold_prune(spark, sf):
 
 # --- selection ----------------------------------------------------------------------------------------------------
 
-_PARTS = "parts AS (SELECT p_brand AS request_id, 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, p_size::BIGINT AS tokens, round(p_retailprice / 1000, 6) AS score, 'f' || (p_partkey % 97) AS path, (p_partkey % 5) * 10 AS byte_start, (p_partkey % 5) * 10 + p_size AS byte_end, CASE WHEN p_partkey % 11 = 0 THEN 'anchor' ELSE 'calls' END AS reason, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 's' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS sig_id, 2::BIGINT AS sig_tokens FROM part WHERE p_partkey % 8 = 0)"
+_PARTS = "parts AS (SELECT p_brand AS request_id, 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, p_size::BIGINT AS tokens, round(p_retailprice / 1000, 6) AS score, 'f' || (p_partkey % 97) AS path, (p_partkey % 5) * 10 AS byte_start, (p_partkey % 5) * 10 + p_size AS byte_end, CASE WHEN p_partkey % 11 = 0 THEN 'anchor' ELSE 'calls' END AS reason, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 's' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS sig_id, 2::BIGINT AS sig_tokens FROM part)"
 
 
 def _parts(spark, sf):
     k = F.col("p_partkey")
     pad = F.lpad(k.cast("string"), 9, "0")
-    p = A.table(spark, sf, "part").where("p_partkey % 8 = 0")
+    p = A.table(spark, sf, "part")
     return p.select(
         F.col("p_brand").alias("request_id"), F.concat(F.lit("p"), pad).alias("id"), F.lit(2).alias("kind"), F.col("p_size").cast("long").alias("tokens"), F.round(F.col("p_retailprice") / 1000, 6).alias("score"), F.concat(F.lit("f"), k % 97).alias("path"),
         (k % 5 * 10).alias("byte_start"), (k % 5 * 10 + F.col("p_size")).alias("byte_end"), F.when(k % 11 == 0, "anchor").otherwise("calls").alias("reason"), F.lit("").alias("detail"), F.when(k % 3 != 0, F.concat(F.lit("s"), pad)).alias("sig_id"), F.lit(2).cast("long").alias("sig_tokens"),
@@ -412,14 +412,14 @@ def stable_order(spark, sf):
     return pack.stable_order(n.select(F.col("lang").alias("request_id"), "id", "hash"), hot).select("request_id", "id", *_long("ord"), F.col("hot_position").isNotNull().alias("stable"))
 
 
-_ITEMS = "items AS (SELECT o_custkey % 50 AS request_id, 'src/' || (o_orderkey % 300) AS path, floor(o_totalprice / 100)::BIGINT AS tokens, CASE o_orderkey % 5 WHEN 0 THEN 'anchor' WHEN 1 THEN 'search_hit' WHEN 2 THEN 'calls' WHEN 3 THEN 'tested_by' ELSE 'doc_mention' END AS reason, CASE WHEN o_custkey % 50 < 20 THEN 'signature' ELSE CASE o_orderkey % 4 WHEN 0 THEN 'ast_chunk' WHEN 1 THEN 'doc_chunk' WHEN 2 THEN 'test' ELSE 'file' END END AS type, round((o_orderkey % 89) / 89, 4) AS score FROM orders WHERE o_custkey % 50 <> 49 AND (o_custkey % 50 > 5 OR o_orderkey % 5 IN (1, 2)))"
+_ITEMS = "items AS (SELECT least(o_custkey % 50, 48) AS request_id, 'src/' || (o_orderkey % 300) AS path, floor(o_totalprice / 100)::BIGINT AS tokens, CASE CASE WHEN o_custkey % 50 > 5 THEN o_orderkey % 5 ELSE 1 + o_orderkey % 2 END WHEN 0 THEN 'anchor' WHEN 1 THEN 'search_hit' WHEN 2 THEN 'calls' WHEN 3 THEN 'tested_by' ELSE 'doc_mention' END AS reason, CASE WHEN o_custkey % 50 < 20 THEN 'signature' ELSE CASE o_orderkey % 4 WHEN 0 THEN 'ast_chunk' WHEN 1 THEN 'doc_chunk' WHEN 2 THEN 'test' ELSE 'file' END END AS type, round((o_orderkey % 89) / 89, 4) AS score FROM orders)"
 
 
 def _items(spark, sf):
-    k, r = F.col("o_orderkey"), F.col("o_custkey") % 50
-    reason = F.element_at(F.array(*map(F.lit, ["anchor", "search_hit", "calls", "tested_by", "doc_mention"])), (k % 5 + 1).cast("int"))
+    k, r = F.col("o_orderkey"), F.least(F.col("o_custkey") % 50, F.lit(48))
+    reason = F.element_at(F.array(*map(F.lit, ["anchor", "search_hit", "calls", "tested_by", "doc_mention"])), F.when(r > 5, k % 5 + 1).otherwise(k % 2 + 2).cast("int"))
     kind = F.element_at(F.array(*map(F.lit, ["ast_chunk", "doc_chunk", "test", "file"])), (k % 4 + 1).cast("int"))
-    o = A.table(spark, sf, "orders").where((r != 49) & ((r > 5) | (k % 5).isin(1, 2)))
+    o = A.table(spark, sf, "orders")
     return o.select(r.alias("request_id"), F.concat(F.lit("src/"), k % 300).alias("path"), F.floor(F.col("o_totalprice") / 100).cast("long").alias("tokens"), reason.alias("reason"), F.when(r < 20, "signature").otherwise(kind).alias("type"), F.round(k % 89 / 89, 4).alias("score"))
 
 
@@ -470,12 +470,12 @@ def render_envelope(spark, sf):
     return n.select("id", F.sha2(T.envelope(F.col("id"), F.col("path"), F.lit("ast_chunk"), F.col("line_start"), F.col("line_end"), F.col("symbol"), F.col("content")), 256).alias("digest"))
 
 
-_REND = f"""WITH {A.DOC_NODES_SQL}, i AS (SELECT lang AS request_id, id, {_ENV} AS env, row_number() OVER (PARTITION BY lang ORDER BY id) AS ord, right(id, 1) = '3' AS stable, tokens FROM chunks WHERE right(id, 2) IN ('13', '24', '53')),
+_REND = f"""WITH {A.DOC_NODES_SQL}, i AS (SELECT lang AS request_id, id, {_ENV} AS env, row_number() OVER (PARTITION BY lang ORDER BY id) AS ord, right(id, 1) = '3' AS stable, tokens FROM chunks),
   b AS (SELECT request_id, coalesce(string_agg(env, '' ORDER BY ord) FILTER (stable), '') AS prefix, coalesce(string_agg(env, '' ORDER BY ord) FILTER (NOT stable), '') AS rest, coalesce(string_agg(id, '' ORDER BY ord) FILTER (stable), '') AS ids, sum(tokens)::BIGINT AS t FROM i GROUP BY 1)"""
 
 
 def _rendered(spark, sf):
-    n = A.doc_nodes(spark, sf).where("kind = 2").where(F.substring("id", -2, 2).isin("13", "24", "53"))
+    n = A.doc_nodes(spark, sf).where("kind = 2")
     items = n.select(F.col("lang").alias("request_id"), F.row_number().over(Window.partitionBy("lang").orderBy("id")).alias("ord"), F.lit("ast_chunk").alias("type"), "path", "symbol", F.array("line_start", "line_end").alias("lines"), "tokens", F.col("id").alias("node"), "content", F.col("id").endswith("3").alias("stable"))
     totals = items.groupBy("request_id").agg(F.sum("tokens").alias("selected_tokens")).withColumns({"saved_pct": F.lit(12.5), "hot_set_version": F.lit(3)})
     return items, totals
@@ -509,41 +509,42 @@ def _graph(spark, sf):
     return A.graph_nodes(spark, sf), G.max_weight(A.graph_edges(spark, sf))
 
 
-def _first_parts(spark, sf, n):
-    return A.table(spark, sf, "part").where(F.col("p_partkey") <= n).select(F.concat(F.lit("p"), "p_partkey").alias("id"))
+def _parts_by(spark, sf, step):
+    """The query set: parts whose number is a multiple of ``step``."""
+    return A.table(spark, sf, "part").where(F.col("p_partkey") % step == 0).select(F.concat(F.lit("p"), "p_partkey").alias("id"))
 
 
-@query(f"{_GRAPH} SELECT dst AS id, src AS caller, path, symbol, weight AS confidence FROM edges JOIN nodes ON nodes.id = src AND valid WHERE kind = 2 AND CAST(substr(dst, 2) AS BIGINT) <= 50 AND starts_with(dst, 'p')")
+@query(f"{_GRAPH} SELECT dst AS id, src AS caller, path, symbol, weight AS confidence FROM edges JOIN nodes ON nodes.id = src AND valid WHERE kind = 2 AND starts_with(dst, 'p')")
 def find_callers(spark, sf):
     nodes, edges = _graph(spark, sf)
-    return lookup.callers(_first_parts(spark, sf, 50), nodes, edges)
+    return lookup.callers(_parts_by(spark, sf, 1), nodes, edges)
 
 
 @query(
-    f"""{_GRAPH}, t AS (SELECT 'o' || o_orderkey AS id FROM orders WHERE o_orderkey <= 300)
+    f"""{_GRAPH}, t AS (SELECT 'o' || o_orderkey AS id FROM orders)
     SELECT t.id, 'outgoing' AS direction, CASE kind WHEN 1 THEN 'imports' WHEN 2 THEN 'calls' ELSE 'inherits' END AS reason, dst AS other, path, symbol FROM t JOIN edges ON src = t.id JOIN nodes n ON n.id = dst AND valid
     UNION ALL SELECT t.id, 'incoming', CASE kind WHEN 1 THEN 'imported_by' WHEN 2 THEN 'called_by' ELSE 'inherits' END, src, path, symbol FROM t JOIN edges ON dst = t.id JOIN nodes n ON n.id = src AND valid"""
 )
 def explain_symbol(spark, sf):
     nodes, edges = _graph(spark, sf)
-    targets = A.table(spark, sf, "orders").where("o_orderkey <= 300").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    targets = A.table(spark, sf, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
     return lookup.explain(targets, nodes, edges)
 
 
-@query(f"{_GRAPH} SELECT src AS id, dst AS test, path, symbol FROM edges JOIN nodes ON nodes.id = dst AND valid WHERE kind = 3 AND CAST(substr(src, 2) AS BIGINT) <= 500")
+@query(f"{_GRAPH} SELECT src AS id, dst AS test, path, symbol FROM edges JOIN nodes ON nodes.id = dst AND valid WHERE kind = 3 AND starts_with(src, 'o')")
 def find_tests(spark, sf):
     nodes, edges = _graph(spark, sf)
-    targets = A.table(spark, sf, "orders").where("o_orderkey <= 500").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
+    targets = A.table(spark, sf, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"))
     tests = edges.withColumn("kind", F.when(F.col("kind") == S.INHERITS, S.TESTED_BY).otherwise(F.col("kind")))
     return lookup.covering_tests(targets, nodes, tests)
 
 
 @query(
-    f"""{_GRAPH}, bfs(id, d) AS (SELECT 'p' || p_partkey, 0 FROM part WHERE p_partkey <= 3 UNION ALL SELECT e.src, d + 1 FROM bfs b JOIN edges e ON e.dst = b.id WHERE d < 2)
+    f"""{_GRAPH}, bfs(id, d) AS (SELECT 'p' || p_partkey, 0 FROM part WHERE p_partkey % 100 = 0 UNION ALL SELECT e.src, d + 1 FROM bfs b JOIN edges e ON e.dst = b.id WHERE d < 2)
     SELECT id, min(d) AS distance, CASE WHEN starts_with(id, 'o') THEN 'called_by' ELSE 'imported_by' END AS via FROM bfs GROUP BY id HAVING min(d) > 0"""
 )
 def impact_bfs(spark, sf):
-    return G.impact(_first_parts(spark, sf, 3), A.graph_edges(spark, sf), 2)
+    return G.impact(_parts_by(spark, sf, 100), A.graph_edges(spark, sf), 2)
 
 
 @query(
@@ -590,11 +591,11 @@ def dirty_files(spark, sf):
     return maintain.dirty_files(*_snapshots(spark, sf))
 
 
-_HELD = "old AS (SELECT DISTINCT 'f' || (l_orderkey % 700) AS path, 'n' || l_partkey AS id FROM lineitem WHERE l_linenumber <= 2), new AS (SELECT DISTINCT 'f' || (l_orderkey % 700) AS path, 'n' || CASE WHEN l_partkey % 50 = 0 THEN l_partkey + 1000000 ELSE l_partkey END AS id FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 77 <> 0)"
+_HELD = "old AS (SELECT DISTINCT 'f' || (l_orderkey % 700) AS path, 'n' || l_partkey AS id FROM lineitem), new AS (SELECT DISTINCT 'f' || (l_orderkey % 700) AS path, 'n' || CASE WHEN l_partkey % 50 = 0 THEN l_partkey + 1000000 ELSE l_partkey END AS id FROM lineitem WHERE l_partkey % 77 <> 0)"
 
 
 def _held(spark, sf):
-    lines = A.table(spark, sf, "lineitem").where("l_linenumber <= 2")
+    lines = A.table(spark, sf, "lineitem")
     path, k = F.concat(F.lit("f"), F.col("l_orderkey") % 700).alias("path"), F.col("l_partkey")
     old = lines.select(path, F.concat(F.lit("n"), k).alias("id")).distinct()
     new = lines.where(k % 77 != 0).select(path, F.concat(F.lit("n"), F.when(k % 50 == 0, k + 1000000).otherwise(k)).alias("id")).distinct()
@@ -716,7 +717,7 @@ def _packs(spark, sf, budget=2000):
     nodes = A.doc_nodes(spark, sf)
     files = nodes.where("kind = 2").select("path", F.lit(None).cast("string").alias("skipped"))
     hot = hotset.hot_members(nodes)
-    return pack.build_packs(A.pack_requests(spark, sf, budget), nodes.unionByName(A.item_nodes(spark, sf)), G.cut(A.mention_edges(spark, sf)), files, hot, 1)
+    return pack.build_packs(A.query_requests(spark, sf, budget), nodes.unionByName(A.item_nodes(spark, sf)), G.cut(A.mention_edges(spark, sf)), files, hot, 1)
 
 
 @query(None)

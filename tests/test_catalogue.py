@@ -55,7 +55,7 @@ def test_packs_walk_the_mentions_of_whole_items(spark, sf):
 
     read = lambda t, k: {r[k]: r["text"] for r in spark.read.parquet(f"{sf}/{t}.parquet").where("text is not null").collect()}
     items, docs = read("benchmark", "item_id"), read("documents", "doc_id")
-    requests = A.pack_requests(spark, sf)
+    requests = A.query_requests(spark, sf)
     assert {int(r["request_id"]): r["query"] for r in requests.collect()} == items
     words = lambda t: set(re.findall(r"\w+", t))
     named = {}
