@@ -6,15 +6,17 @@ once the distance of their centres less both covering radii passes that limit.
 The tree is nested in two parts. Its top is built on the driver from a bounded sample (``sample`` vectors, at most ``cells``
 centres at the last level); every vector belongs to its nearest centre, and an aggregation gives the cells' covering radii.
 Cells are cut into chunks of about ``chunk`` vectors, each packed into one row with the lower part of the tree: levels of
-halving radii, as long as they group vectors at all. Pairs of cells that the bound does not drop give pairs of chunks; each is
+halving radii, as long as they group vectors at all. Chunks of neighbouring cells form groups of bounded size, and pairs of cells that
+the bound does not drop give pairs of groups. A chunk is sent once to each pair that its group is in; there pairs of chunks are
 traversed from the roots, level by level with whole frontiers at once, and what survives is multiplied out in
-single precision with a margin and confirmed in double precision.
+single precision with a margin and confirmed in double precision. Vectors of different lengths have trees of their own; a length that
+the sample misses has one cell.
 
 No pair becomes a row: a pair of chunks returns, for each vector with a link, its number of links and the least id of
 its component among the two chunks, which is all that link counts and components need. Equal vectors travel once.
 
 Vectors without structure (all distances alike) leave most pairs of nodes standing; the work is then every block
-against every block, in matrix products.
+against every block, in matrix products. A vector then travels once for each group, of which there are ``SPREAD`` until groups have ``GROUP`` bytes.
 """
 
 from __future__ import annotations
@@ -27,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomctx.llm.components import components
-from loomctx.llm.stage import small_batches, written
+from loomctx.llm.stage import key_groups, small_batches, written
 
 #: Added to bounds and to single-precision products, so that rounding excludes no pair.
 SLACK = 1e-5
+#: Groups that the chunks of one length are dealt to at least, and bytes of a group's vectors at most (one chunk if that has more).
+SPREAD, GROUP = 8, 32 << 20
 
 
 class CoverTree:
@@ -174,36 +178,66 @@ def _unit(batches):
         yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("weight"), pa.array(out, pa.list_(pa.float64()))], names=["vec_id", "weight", "unit"])
 
 
-def _assign(centres: np.ndarray):
+def _assign(centres: dict[int, np.ndarray]):
+    """Nearest centre among those of the vector's length; cell 0 where there are none."""
+
     def kernel(batches):
         for batch in batches:
-            if batch.num_rows:
-                d = _distances(_matrix(batch.column("unit")), centres)
-                cell = d.argmin(1)
-                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("weight"), batch.column("unit"), pa.array(cell.astype(np.int32)), pa.array(d[np.arange(len(d)), cell])], names=["vec_id", "weight", "unit", "cell", "d"])
+            dims = np.asarray(batch.column("unit").value_lengths())
+            for dim in np.unique(dims).tolist():
+                part = batch.filter(pa.array(dims == dim))
+                cell, near = np.zeros(part.num_rows, np.int64), np.full(part.num_rows, 2.0)
+                if dim in centres:
+                    d = _distances(_matrix(part.column("unit")), centres[dim])
+                    cell = d.argmin(1)
+                    near = d[np.arange(len(d)), cell]
+                yield pa.RecordBatch.from_arrays([part.column("vec_id"), part.column("weight"), part.column("unit"), pa.array(np.full(len(cell), dim, np.int32)), pa.array(cell.astype(np.int32)), pa.array(near)], names=["vec_id", "weight", "unit", "dim", "cell", "d"])
 
     return kernel
 
 
-_PACKED = "cell int, chunk int, ids binary, points binary, weight binary, start binary, sizes binary, tree binary"
+def _per(chunks: int, chunk: int, dim: int) -> int:
+    """Chunks of a group."""
+    return max(1, min(GROUP // (chunk * dim * 8), -(-chunks // SPREAD)))
+
+
+def layout(stats: dict[tuple[int, int], tuple[float, int]], centres: dict[int, np.ndarray], limit: float, chunk: int) -> tuple[list[tuple], list[tuple]]:
+    """Cells (dim, cell, chunks, first chunk, chunks of a group), and the ranges of groups (dim, a, to a, b, to b) of cells that may hold a pair.
+
+    ``stats``: covering radius and number of vectors of each (dim, cell).
+    """
+    cells, ranges = [], []
+    for dim in sorted({d for d, _ in stats}):
+        mine = {c: stats[d, c] for d, c in sorted(stats) if d == dim}
+        chunks = {c: -(-n // chunk) for c, (_, n) in mine.items()}
+        per, first, at = _per(sum(chunks.values()), chunk, dim), {}, 0
+        for c, k in chunks.items():
+            first[c], at = at, at + k
+            cells.append((dim, c, k, first[c], per))
+        between = _distances(centres[dim], centres[dim]) if dim in centres else np.zeros((1, 1))
+        span = {c: (first[c] // per, (first[c] + chunks[c] - 1) // per) for c in mine}
+        ranges += [(dim, *span[i], *span[j]) for i in mine for j in mine if i <= j and between[i, j] <= mine[i][0] + mine[j][0] + limit]
+    return cells, sorted(set(ranges))
+
+
+_PACKED = "dim int, group int, chunk int, ids binary, points binary, weight binary, start binary, sizes binary, tree binary"
 
 
 def _pack(table: pa.Table) -> pa.Table:
     order = np.argsort(np.asarray(table["vec_id"]), kind="stable")
     packed = Packed(np.asarray(table["vec_id"])[order], _matrix(table["unit"])[order], np.asarray(table["weight"])[order])
-    cell, chunk = table["cell"][0].as_py(), table["chunk"][0].as_py()
-    return pa.table({"cell": pa.array([cell], pa.int32()), "chunk": pa.array([chunk], pa.int32())} | {k: pa.array([v], pa.binary()) for k, v in packed.dump().items()})
+    return pa.table({k: pa.array([table[k][0].as_py()], pa.int32()) for k in ("dim", "group", "chunk")} | {k: pa.array([v], pa.binary()) for k, v in packed.dump().items()})
 
 
 def _meet(threshold: float):
     keys = ("ids", "points", "weight", "start", "sizes", "tree")
 
     def kernel(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                a = Packed.load({k: row[f"a_{k}"] for k in keys})
-                same = (row["a_cell"], row["a_chunk"]) == (row["b_cell"], row["b_chunk"])
-                b = a if same else Packed.load({k: row[f"b_{k}"] for k in keys})
+        for table in key_groups(batches, ["dim", "a", "b"]):
+            parts = [(table["group"][i].as_py(), table["chunk"][i].as_py(), Packed.load({k: table[k][i].as_py() for k in keys})) for i in range(table.num_rows)]
+            first, last = table["a"][0].as_py(), table["b"][0].as_py()
+            for a, b in ((p[2], q[2]) for p in parts for q in parts if p[0] == first and q[0] == last and p[:2] <= q[:2]):
+                same = a is b
                 x, y = linked(a, b, threshold)
                 if same:
                     ok = x != y
@@ -240,39 +274,26 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096
     valid = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).where(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda c: c != 0))
     copies = valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     copies = written(copies, "copies")
-    parts = []
-    for (dim,) in sorted(tuple(r) for r in copies.select(F.size("embedding").alias("n")).distinct().limit(1000).collect()):
-        unit = copies.where(F.size("embedding") == dim).select(F.col("rep").alias("vec_id"), "weight", "embedding").mapInArrow(_unit, "vec_id long, weight long, unit array<double>").where("unit is not null")
-        unit = written(unit, "unit")
-        some = unit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("unit").collect()
-        if not some:
-            continue
-        points = np.array([r["unit"] for r in some])
-        tree = CoverTree(points, cells)
-        centres = points[tree.levels[-1]]
-        placed = written(unit.mapInArrow(_assign(centres), "vec_id long, weight long, unit array<double>, cell int, d double"), "cells")
-        stats = placed.groupBy("cell").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()  # at most ``cells`` + 1 rows
-        radius = {s["cell"]: s["r"] for s in stats}
-        counts = spark.createDataFrame([(s["cell"], max(1, math.ceil(s["n"] / chunk))) for s in stats], "cell int, chunks int")
-        packed = placed.join(F.broadcast(counts), "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("chunks")).cast("int").alias("chunk"), "vec_id", "weight", "unit")
-        # small cells share a chunk row each; a large one has as many as it needs
-        packed = written(packed.groupBy("cell", "chunk").applyInArrow(_pack, _PACKED), "chunks")
-        between, limit = _distances(centres, centres), math.sqrt(2 - 2 * threshold) + SLACK
-        pairs = [(i, j) for i in radius for j in radius if i <= j and between[i, j] <= radius[i] + radius[j] + limit]
-        names = packed.select("cell", "chunk")
-        both = (
-            F.broadcast(spark.createDataFrame(pairs, "a_cell int, b_cell int"))
-            .join(names.toDF("a_cell", "a_chunk"), "a_cell")
-            .join(names.toDF("b_cell", "b_chunk"), "b_cell")
-            .where("a_cell < b_cell or a_chunk <= b_chunk")
-        )
-        side = lambda s: packed.select(*(F.col(c).alias(f"{s}_{c}") for c in packed.columns))
-        meeting = both.join(side("a"), ["a_cell", "a_chunk"]).join(side("b"), ["b_cell", "b_chunk"])
-        parts.append(written(meeting.mapInArrow(_meet(threshold), "vec_id long, links long, least long"), "links"))
-    empty = spark.createDataFrame([], "vec_id long, links long, least long")
-    links = empty
-    for p in parts:
-        links = links.union(p)
+    unit = copies.select(F.col("rep").alias("vec_id"), "weight", "embedding").mapInArrow(_unit, "vec_id long, weight long, unit array<double>").where("unit is not null")
+    unit = written(unit, "unit")
+    some: dict[int, list] = {}
+    for r in unit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("unit").collect():
+        some.setdefault(len(r["unit"]), []).append(r["unit"])
+    centres = {dim: np.array(v)[CoverTree(np.array(v), cells).levels[-1]] for dim, v in some.items()}
+    placed = written(unit.mapInArrow(_assign(centres), "vec_id long, weight long, unit array<double>, dim int, cell int, d double"), "cells")
+    # a row for each centre, so at most ``sample``, and one for each length without any
+    stats = {(s["dim"], s["cell"]): (s["r"], s["n"]) for s in placed.groupBy("dim", "cell").agg(F.max("d").alias("r"), F.count("*").alias("n")).collect()}
+    places, ranges = layout(stats, centres, math.sqrt(2 - 2 * threshold) + SLACK, chunk)
+    places = spark.createDataFrame(places, "dim int, cell int, chunks int, first int, per int")
+    packed = placed.join(F.broadcast(places), ["dim", "cell"]).withColumn("chunk", (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("chunks"))).cast("int"))
+    packed = packed.select("dim", F.floor(F.col("chunk") / F.col("per")).cast("int").alias("group"), "chunk", "vec_id", "weight", "unit")
+    packed = written(packed.groupBy("dim", "group", "chunk").applyInArrow(_pack, _PACKED), "chunks")
+    spans = spark.createDataFrame(ranges, "dim int, a0 int, a1 int, b0 int, b1 int")
+    pairs = spans.select("dim", F.explode(F.sequence("a0", "a1")).alias("a"), "b0", "b1").select("dim", "a", F.explode(F.sequence("b0", "b1")).alias("b"))
+    pairs = written(pairs.select("dim", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    sides = pairs.withColumn("group", F.col("a")).union(pairs.where("a != b").withColumn("group", F.col("b")))
+    meeting = packed.join(sides, ["dim", "group"]).repartition("dim", "a", "b").sortWithinPartitions("dim", "a", "b")
+    links = written(meeting.mapInArrow(_meet(threshold), "vec_id long, links long, least long"), "links")
     total = links.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
     final = components(links.select("vec_id", "least")).where("id != component").select(F.col("id").alias("rep"), "component")
     known = copies.join(total, "rep", "left").join(final, "rep", "left").select("embedding", "rep", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomctx.llm.components import forest
-from loomctx.llm.stage import ROW, numbered, numbers_differ, raw_text, release, written
+from loomctx.llm.stage import ROW, key_groups, numbered, numbers_differ, raw_text, release, written
 from loomctx.llm.textkernel import Words, blocks, mix, windows, within
 
 SHINGLE = 5
@@ -126,26 +126,11 @@ def _rows(column, width: int) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, width)
 
 
-def _groups(batches, keys: list[str]):
-    """Tables of the rows with equal keys, from batches sorted by them."""
-    rest = None
-    for batch in batches:
-        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-        values = [np.asarray(table[k]) for k in keys]
-        cut = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
-        at = [0, *cut.tolist()]
-        for a, b in zip(at, at[1:]):
-            yield table.slice(a, b - a)
-        rest = table.slice(at[-1])
-    if rest is not None and rest.num_rows:
-        yield rest
-
-
 def _across(most: int):
     """Pairs of different components in a pair of blocks of one bucket, if the sketches allow and no earlier band has both."""
 
     def kernel(batches):
-        for group in _groups(batches, ["band", "i", "j"]):
+        for group in key_groups(batches, ["band", "i", "j"]):
             g = group.combine_chunks().to_batches()[0]
             band, i, j = (g.column(k)[0].as_py() for k in ("band", "i", "j"))
             ids, c, side = (np.asarray(g.column(k)) for k in ("doc_id", "c", "side"))

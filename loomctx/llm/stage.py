@@ -1,7 +1,7 @@
 """Lineage cuts and small helpers shared by the training-data operators.
 
 Intermediate tables go to the folder named by ``spark.checkpoint.dir`` (shared by driver and executors);
-only where that is unset, as in tests, a folder of this machine is used.
+only where that is unset and the executors are threads of this process, as in tests, a folder of this machine is used.
 """
 
 from __future__ import annotations
@@ -10,6 +10,8 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,12 +19,14 @@ _PATHS: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables, from the session; a local one where it names none."""
+    """Folder for intermediate tables, from the session; a local one where it names none and has no executors elsewhere, else an error."""
     sc = spark.sparkContext
     known = sc._jsc.sc().getCheckpointDir()
     named = spark.conf.get("spark.checkpoint.dir", None) or (None if known.isEmpty() else known.get())
     if named:
         return str(named).rstrip("/")
+    if not sc.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
     local = "file://" + tempfile.mkdtemp(prefix="loomctx-")
     sc.setCheckpointDir(local)
     return local
@@ -107,3 +111,18 @@ def raw_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """(doc_id, body): the text's UTF-8 bytes, so Python kernels never decode. Arrow batches are bounded from here on."""
     small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("body"))
+
+
+def key_groups(batches, keys: list[str]):
+    """Tables of the rows with equal keys, from batches sorted by them."""
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+        values = [np.asarray(table[k]) for k in keys]
+        cut = np.flatnonzero(np.any([v[1:] != v[:-1] for v in values], axis=0)) + 1
+        at = [0, *cut.tolist()]
+        for a, b in zip(at, at[1:]):
+            yield table.slice(a, b - a)
+        rest = table.slice(at[-1])
+    if rest is not None and rest.num_rows:
+        yield rest

@@ -149,6 +149,27 @@ def test_vectors_like_brute_force(spark, chunk):
     assert all(rest[k] == (0, k, True) for k in range(1000, 1006)) and rest[1006] == (1, 1006, True) and rest[1007] == (1, 1006, False) and rest[None] == (0, None, True)
 
 
+def test_vectors_of_many_lengths(spark):
+    rows = [(i, [1.0] * (i // 2 + 1)) for i in range(2400)]
+    got = covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample=64)
+    assert {(r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()} == {(i, 1, i - i % 2) for i in range(2400)}
+
+
+def test_groups_of_chunks_cover_all_pairs():
+    rng = np.random.Generator(np.random.PCG64(8))
+    centres = rng.normal(size=(6, 4))
+    centres /= np.linalg.norm(centres, axis=1)[:, None]
+    stats = {(4, c): (0.3, int(rng.integers(1, 900))) for c in range(6)} | {(7, 0): (2.0, 500)}
+    cells, ranges = covertree.layout(stats, {4: centres}, 0.3, 16)
+    group = {(d, c, k): (at + k) // per for d, c, n, at, per in cells for k in range(n)}
+    met = {(d, a, b) for d, a0, a1, b0, b1 in ranges for a in range(a0, a1 + 1) for b in range(b0, b1 + 1)}
+    for (d, i, k), g in group.items():
+        for (e, j, m), h in group.items():
+            if d == e and i <= j and (d == 7 or np.linalg.norm(centres[i] - centres[j]) <= 0.9):
+                assert (d, g, h) in met
+    assert sum(n for d, _, n, _, _ in cells if d == 7) == 32 and len({g for (d, _, _), g in group.items() if d == 7}) == 8
+
+
 def test_no_vectors(spark):
     assert covertree.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
