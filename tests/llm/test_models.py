@@ -104,6 +104,17 @@ def test_language_held_out(docs):
     assert len(got) > 20 and (got.lang == got.lang_pred).mean() > 0.85
 
 
+def test_passages_come_from_the_whole_text(spark, docs):
+    flat = langid.squeezed(b" ".join(chr(97 + i * 26 // 5000).encode() * 6 for i in range(5000)))
+    got = langid.spread(flat, 800)
+    assert len(got) <= 800 and {w[:1] for w in (got.split()[0], got.split()[-1])} == {b"a", b"z"} and set(got.split()) <= set(flat.split()) and len({w[:1] for w in got.split()}) >= 7
+    assert langid.spread(b"a b", 8) == b"a b" and len(langid.spread(b"x" * 5000, 800)) <= 800
+    many = spark.createDataFrame([(i, f"word{chr(97 + i % 26)} " * 5, f"l{i % 300:03d}") for i in range(1500)], "doc_id long, text string, lang string")
+    found = langid.dictionaries(many, sample=3)
+    assert len(found) == 300 and len(langid.dictionaries(many, languages=7)) == 7
+    assert langid.identify(many).count() == 1500
+
+
 def test_dropping_follows_the_scores(spark, sf, docs, odd):
     labels = spark.read.parquet(f"{sf}/labels.parquet")
     kept = toxicity.not_toxic(docs, labels)
