@@ -47,12 +47,15 @@ class NoIndex(RuntimeError):
 class Engine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
-        self.root = self.store.root
+        self.root, self.parsed = self.store.root, 0
 
     # --- writing --------------------------------------------------------------------------------------------------
 
     def index(self, force: bool = False) -> dict:
-        """Bring the index up to date. Only new and changed files are read and parsed, edges and ranks are made anew."""
+        """Bring the index up to date. Only new and changed files are read and parsed, edges and ranks are made anew.
+
+        Declarations are kept with the index, so those of unchanged files are read back. ``parsed`` is the number of files parsed by the last run.
+        """
         store, spark = self.store, self.spark
         old_files, old_nodes = store.table("files"), store.table("nodes")
         now = files.listing(spark, self.root)
@@ -65,14 +68,16 @@ class Engine:
         status = G.cut(status.select("path", "status"))
         changed = read.join(status.where("status in ('new', 'changed')"), "path", "left_semi")
         good = index.classified(changed.where("skipped is null"))
-        parsed_new = declarations(good)
-        # contents of unchanged files are in their file nodes; their declarations are parsed again only for edges that names of other files may move
+        # contents of unchanged files are in their file nodes, their declarations in a table of the version before
         texts_old = old_nodes.where(F.col("valid") & (F.col("kind") == S.FILE)).select("id", F.col("content").alias("text"))
         kept = old_files.where("skipped is null").join(status.where("status in ('unchanged', 'touched')"), "path", "left_semi")
         kept_text = index.classified(kept.join(texts_old, F.col("file_node") == F.col("id")).select("path", "text"))
         columns = ["path", "text", "lang", "role"]
         everything = G.cut(good.select(columns).unionByName(kept_text.select(columns)))
-        parsed = G.cut(parsed_new.unionByName(declarations(kept_text)))
+        old_parsed = store.table("declarations")
+        parsed_new = G.cut(declarations(good.select(columns).unionByName(kept_text.select(columns).join(old_parsed, "path", "left_anti"))))
+        self.parsed = parsed_new.count()
+        parsed = G.cut(parsed_new.unionByName(old_parsed.join(kept_text.select("path"), "path", "left_semi")))
         placed = G.cut(index.build_nodes(everything, parsed))
         fresh = index.one_per_id(placed)
         edges = G.cut(index.build_edges(fresh, placed, parsed, everything))
@@ -98,7 +103,7 @@ class Engine:
         hot = G.cut(hotset.next_version(store.table("hot_set"), hotset.hot_members(nodes)))
         counters |= {"edges": edges.count(), "hot_set_version": hot.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]}
         head = git(self.root, "rev-parse", "--short", "HEAD")
-        store.commit({"nodes": nodes, "edges": edges, "files": rows, "hot_set": hot}, {"last_index_report": counters, "last_indexed_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "head_commit": head[0] if head else None})
+        store.commit({"nodes": nodes, "edges": edges, "files": rows, "hot_set": hot, "declarations": parsed}, {"last_index_report": counters, "last_indexed_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "head_commit": head[0] if head else None})
         return counters
 
     def gc(self, days: int = 30) -> dict:

@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomctx import schema as S
+from loomctx.functions.parse import DECL
 from loomctx.operators.maintain import retained, usage_stats
 from loomctx.sources.files import STATE_DIR
 
-TABLES = {"nodes": S.NODES, "edges": S.EDGES, "files": S.FILES, "hot_set": "version long, position long, node_id string"}
+TABLES = {"nodes": S.NODES, "edges": S.EDGES, "files": S.FILES, "hot_set": "version long, position long, node_id string", "declarations": f"path string, decls array<{DECL}>, imports array<string>"}
 PACKS = "id string, ts timestamp, query string, budget long, hot_set_version long, selected_tokens long, raw_tokens long, saved_pct double, stable_ids array<string>, pack string, surface string"
 USAGE = "node_id string, ts timestamp"
 KEPT = 2
@@ -56,9 +57,9 @@ class Store:
         return "file://" + os.path.join(self.state, *parts)
 
     def table(self, name: str) -> DataFrame:
-        """A table of the current version, empty before the first."""
+        """A table of the current version, empty before the first, and where an older version has none of that name."""
         version = self.manifest()["version"]
-        if not version:
+        if not version or not os.path.isdir(os.path.join(self.state, f"v{version:06d}", name)):
             return self.spark.createDataFrame([], TABLES[name])
         return self.spark.read.schema(TABLES[name]).parquet(self._uri(f"v{version:06d}", name))
 

@@ -161,3 +161,20 @@ def test_evaluation(spark, tmp_path):
     checks = verify(spark, [str(root)], str(tmp_path / "out"))
     assert [c for c, ok in checks if not ok] == ["no failures"] and len(checks) == 12
     assert "| budget |" in (tmp_path / "out" / "report.md").read_text()
+
+
+def test_only_changed_files_are_parsed(spark, tmp_path):
+    for name, text in FILES.items():
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text(text)
+    e = Engine(spark, str(tmp_path))
+    e.index()
+    assert e.parsed == 4
+    (tmp_path / "fx.py").write_text(FILES["fx.py"] + "\n\ndef amount(x):\n    return process_payment(x)\n")
+    (tmp_path / "README.md").unlink()
+    e.index()
+    assert e.parsed == 1 and {r["path"] for r in e.store.table("declarations").collect()} == set(FILES) - {"README.md"}
+    graph = lambda: {(r["src"], r["kind"], r["dst"], r["weight"]) for r in e.store.table("edges").where("kind < 7").collect()}
+    before = graph()
+    e.index(force=True)
+    assert e.parsed == 3 and graph() == before
