@@ -10,6 +10,11 @@ suffix structures.
 Anchors that many documents share are told apart by a sample: their rows are counted before the shuffle and meet the counts in
 a join whose skewed keys Spark splits; only the others meet in windows, which are thus bounded.
 
+An anchor with more than ``CROWD`` contents (a passage in very many documents, each time with other text around it) does not meet in one
+task either: its segments are parted further by what their windows have in common besides the anchor. Windows whose anchor lies at
+places q * width to q * width + width - 1 share length + 1 - width elements, whose hash is the next, finer key. Widths fall
+to 1, where a key is a whole window, so no key stays crowded, and equal windows have equal keys at each width, so none are missed.
+
 Texts are shuffled once, by document. Segment rows are fixed-size; a long run of one anchor (periodic text) is cut into pieces of
 ``PIECE`` windows, which the suffix structures treat like any others.
 """
@@ -21,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomctx.llm.stage import small_batches, written
+from loomctx.llm.stage import release, small_batches, written
 from loomctx.llm.textkernel import _BASE, _INV, _VALUE, Words, blocks, mix, powers, sliding_min, windows, within
 
 _U = np.uint64
@@ -31,6 +36,9 @@ PIECE = 2048
 HOT_ROWS, HOT_SHARE, HOT_SAMPLE = 1000, 200, 16
 #: Low bits that hold a place while anchors are looked for; the bits above them are the anchor.
 PLACE = 28
+#: Contents of one anchor that may be compared in one task, and the widths by which those of others are parted.
+CROWD = 1000
+WIDTHS = {"bytes": (48, 6, 1), "words": (4, 1)}
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
@@ -53,8 +61,17 @@ class WordElements:
 
     def __init__(self, bodies: list[bytes], length: int):
         w = Words(bodies, lower=False)
-        self.hash, self.first, self.count = w.hash, w.first, w.count
-        self.valid, self.doc = within(w.doc, length), w.doc
+        self.hash, self.first, self.doc = w.hash, w.first, w.doc
+        self.valid = within(w.doc, length)
+
+    @classmethod
+    def held(cls, parts: list[bytes], length: int) -> WordElements:
+        """Of word hashes, as ``cut`` returns them."""
+        e = cls.__new__(cls)
+        size = np.fromiter((len(p) // 8 for p in parts), np.int64, len(parts))
+        e.hash, e.first, e.doc = np.frombuffer(b"".join(parts), np.uint64), np.cumsum(size) - size, np.repeat(np.arange(len(parts)), size)
+        e.valid = within(e.doc, length)
+        return e
 
     def grams(self, gram: int) -> np.ndarray:
         return windows(self.hash, gram)
@@ -73,12 +90,16 @@ class ByteElements:
         self.data = np.frombuffer(b"\n".join(bodies) + b"\n", dtype=np.uint8)
         size = np.fromiter((len(b) + 1 for b in bodies), np.int64, len(bodies))
         end = np.cumsum(size)
-        self.first, self.count = end - size, size - 1
+        self.first = end - size
         self.doc = np.repeat(np.arange(len(bodies)), size)
         self._totals = None
         n = len(self.data) - length + 1
         self.valid = np.arange(n) + length <= np.repeat(end - 1, size)[:n] if n > 0 else np.empty(0, bool)
 
+    @classmethod
+    def held(cls, parts: list[bytes], length: int) -> ByteElements:
+        return cls(parts, length)
+
     def totals(self) -> np.ndarray:
         if self._totals is None:
             self._totals = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_VALUE[self.data] * powers(_BASE, len(self.data)))])
@@ -95,26 +116,43 @@ class ByteElements:
 ELEMENTS = {"words": WordElements, "bytes": ByteElements}
 
 
-def segments(e, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(first window's place, windows, anchor, content hash, whether a window may repeat inside) of every segment in ``e``.
+def _least(grams: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """The least of every ``span`` grams, without its low bits, and its leftmost place; in slices whose places fit into those bits."""
+    n, low = len(grams) - span + 1, _U(PLACE)
+    least, place = np.empty(n, np.uint64), np.empty(n, np.int64)
+    step = (1 << PLACE) - span
+    for at in range(0, n, step):
+        part = grams[at : at + step + span - 1] >> low << low
+        found = sliding_min(part | np.arange(len(part), dtype=np.uint64), span)
+        least[at : at + len(found)] = found >> low
+        place[at : at + len(found)] = (found & _U((1 << PLACE) - 1)).astype(np.int64) + at
+    return least, place
+
 
+def segments(e, length: int, gram: int, width: int = 0) -> tuple[np.ndarray, ...]:
+    """(first window's place, windows, key, content hash, whether a window may repeat inside) of every segment in ``e``.
+
+    The key is the anchor, or with a ``width`` the anchor and what windows with their anchor at about the same place have in common.
     Equal windows of one segment have their leftmost anchors at different places, so where that never moves none repeats.
     """
     valid = e.valid
     if not valid.any():
         return (np.empty(0, np.int64),) * 2 + (np.empty(0, np.uint64),) * 2 + (np.empty(0, bool),)
-    grams = e.grams(gram) >> _U(PLACE)
-    packed = len(grams) < 1 << PLACE
-    least = sliding_min(grams << _U(PLACE) | np.arange(len(grams), dtype=np.uint64) if packed else grams, length - gram + 1)
-    anchor = least >> _U(PLACE) if packed else least
+    key, place = _least(e.grams(gram), length - gram + 1)
+    if width:
+        window = np.arange(len(key))
+        part = (place - window) // width
+        # outside of texts a place may lie beyond the last gram; no window is valid there
+        common = e.grams(length + 1 - width)
+        key = mix(key) + mix(common[np.minimum(place - part * width, len(common) - 1)] + part.astype(np.uint64))
     fresh = valid.copy()
-    fresh[1:] &= ~(valid[:-1] & (anchor[1:] == anchor[:-1]))
+    fresh[1:] &= ~(valid[:-1] & (key[1:] == key[:-1]))
     start = np.flatnonzero(fresh)
     # a segment ends before the next one, or at its document's last window
     stop = np.append(start[1:], len(valid))
     seen = np.concatenate([[0], np.cumsum(valid)])
     count = seen[stop] - seen[start]
-    moves = np.concatenate([[0], np.cumsum(np.concatenate([[False], least[1:] != least[:-1]]) if packed else valid)])
+    moves = np.concatenate([[0], np.cumsum(np.concatenate([[False], place[1:] != place[:-1]]))])
     inside = moves[start + count] > moves[np.minimum(start + 1, len(moves) - 1)]
     pieces = -(-count // PIECE)
     if (pieces > 1).any():
@@ -122,7 +160,7 @@ def segments(e, length: int, gram: int) -> tuple[np.ndarray, ...]:
         start, count, inside = np.repeat(start, pieces) + nth * PIECE, np.minimum(np.repeat(count, pieces) - nth * PIECE, PIECE), np.repeat(inside, pieces)
     total = e.totals()
     content = mix((total[start + count + length - 1] - total[start]) * powers(_INV, len(total))[start] + count.astype(np.uint64))
-    return start, count, mix(anchor[start]), content, inside
+    return start, count, mix(key[start]), content, inside
 
 
 def _segment_rows(kind: str, length: int, gram: int):
@@ -150,13 +188,52 @@ def _cut(kind: str, length: int):
                 out = wanted.values
                 start, n = np.asarray(out.field("start")), np.asarray(out.field("n"))
                 yield pa.RecordBatch.from_arrays(
-                    [out.field("anchor"), pa.array(np.full(len(start), row)), out.field("start"), out.field("n"), out.field("copies"), pa.array([e.cut(0, s, s + c + length - 1) for s, c in zip(start.tolist(), n.tolist())], pa.binary())],
-                    names=["anchor", "row", "start", "n", "copies", "data"],
+                    [out.field("anchor"), pa.array(np.full(len(start), row)), out.field("start"), out.field("n"), out.field("copies"), out.field("crowded"), pa.array([e.cut(0, s, s + c + length - 1) for s, c in zip(start.tolist(), n.tolist())], pa.binary())],
+                    names=["anchor", "row", "start", "n", "copies", "crowded", "data"],
                 )
 
     return kernel
 
 
+def _finer(kind: str, length: int, gram: int, width: int):
+    """Segments of segments, which carry their elements with them."""
+
+    def kernel(batches):
+        for batch in batches:
+            rows, starts = np.asarray(batch.column("row")), np.asarray(batch.column("start"))
+            for first, run in blocks(batch.column("data").to_pylist()):
+                e = ELEMENTS[kind].held(run, length)
+                start, count, key, _, inside = segments(e, length, gram, width)
+                part = e.doc[start]
+                at = start - e.first[part]
+                data = [e.cut(p, s, s + c + length - 1) for p, s, c in zip(part.tolist(), at.tolist(), count.tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.view(np.int64)), pa.array(rows[first + part]), pa.array((starts[first + part] + at).astype(np.int32)), pa.array(count.astype(np.int32)), pa.array(inside), pa.array(data, pa.binary())],
+                    names=["anchor", "row", "start", "n", "inside", "data"],
+                )
+
+    return kernel
+
+
+def _decided(met: DataFrame, first_stays: bool, finest: bool) -> DataFrame:
+    """What becomes of segments, from ``first`` of their content, its ``copies``, and the ``low``, ``high`` and number of ``contents`` of their key."""
+    gone = ~F.col("first") if first_stays else (F.col("copies") > 1)
+    compared = F.col("first") & ((F.col("low") != F.col("high")) | F.col("inside"))
+    crowded = F.lit(False) if finest else compared & (F.col("contents") > CROWD)
+    return met.withColumns({"copies": F.least("copies", F.lit(2)).cast("int"), "gone": gone, "compared": compared, "crowded": crowded})
+
+
+def _met(rows: DataFrame, contents: DataFrame, few_keys: bool) -> DataFrame:
+    """Rows with the counts of their contents and keys; ``contents`` were counted before they were shuffled, and skewed keys are split."""
+    keys = contents.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high"), F.count("*").alias("contents"))
+    met = rows.join(contents, ["anchor", "content"]).join(F.broadcast(keys) if few_keys else keys, "anchor")
+    return met.withColumn("first", F.struct("row", "start") == F.col("at"))
+
+
+def _contents(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("at"))
+
+
 def repeated(texts: DataFrame, kind: str, length: int, gram: int, compare, first_stays: bool, keep: bool) -> DataFrame:
     """(row, spans): for each document with repeated windows, the element ranges (start, stop) that they cover.
 
@@ -175,26 +252,37 @@ def repeated(texts: DataFrame, kind: str, length: int, gram: int, compare, first
     hot = written(sample.groupBy("anchor").agg(F.count("*").alias("k")).where(F.col("k") > most / (2 * HOT_SAMPLE)).select("anchor"), "hot")
     some_hot = not hot.isEmpty()
     cool = found.join(F.broadcast(hot), "anchor", "left_anti") if some_hot else found
-    same = Window.partitionBy("anchor", "content")
-    seen = cool.repartition("anchor").withColumns({"low": F.min("content").over(Window.partitionBy("anchor")), "high": F.max("content").over(Window.partitionBy("anchor"))})
-    seen = seen.withColumns({"first": F.row_number().over(same.orderBy("row", "start")) == 1, "copies": F.count("*").over(same)})
-    columns = ["anchor", "row", "start", "n", "inside", "low", "high", "first", "copies"]
+    same, alike = Window.partitionBy("anchor", "content"), Window.partitionBy("anchor")
+    seen = cool.repartition("anchor").withColumns({"first": F.row_number().over(same.orderBy("row", "start")) == 1, "copies": F.count("*").over(same)})
+    seen = seen.withColumns({"low": F.min("content").over(alike), "high": F.max("content").over(alike), "contents": F.sum(F.col("first").cast("int")).over(alike)})
+    columns = ["anchor", "row", "start", "n", "inside", "low", "high", "contents", "first", "copies"]
     seen = seen.select(columns)
     if some_hot:
-        # Shared widely: contents are counted before they are shuffled, and the rows meet the counts in a join that splits skewed keys.
         warm = written(found.join(F.broadcast(hot), "anchor", "left_semi"), "warm")
-        contents = written(warm.groupBy("anchor", "content").agg(F.count("*").alias("copies"), F.min(F.struct("row", "start")).alias("at")), "contents")
-        range_ = contents.groupBy("anchor").agg(F.min("content").alias("low"), F.max("content").alias("high"))
-        met = warm.join(contents, ["anchor", "content"]).join(F.broadcast(range_), "anchor")  # a row for each hot anchor
-        seen = seen.unionByName(met.withColumn("first", F.struct("row", "start") == F.col("at")).select(columns))
-    gone = ~F.col("first") if first_stays else (F.col("copies") > 1)
-    compared = F.col("first") & ((F.col("low") != F.col("high")) | F.col("inside"))
-    kept = written(seen.select("anchor", "row", "start", "n", F.least("copies", F.lit(2)).cast("int").alias("copies"), gone.alias("gone"), compared.alias("compared")).where("gone or compared"), "segments")
-    wanted = kept.where("compared").groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "n", "copies")).alias("wanted"))
-    cut = texts.join(wanted, "row").mapInArrow(_cut(kind, length), "anchor long, row long, start int, n int, copies int, data binary")
-    partial = cut.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "row long, start int, n int")
-    runs = kept.where("gone").select("row", "start", "n").union(partial)
-    return runs.groupBy("row").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))).alias("spans"))
+        counted = written(_contents(warm), "contents")
+        seen = seen.unionByName(_met(warm, counted, True).select(columns))
+    kept = written(_decided(seen, first_stays, False).where("gone or compared").select("anchor", "row", "start", "n", "copies", "gone", "compared", "crowded"), "segments")
+    release(found, hot, *((warm, counted) if some_hot else ()))
+    wanted = kept.where("compared").groupBy("row").agg(F.collect_list(F.struct("anchor", "start", "n", "copies", "crowded")).alias("wanted"))
+    cut = texts.join(wanted, "row").mapInArrow(_cut(kind, length), "anchor long, row long, start int, n int, copies int, crowded boolean, data binary")
+    gone, crowds = kept.where("gone").select("row", "start", "n"), not kept.where("crowded").isEmpty()
+    if crowds:
+        cut = written(cut, "cut")
+    compared, deep = cut.where("not crowded").drop("crowded"), cut.where("crowded")
+    for width in WIDTHS[kind] if crowds else ():
+        fine = deep.select("row", "start", "data").mapInArrow(_finer(kind, length, gram, width), "anchor long, row long, start int, n int, inside boolean, data binary")
+        fine = written(fine.withColumn("content", F.xxhash64("data")), f"fine-{width}")
+        counted = written(_contents(fine), f"fine-contents-{width}")
+        met = _decided(_met(fine, counted, False), first_stays, width == 1).where("gone or compared")
+        met = written(met.select("anchor", "row", "start", "n", "copies", "gone", "compared", "crowded", F.when(F.col("compared"), F.col("data")).alias("data")), f"fine-met-{width}")
+        release(fine, counted)
+        gone = gone.union(met.where("gone").select("row", "start", "n"))
+        compared = compared.unionByName(met.where("compared and not crowded").select("anchor", "row", "start", "n", "copies", "data"))
+        deep = met.where("crowded")
+        if deep.isEmpty():
+            break
+    partial = compared.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "row long, start int, n int")
+    return gone.union(partial).groupBy("row").agg(F.collect_list(F.struct("start", (F.col("start") + F.col("n") + (length - 1)).alias("stop"))).alias("spans"))
 
 
 def merged(spans) -> list[tuple[int, int]]:

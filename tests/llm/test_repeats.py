@@ -112,3 +112,34 @@ def test_widely_shared_passages(spark, monkeypatch):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeated_words(df).collect()} == brute_words(texts)
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_bytes(df).collect()} == brute_bytes(texts, 400)
+
+
+@pytest.mark.parametrize("words", [12, 18, 70, 150])
+def test_crowded_passages(spark, monkeypatch, words):
+    """The same result where an anchor's contents are too many for one task, down to whole windows as keys; hot anchors or not."""
+    from loomctx.llm import segments
+
+    monkeypatch.setattr(segments, "CROWD", 3)
+    monkeypatch.setattr(segments, "HOT_ROWS", 4 if words in (18, 150) else 1000)
+    passage = " ".join(f"p{i}" for i in range(words))
+    texts = {i: f"{'ab'[i % 2] * (i % 5)} a{i % 40} " + passage + " " + " ".join(f"b{i % 50}x{j}" for j in range(i % 17)) + (" z" * 500 if i % 10 == 0 else "") for i in range(120)}
+    texts |= {200: None, 201: "", 202: passage, 203: passage + " " + passage}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {r["doc_id"]: (r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeated_words(df).collect()} == brute_words(texts)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_bytes(df).collect()} == brute_bytes(texts, 400)
+
+
+def test_finer_keys_are_those_of_the_window():
+    """Equal windows have equal keys at every width, wherever they stand; at width 1 different windows have different keys."""
+    from loomctx.llm import segments
+
+    rng = np.random.default_rng(7)
+    core = bytes(rng.integers(97, 101, 60))
+    bodies = [bytes(rng.integers(97, 99, k)) + core + bytes(rng.integers(97, 99, 9 - k)) for k in range(10)]
+    for width in (0, 8, 3, 1):
+        e = segments.ByteElements(bodies, 30)
+        key = {}
+        for start, n, k in zip(*(x.tolist() for x in segments.segments(e, 30, 6, width)[:3])):
+            for s in range(start, start + n):
+                assert key.setdefault(e.data[s : s + 30].tobytes(), k) == k
+        assert width != 1 or len(set(key.values())) == len(key)
