@@ -67,6 +67,41 @@ DOC_NODES_SQL = """chunks AS (
   FROM documents WHERE text IS NOT NULL)"""
 
 
+#: A source file for each part, its language by the key: what stands before, the function and the class, as format strings over ``k`` (key) and ``z`` (size).
+SOURCES = {
+    "python": ("import lib{z}\n\n", "@checked\ndef make_{k}(a, b=1):\n    return f_{z}(self.zz(a))\n", 'class Part{k}(Base{z}, m.C):\n    """A part."""\n\n    def price(self):\n        run_{k}()\n'),
+    "broken": ("from .lib{z} import y\n\n", "def make_{k}(a):\n    return f_{z}(a)\n", "def bad(:\n    x\n"),
+    "typescript": ("import {{ a }} from \"./lib{z}\";\n", "export const make_{k} = (a: number) => f_{z}(a);\n", "export class Part{k} extends Base{z} implements Sold {{\n  price(x: string) {{ f_{z}(`n ${{zz(x)}}`); }}\n}}\n"),
+    "java": ("package p;\nimport java.util.L{z};\n", "record R{k}(int a) {{ int t() {{ return f_{z}(a); }} }}\n", 'public class Part{k} extends Base{z} implements Sold {{\n  int price(String s) {{ f_{z}("}}"); return new Zz().call(); }}\n}}\n'),
+}
+_ENDINGS = [".py", ".py", ".ts", ".java"]
+
+
+def _pieces(template: str) -> str:
+    """SQL of a format string over part's key and size, for both engines; ``${`` is parted, since Spark replaces variables in SQL."""
+    out = template.replace("${{", "$' || '{{").replace("{{", "\0").replace("}}", "\1").replace("{k}", "\2").replace("{z}", "\3")
+    for mark, column in (("\2", "p_partkey"), ("\3", "p_size")):
+        out = out.replace(mark, "' || CAST(" + column + " AS STRING) || '")
+    return "'" + out.replace("\0", "{").replace("\1", "}").replace("\n", "' || chr(10) || '") + "'"
+
+
+def _by_language(values) -> str:
+    return "CASE p_partkey % 4 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+PART_SOURCES_SQL = f"""sources AS (
+  SELECT *, before || def || cls AS text, strlen(before) AS def_at, strlen(before || def) AS cls_at FROM (
+    SELECT p_partkey AS k, CAST(p_size AS VARCHAR) AS z, p_partkey % 4 AS l, 'src/p' || p_partkey || {_by_language(f"'{e}'" for e in _ENDINGS)} AS path,
+      {", ".join(_by_language(_pieces(t[i]) for t in SOURCES.values()) + " AS " + name for i, name in enumerate(("before", "def", "cls")))} FROM part))"""
+
+
+def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(path, text): a source file for each part."""
+    parts = table(spark, sf_dir, "part")
+    path = F.concat(F.lit("src/p"), F.col("p_partkey").cast("string"), F.expr(_by_language(f"'{e}'" for e in _ENDINGS)))
+    return parts.select(path.alias("path"), F.concat(*(F.expr(_by_language(_pieces(t[i]) for t in SOURCES.values())) for i in range(3))).alias("text"))
+
+
 def query_requests(spark: SparkSession, sf_dir: str, budget: int = 2000) -> DataFrame:
     """The whole text of every benchmark item as a request, modes taken in turn."""
     from loomctx.schema import MODES

@@ -12,7 +12,7 @@ from loomctx.functions import sections
 from loomctx.functions import text as T
 from loomctx.functions.parse import declarations
 from loomctx.operators import graph as G
-from loomctx.operators import hotset, lookup, maintain, pack, render, report, search
+from loomctx.operators import hotset, index, lookup, maintain, pack, render, report, search
 from loomctx.plans import adapters as A
 from loomctx.sources import files
 
@@ -750,37 +750,82 @@ def src_prepare(spark, sf):
     return files.prepare(rows).select("path", "skipped", "content_sha")
 
 
-_SOURCES = [
-    ("a.py", "python", "import os\n\n@dec\ndef f(a):\n    return g(self.h(a))\n\nclass K(B, m.C):\n    def q(self):\n        run()\n"),
-    ("broken.py", "python", "from .x import y\ndef ok(a):\n    return run(a)\n\ndef bad(:\n    x\n"),
-    ("b.ts", "typescript", "import { a } from './a';\nexport class Foo extends Bar implements Baz {\n  run(x: string) { go(`n ${fmt(x)} }`); }\n}\nexport const add = (a: number) => sum(a);\ntype U = 'a' | 'b';\n"),
-    ("C.java", "java", 'package p;\nimport java.util.List;\npublic class C extends D<E> implements I {\n  int run(String s) { helper("}"); return new Inner().call(); }\n}\nrecord R(int a) { int t() { return dbl(a); } }\n'),
-    ("d.txt", "text", "def f(): pass\n"),
-]
+_DECLARED = f"""WITH {A.PART_SOURCES_SQL}, declared AS (
+  SELECT path, l, 'def' AS part, CASE l WHEN 3 THEN 'record' ELSE 'function' END AS kind, CASE l WHEN 3 THEN 'R' ELSE 'make_' END || k AS name, def_at AS byte_start, rtrim(def, chr(10)) AS body, CASE l WHEN 2 THEN 2 ELSE 3 END AS line_start,
+    CASE l WHEN 0 THEN 'f_' || z || '|zz' ELSE 'f_' || z END AS calls, '' AS bases, '' AS impls,
+    CASE l WHEN 0 THEN 'def make_' || k || '(a, b=1): ...' WHEN 1 THEN 'def make_' || k || '(a): ...' WHEN 2 THEN 'export const make_' || k || ' = (a: number) => ...' ELSE 'record R' || k || '(int a) {{' || chr(10) || '  int t();' || chr(10) || '}}' END || chr(10) AS signature FROM sources
+  UNION ALL SELECT path, l, 'cls', CASE l WHEN 1 THEN 'function' ELSE 'class' END, CASE l WHEN 1 THEN 'bad' ELSE 'Part' || k END, cls_at, rtrim(cls, chr(10)), CASE l WHEN 0 THEN 6 WHEN 1 THEN 5 WHEN 2 THEN 3 ELSE 4 END,
+    CASE l WHEN 0 THEN 'run_' || k WHEN 1 THEN '' WHEN 2 THEN 'f_' || z || '|zz' ELSE 'Zz|call|f_' || z END, CASE l WHEN 0 THEN 'Base' || z || '|C' WHEN 1 THEN '' ELSE 'Base' || z END, CASE WHEN l >= 2 THEN 'Sold' ELSE '' END,
+    CASE l WHEN 0 THEN 'class Part' || k || '(Base' || z || ', m.C):' || chr(10) || '    ' || repeat('"', 3) || 'A part.' || repeat('"', 3) || chr(10) || '    def price(self): ...' WHEN 1 THEN 'def bad(: ...'
+      WHEN 2 THEN 'export class Part' || k || ' extends Base' || z || ' implements Sold {{' || chr(10) || '  price(x: string) ...' || chr(10) || '}}' ELSE 'public class Part' || k || ' extends Base' || z || ' implements Sold {{' || chr(10) || '  int price(String s);' || chr(10) || '}}' END || chr(10) FROM sources)"""
 
 
-@query(
-    """SELECT * FROM (VALUES ('a.py', 'function', 'f', 3, 5, 'g|h', '', ''), ('a.py', 'class', 'K', 7, 9, 'run', 'B|C', ''), ('broken.py', 'function', 'ok', 2, 3, 'run', '', ''), ('broken.py', 'function', 'bad', 5, 6, '', '', ''),
-    ('b.ts', 'class', 'Foo', 2, 4, 'fmt|go', 'Bar', 'Baz'), ('b.ts', 'function', 'add', 5, 5, 'sum', '', ''), ('b.ts', 'type', 'U', 6, 6, '', '', ''), ('C.java', 'class', 'C', 3, 5, 'Inner|call|helper', 'D|E', 'I'), ('C.java', 'record', 'R', 6, 6, 'dbl', '', ''))
-    t(path, kind, name, line_start, line_end, calls, bases, impls)"""
-)
+def _parsed(spark, sf):
+    sources = index.classified(A.part_sources(spark, sf))
+    return sources, declarations(sources)
+
+
+@query(f"{_DECLARED} SELECT path, kind, name, byte_start, byte_start + strlen(body) AS byte_end, line_start, line_start + len(body) - len(replace(body, chr(10), '')) AS line_end, calls, bases, impls, signature FROM declared")
 def tg_declarations(spark, sf):
-    d = declarations(spark.createDataFrame(_SOURCES, "path string, lang string, text string")).select("path", F.explode("decls").alias("d"))
-    return d.select("path", "d.kind", "d.name", "d.line_start", "d.line_end", *(F.array_join(f"d.{c}", "|").alias(c) for c in ("calls", "bases", "impls")))
+    """Every declaration of a source file for each part, in four languages or states."""
+    d = _parsed(spark, sf)[1].select("path", F.explode("decls").alias("d"))
+    return d.select("path", "d.kind", "d.name", "d.byte_start", "d.byte_end", "d.line_start", "d.line_end", *(F.array_join(f"d.{c}", "|").alias(c) for c in ("calls", "bases", "impls")), "d.signature")
 
 
-@query("SELECT * FROM (VALUES ('a.py', 'os'), ('broken.py', '.x'), ('b.ts', './a'), ('C.java', 'java.util.List')) t(path, module)")
+@query(f"WITH {A.PART_SOURCES_SQL} SELECT path, CASE l WHEN 0 THEN 'lib' WHEN 1 THEN '.lib' WHEN 2 THEN './lib' ELSE 'java.util.L' END || z AS module FROM sources")
 def tg_imports(spark, sf):
-    return declarations(spark.createDataFrame(_SOURCES, "path string, lang string, text string")).select("path", F.explode("imports").alias("module"))
+    return _parsed(spark, sf)[1].select("path", F.explode("imports").alias("module"))
 
 
 @query(
-    "SELECT version, position, node_id FROM (VALUES (2, 1, 'a'), (2, 2, 'b'), (3, 1, 'a'), (3, 2, 'c'), (4, 1, 'a'), (4, 2, 'd')) t(version, position, node_id)"
+    f"""{_DECLARED}, found AS (SELECT path, 2 AS kind, name AS symbol, body AS content FROM declared UNION ALL SELECT path, 3, name, signature FROM declared UNION ALL SELECT path, 1, NULL, text FROM sources)
+    SELECT path, kind, symbol, (strlen(content) + 3) // 4 AS tokens, sha256(content) AS content_sha FROM found"""
+)
+def tg_chunks(spark, sf):
+    """Chunks, signatures and file nodes of the parts' source files."""
+    nodes = index.build_nodes(*_parsed(spark, sf))
+    return nodes.select("path", "kind", "symbol", "tokens", F.sha2("content", 256).alias("content_sha"))
+
+
+@query(
+    f"""WITH {A.DOC_NODES_SQL}, top AS (SELECT row_number() OVER (ORDER BY centrality DESC, tokens, id) AS position, id AS node_id FROM chunks QUALIFY position <= 64)
+    SELECT v AS version, CASE WHEN v = 4 THEN 65 - position ELSE position END AS position, node_id FROM top CROSS JOIN (SELECT unnest([2, 3, 4]) AS v)"""
 )
 def hot_set_versions(spark, sf):
-    """A changed membership makes version 4 and drops version 1; unchanged members make none."""
-    rows = [(1, 1, "z"), (2, 1, "a"), (2, 2, "b"), (3, 1, "a"), (3, 2, "c")]
-    before = spark.createDataFrame(rows, "version long, position long, node_id string")
-    members = lambda *ids: spark.createDataFrame(list(enumerate(ids, 1)), "position long, node_id string")
-    changed = hotset.next_version(before, members("a", "d"))
-    return hotset.next_version(changed, members("a", "d"))
+    """Three versions of one order, then the reverse: a changed membership makes version 4 and drops version 1; unchanged members make none."""
+    top = hotset.top_chunks(A.doc_nodes(spark, sf), 64).select(F.row_number().over(Window.orderBy(F.desc("centrality"), "tokens", "id")).cast("long").alias("position"), F.col("id").alias("node_id"))  # 64 rows
+    before = top.withColumn("version", F.explode(F.array(*(F.lit(v).cast("long") for v in (1, 2, 3))))).select("version", "position", "node_id")
+    turned = top.withColumn("position", 65 - F.col("position"))
+    return hotset.next_version(hotset.next_version(before, turned), turned)
+
+
+# --- more reports and lookups -------------------------------------------------------------------------------------
+
+
+@query(f"WITH {A.DOC_NODES_SQL} SELECT id, path, symbol, tokens FROM chunks ORDER BY role = 'test', centrality DESC, tokens DESC, path, id LIMIT 1")
+def top_symbol(spark, sf):
+    return report.top_symbol(A.doc_nodes(spark, sf)).select("id", "path", "symbol", "tokens")
+
+
+@query("SELECT count(*) AS packs, list_sort(list(v))[count(*) // 2 + 1] AS median_saved_pct, round(avg(v::DECIMAL(18, 2)), 2) AS mean_saved_pct, least(100.0, min(v)) AS min_saved_pct FROM (SELECT round(value, 2) AS v FROM events)")
+def savings(spark, sf):
+    return report.savings(A.pack_log(spark, sf))
+
+
+@query(
+    f"""WITH {A.DOC_NODES_SQL}, names AS (SELECT 'doc_' || doc_id AS name FROM documents UNION ALL SELECT doc_id || '.txt' FROM documents)
+    SELECT name, id FROM names JOIN chunks ON name = regexp_extract(symbol, '[^.]*$') OR name = regexp_extract(path, '[^/]*$')"""
+)
+def symbol_and_file_seeds(spark, sf):
+    """What every document's symbol and file name mean."""
+    nodes = A.doc_nodes(spark, sf)
+    d = A.table(spark, sf, "documents").select("doc_id")
+    names = d.select(F.concat(F.lit("doc_"), "doc_id").alias("name")).union(d.select(F.concat("doc_id", F.lit(".txt"))))
+    return lookup.seeds(names, nodes, nodes.where("kind = 2").select("path"))
+
+
+@query(f"""WITH {A.DOC_NODES_SQL} SELECT id, '...' AS signature FROM chunks""")
+def signatures_of(spark, sf):
+    """The signature of every document's chunk."""
+    nodes = A.doc_nodes(spark, sf)
+    return lookup.signature_of(nodes.where("kind = 2"), nodes).select("id", "signature")
