@@ -49,3 +49,12 @@ ids AS (SELECT vec_id AS id FROM v), {_REACH},
 c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY 1), l AS (SELECT x AS vec_id, count(*) AS n FROM edges GROUP BY 1)
 SELECT vec_id, coalesce(l.n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN l USING (vec_id)
 """
+
+TOP_PRODUCTS = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, [CAST(floor(64 * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+d AS (SELECT r, vec_id, unnest(x) AS c, generate_subscripts(x, 1) AS i FROM v),
+s AS (SELECT q.r AS q, q.vec_id AS query_id, d.r, d.vec_id, sum(q.c * d.c) AS score FROM d q JOIN d ON q.i = d.i WHERE q.vec_id % 20 = 0 AND q.r <> d.r GROUP BY ALL)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(score AS BIGINT) AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, vec_id, r) AS rank FROM s) WHERE rank <= 20
+"""

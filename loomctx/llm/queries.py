@@ -84,6 +84,21 @@ def op9_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op9_cover_tree"] = op9_cover_tree
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomctx.llm.impact import top_products
+
+    return top_products(tables(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from loomctx.llm.whitening import whiten
+
+    return whiten(tables(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op11_impact_search": op11_impact_search, "op12_whitening": op12_whitening}
+
+
 def op7_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from loomctx.llm.suffixtree import repeated_words
 
@@ -153,4 +168,4 @@ UNION ALL
 SELECT r.conv_id, r.call_id, NULL, NULL, 'orphan', '', CAST(0 AS BIGINT), CAST(1 AS BIGINT), NULL
 FROM r LEFT JOIN c ON c.conv_id = r.conv_id AND c.call_id = r.call_id WHERE c.call_id IS NULL
 """
-ORACLES |= {"op1_minhash_dedup": oracles.NEAR_DUPLICATES, "op4_suffix_array": oracles.REPEATED_BYTES, "op7_suffix_tree": oracles.REPEATED_WORDS, "op9_cover_tree": oracles.NEAR_VECTORS}
+ORACLES |= {"op1_minhash_dedup": oracles.NEAR_DUPLICATES, "op4_suffix_array": oracles.REPEATED_BYTES, "op7_suffix_tree": oracles.REPEATED_WORDS, "op9_cover_tree": oracles.NEAR_VECTORS, "op11_impact_search": oracles.TOP_PRODUCTS}
