@@ -9,8 +9,13 @@ from pyspark.sql import functions as F
 
 from loomctx import schema as S
 from loomctx.functions.text import hop_decay, percent, query_tokens, round2, short_name
+from loomctx.operators import postings
 from loomctx.operators.graph import cut, paths_matching, walk
-from loomctx.operators.search import bm25, lengths, matched_term, positional, postings, query_terms
+from loomctx.operators.search import matched_term, positional
+
+
+#: Columns of nodes that searches read.
+SEARCHED = ("symbol", "path", "content")
 
 
 def profiles(spark: SparkSession, weights: dict[str, float] | None = None, threshold: float = 0.0) -> DataFrame:
@@ -87,9 +92,18 @@ def symbol_hits(chunks: DataFrame, names: DataFrame, limit: int) -> DataFrame:
     return by_name.join(names, "name").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= limit).select("name", "id", "nth")
 
 
-def search_hits(requests: DataFrame, nodes: DataFrame, posts: DataFrame, dl: DataFrame, limit: int = S.SEARCH_HITS, restricted: bool = False) -> DataFrame:
+def node_index(nodes: DataFrame) -> postings.Index:
+    """An index of the valid nodes' symbols, paths and contents, files left out."""
+    return postings.build(searchable(nodes), "id", *SEARCHED)
+
+
+def searchable(nodes: DataFrame) -> DataFrame:
+    return nodes.where(F.col("valid") & (F.col("kind") != S.FILE)).select("id", *SEARCHED)
+
+
+def search_hits(requests: DataFrame, nodes: DataFrame, posts: postings.Index, limit: int = S.SEARCH_HITS) -> DataFrame:
     """Candidates by BM25; hits on signatures stand for their chunks. Scores are positions among raw hits, before invalid nodes go."""
-    ranked = positional(bm25(posts, dl, requests.select(F.col("request_id").alias("query_id"), "query"), restricted), limit)
+    ranked = positional(postings.top_hits(posts, requests.select(F.col("request_id").alias("query_id"), "query"), limit), limit)
     hits = ranked.withColumnRenamed("query_id", "request_id").join(nodes.where("valid").select("id", "kind", "path", "symbol", "content"), "id").join(requests.select("request_id", "query"), "request_id")
     hits = hits.withColumn("term", matched_term("query", F.col("symbol"), F.col("content")))
     chunk = _first(nodes.where("valid"), S.CHUNK, "chunk")
@@ -97,18 +111,14 @@ def search_hits(requests: DataFrame, nodes: DataFrame, posts: DataFrame, dl: Dat
     return hits.select("request_id", "id", F.lit("search_hit").alias("reason"), F.concat(F.lit("query term '"), "term", F.lit("'")).alias("detail"), round2(F.col("position_score")).alias("text_score"), F.lit(0).alias("hops"), F.lit(3).alias("priority"))
 
 
-def gather(requests: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, modes: DataFrame, posts: DataFrame | None = None, most: int = S.MAX_CANDIDATES) -> DataFrame:
+def gather(requests: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, modes: DataFrame, posts: postings.Index | None = None, most: int = S.MAX_CANDIDATES) -> DataFrame:
     """Scored candidates of every request: (request_id, id, reason, detail, hops, score, and node columns without content)."""
     asked = requests.join(F.broadcast(modes), "mode")  # seven rows
     slim = nodes.select("id", "hash", "kind", "path", "symbol", "role", "byte_start", "byte_end", "line_start", "line_end", "tokens", "centrality", "valid")
     valid = slim.where("valid")
     chunks = valid.where(F.col("kind") == S.CHUNK)
-    searched = (nodes.where(F.col("valid") & (F.col("kind") != S.FILE)), "id", "symbol", "path", "content")
-    restricted = posts is None
-    if restricted:
-        posts = postings(*searched, only=query_terms(requests.select(F.col("request_id").alias("query_id"), "query")))
     # a hundred rows or so for each request, read many times below
-    seeds = cut(precedence(anchors(asked, chunks, files.where("skipped is null")).unionByName(search_hits(requests, nodes, posts, lengths(*searched), restricted=restricted))))
+    seeds = cut(precedence(anchors(asked, chunks, files.where("skipped is null")).unionByName(search_hits(requests, nodes, posts or node_index(nodes)))))
     order = Window.partitionBy("path").orderBy("byte_start", "id")
     members = chunks.withColumn("k", F.row_number().over(order)).where(F.col("k") <= S.FILE_FANOUT).select("path", F.col("id").alias("member"))
     inside = valid.where(F.col("kind") == S.FILE).select("id", "path").join(members, "path").select("id", "member")
@@ -178,7 +188,7 @@ def item_type(substituted: Column, role: Column, kind: Column) -> Column:
     return F.when(substituted, "signature").when(role == "test", "test").otherwise(label)
 
 
-def build_packs(requests: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, hot: DataFrame, hot_version: int = 0, weights: dict | None = None, threshold: float = 0.0, posts: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def build_packs(requests: DataFrame, nodes: DataFrame, edges: DataFrame, files: DataFrame, hot: DataFrame, hot_version: int = 0, weights: dict | None = None, threshold: float = 0.0, posts: postings.Index | None = None) -> tuple[DataFrame, DataFrame]:
     """(items, totals) of every request. Items carry type, lines, reason, score and detail; their content is joined last, for chosen nodes only."""
     modes = profiles(requests.sparkSession, weights, threshold)
     requests = requests.withColumn("mode", F.when(F.coalesce("mode", F.lit("")) == "", "default").otherwise(F.col("mode")))

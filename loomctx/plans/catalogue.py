@@ -12,7 +12,7 @@ from loomctx.functions import sections
 from loomctx.functions import text as T
 from loomctx.functions.parse import declarations
 from loomctx.operators import graph as G
-from loomctx.operators import hotset, index, lookup, maintain, pack, render, report, search
+from loomctx.operators import hotset, index, lookup, maintain, pack, postings, render, report, search
 from loomctx.plans import adapters as A
 from loomctx.sources import files
 
@@ -275,8 +275,7 @@ _BM25 = rf"""docterms AS (SELECT doc_id, unnest(regexp_extract_all({_FOLD.format
 def _ranked(spark, sf):
     docs = A.table(spark, sf, "documents").where("text is not null")
     queries = A.query_requests(spark, sf).select(F.col("request_id").cast("long").alias("query_id"), "query")
-    posts = search.postings(docs, "doc_id", "text", only=search.query_terms(queries))
-    return search.positional(search.bm25(posts, search.lengths(docs, "doc_id", "text"), queries, restricted=True), S.SEARCH_HITS)
+    return search.positional(postings.top_hits(postings.build(docs, "doc_id", "text"), queries, S.SEARCH_HITS), S.SEARCH_HITS)
 
 
 @query(f"WITH {_BM25} SELECT item_id AS query_id, doc_id AS id, score FROM top")
@@ -713,27 +712,30 @@ def ag_lang(spark, sf):
 # --- whole packs --------------------------------------------------------------------------------------------------
 
 
-def _packs(spark, sf, budget=2000):
+def _packs(spark, sf, *budgets):
+    """(items, totals) of every benchmark item's request under each budget; postings and edges are made once."""
     nodes = A.doc_nodes(spark, sf)
     files = nodes.where("kind = 2").select("path", F.lit(None).cast("string").alias("skipped"))
-    hot = hotset.hot_members(nodes)
-    return pack.build_packs(A.query_requests(spark, sf, budget), nodes.unionByName(A.item_nodes(spark, sf)), G.cut(A.mention_edges(spark, sf)), files, hot, 1)
+    hot, everything, edges = hotset.hot_members(nodes), nodes.unionByName(A.item_nodes(spark, sf)), G.cut(A.mention_edges(spark, sf))
+    posts = pack.node_index(everything)
+    return [pack.build_packs(A.query_requests(spark, sf, b), everything, edges, files, hot, 1, posts=posts) for b in budgets]
 
 
 @query(None)
 def context_pack(spark, sf):
     """Budgeted packs for every benchmark item, one batch."""
-    return _packs(spark, sf)[0].drop("content")
+    return _packs(spark, sf, 2000)[0][0].drop("content")
 
 
 @query(None)
 def bench_token_savings(spark, sf):
-    return report.savings(_packs(spark, sf)[1])
+    return report.savings(_packs(spark, sf, 2000)[0][1])
 
 
 @query(None)
 def eval_by_budget(spark, sf):
-    rows = [_packs(spark, sf, b)[1].withColumn("budget", F.lit(b)) for b in (2000, 6000, 12000)]
+    budgets = (2000, 6000, 12000)
+    rows = [totals.withColumn("budget", F.lit(b)) for b, (_, totals) in zip(budgets, _packs(spark, sf, *budgets))]
     return report.grouped_medians(rows[0].unionByName(rows[1]).unionByName(rows[2]), "budget", "selected_tokens", "raw_tokens", "saved_pct")
 
 

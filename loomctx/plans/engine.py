@@ -14,7 +14,7 @@ from loomctx import schema as S
 from loomctx.functions.parse import declarations
 from loomctx.functions.text import first_lines
 from loomctx.operators import graph as G
-from loomctx.operators import hotset, index, lookup, maintain, pack, render, report
+from loomctx.operators import hotset, index, lookup, maintain, pack, postings, render, report
 from loomctx.sources import config, files
 from loomctx.sources.store import PACKS, Store, ulid
 
@@ -40,6 +40,10 @@ def find_root(path: str = ".") -> str:
         at = up
 
 
+#: Batches of postings until they are written anew.
+BATCHES = 32
+
+
 class NoIndex(RuntimeError):
     """There is no index to read."""
 
@@ -103,9 +107,26 @@ class Engine:
         hot = G.cut(hotset.next_version(store.table("hot_set"), hotset.hot_members(nodes)))
         counters |= {"edges": edges.count(), "hot_set_version": hot.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]}
         head = git(self.root, "rev-parse", "--short", "HEAD")
-        store.commit({"nodes": nodes, "edges": edges, "files": rows, "hot_set": hot, "declarations": parsed}, {"last_index_report": counters, "last_indexed_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "head_commit": head[0] if head else None})
+        posts = self._post(old_nodes, nodes)
+        store.commit({"nodes": nodes, "edges": edges, "files": rows, "hot_set": hot, "declarations": parsed}, {"last_index_report": counters, "last_indexed_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "head_commit": head[0] if head else None, "postings": posts})
         return counters
 
+    def _post(self, old_nodes: DataFrame, nodes: DataFrame) -> dict:
+        """Adds the nodes that are new or named anew to the postings and takes out those that are gone; after ``BATCHES`` runs all are written anew."""
+        known = self.store.manifest()["meta"].get("postings")
+        columns = ["id", *pack.SEARCHED]
+        now, before = pack.searchable(nodes), pack.searchable(old_nodes)
+        if known is None or known["batch"] + 1 >= BATCHES:
+            known, before = {"folder": f"postings-{ulid()}", "batch": -1}, before.limit(0)
+        same = [now[c].eqNullSafe(before[c]) for c in ("id", "symbol", "path")]  # an id stands for one content
+        fresh, lost = now.join(before, same, "left_anti"), before.join(now, same, "left_anti")
+        postings.write_batch(self.spark, self.store.uri(known["folder"]), known["batch"] + 1, fresh.select(columns), *columns, deleted=lost)
+        return known | {"batch": known["batch"] + 1}
+
+    def posts(self) -> postings.Index | None:
+        known = self.store.manifest()["meta"].get("postings")
+        return postings.read(self.spark, self.store.uri(known["folder"]), "string", known["batch"]) if known else None
+
     def gc(self, days: int = 30) -> dict:
         nodes, edges = self.store.table("nodes"), self.store.table("edges")
         kept, kept_edges = maintain.collect_garbage(nodes, edges, F.current_timestamp(), days)
@@ -145,7 +166,7 @@ class Engine:
         nodes, edges, known = self._tables()
         settings, meta = config.load(self.root), self.store.manifest()["meta"]
         hot, version = self.hot()
-        items, sums = pack.build_packs(requests, nodes, edges, known, hot, version, settings["weights"], settings["threshold"])
+        items, sums = pack.build_packs(requests, nodes, edges, known, hot, version, settings["weights"], settings["threshold"], self.posts())
         items = items.cache()
         found: dict[str, list] = {}
         for r in items.orderBy("request_id", "ord").collect():  # at most MAX_CANDIDATES items of each request
@@ -195,7 +216,7 @@ class Engine:
     def search(self, query: str, limit: int = 10) -> list[dict]:
         nodes, edges, known = self._tables()
         request = self.requests([{"query": query, "mode": "default"}])
-        hits = pack.gather(request, nodes, edges, known, pack.profiles(self.spark), most=max(limit, 10)).orderBy("place").limit(limit)
+        hits = pack.gather(request, nodes, edges, known, pack.profiles(self.spark), self.posts(), max(limit, 10)).orderBy("place").limit(limit)
         rows = hits.join(nodes.select("id", first_lines("content", 4).alias("snippet")), "id").orderBy("place").collect()
         return [{"path": r["path"], "symbol": r["symbol"], "kind": S.NODE_KINDS[r["kind"]], "lines": [r["line_start"], r["line_end"]], "score": round(r["score"], 2), "why": {"reason": r["reason"], "detail": r["detail"]}, "node": r["id"], "snippet": r["snippet"]} for r in rows]
 

@@ -53,7 +53,7 @@ class Store:
         with open(self.manifest_path, encoding="utf-8") as f:
             return json.load(f)
 
-    def _uri(self, *parts: str) -> str:
+    def uri(self, *parts: str) -> str:
         return "file://" + os.path.join(self.state, *parts)
 
     def table(self, name: str) -> DataFrame:
@@ -61,7 +61,7 @@ class Store:
         version = self.manifest()["version"]
         if not version or not os.path.isdir(os.path.join(self.state, f"v{version:06d}", name)):
             return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(self._uri(f"v{version:06d}", name))
+        return self.spark.read.schema(TABLES[name]).parquet(self.uri(f"v{version:06d}", name))
 
     def commit(self, tables: dict[str, DataFrame], meta: dict) -> int:
         """Write the given tables, copy the others, switch the manifest; the last two versions stay for readers."""
@@ -71,7 +71,7 @@ class Store:
             df = tables.get(name, self.table(name))
             columns = [F.col(c).cast(t).alias(c) for c, t in self.spark.createDataFrame([], schema).dtypes]
             writer = df.select(columns).write.mode("overwrite")
-            writer.partitionBy().parquet(self._uri(f"v{version:06d}", name))
+            writer.partitionBy().parquet(self.uri(f"v{version:06d}", name))
         os.makedirs(self.state, exist_ok=True)
         temporary = f"{self.manifest_path}.{uuid.uuid4().hex}"
         with open(temporary, "w", encoding="utf-8") as f:
@@ -82,13 +82,13 @@ class Store:
         return version
 
     def log(self, name: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self._uri("log", name))
+        rows.write.mode("append").parquet(self.uri("log", name))
 
     def read_log(self, name: str) -> DataFrame:
         schema = {"packs": PACKS, "usage": USAGE}[name]
         if not os.path.isdir(os.path.join(self.state, "log", name)):
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(self._uri("log", name))
+        return self.spark.read.schema(schema).parquet(self.uri("log", name))
 
     def packs(self) -> DataFrame:
         """The pack log as far as it is retained."""
@@ -101,6 +101,6 @@ class Store:
         """Rewrite the pack log to what is retained."""
         target = os.path.join(self.state, "log", "packs")
         if os.path.isdir(target):
-            self.packs().write.mode("overwrite").parquet(self._uri("log", "packs.new"))
+            self.packs().write.mode("overwrite").parquet(self.uri("log", "packs.new"))
             shutil.rmtree(target)
             os.replace(f"{target}.new", target)
