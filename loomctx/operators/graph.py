@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomctx import schema as S
 from loomctx.functions.text import dirname, join_relative, short_name, words
+from loomctx.session import shared_folder
 
 
 def max_weight(edges: DataFrame) -> DataFrame:
@@ -184,10 +183,6 @@ def impact(seeds: DataFrame, edges: DataFrame, depth: int = 3, valid: DataFrame
 
 def cut(df: DataFrame) -> DataFrame:
     """End the lineage in the session's checkpoint folder; where none is set, in a local one if all executors are threads of this process, else an error."""
-    sc = df.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and sc.master.split("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
-        sc.setCheckpointDir(named or f"file:///tmp/loomctx-checkpoints-{uuid.uuid4().hex}")
+    if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        shared_folder(df.sparkSession)
     return df.checkpoint()

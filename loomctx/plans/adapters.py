@@ -47,8 +47,12 @@ NODES_SQL = """nodes AS (
 
 
 def doc_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as code chunks: one chunk and one signature each, a file node for each source directory's text."""
-    d = table(spark, sf_dir, "documents").where("text is not null")
+    return nodes_of_documents(table(spark, sf_dir, "documents"))
+
+
+def nodes_of_documents(documents: DataFrame) -> DataFrame:
+    """Documents as code chunks: one chunk and one signature each."""
+    d = documents.where("text is not null")
     size = F.octet_length("text").cast("long")
     path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))
     chunk = d.select(
@@ -102,19 +106,33 @@ def part_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.select(path.alias("path"), F.concat(*(F.expr(_by_language(_pieces(t[i]) for t in SOURCES.values())) for i in range(3))).alias("text"))
 
 
+def file_nodes(chunks: DataFrame) -> DataFrame:
+    """A file node around each document's chunk, three tokens longer than it."""
+    whole = {"id": F.concat(F.lit("f"), F.substring("id", 2, 12)), "hash": F.sha2(F.concat(F.lit("file"), "hash"), 256), "kind": F.lit(1), "symbol": F.lit(None).cast("string"), "tokens": F.col("tokens") + 3}
+    return chunks.where("kind = 2").withColumns(whole)
+
+
 def query_requests(spark: SparkSession, sf_dir: str, budget: int = 2000) -> DataFrame:
+    return requests_of_items(table(spark, sf_dir, "benchmark"), budget)
+
+
+def requests_of_items(items: DataFrame, budget: int) -> DataFrame:
     """The whole text of every benchmark item as a request, modes taken in turn."""
     from loomctx.schema import MODES
 
-    b = table(spark, sf_dir, "benchmark")
+    b = items
     mode = F.element_at(F.array(*map(F.lit, MODES)), (F.col("item_id") % 7 + 1).cast("int"))
     return b.select(F.col("item_id").cast("string").alias("request_id"), F.col("text").alias("query"), F.lit(budget).cast("long").alias("token_budget"), mode.alias("mode"), F.lit(False).alias("include_content"), F.array().cast("array<string>").alias("dirty_paths"))
 
 
 def item_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes_of_items(table(spark, sf_dir, "benchmark"))
+
+
+def nodes_of_items(items: DataFrame) -> DataFrame:
     """Benchmark items as nodes of their own, with the columns of ``doc_nodes``."""
     size = F.octet_length("text").cast("long")
-    b = table(spark, sf_dir, "benchmark").where("text is not null")
+    b = items.where("text is not null")
     return b.select(
         _id("i", "item_id").alias("id"), F.sha2("text", 256).alias("hash"), F.lit(4).alias("kind"), F.concat(F.lit("benchmark/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("path"), _id("item_", "item_id").alias("symbol"), F.lit("").alias("lang"),
         F.lit("").alias("role"), F.lit(0).cast("long").alias("byte_start"), size.alias("byte_end"), F.lit(1).cast("long").alias("line_start"), F.lit(1).cast("long").alias("line_end"),
@@ -123,12 +141,29 @@ def item_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mention_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges_of_mentions(table(spark, sf_dir, "benchmark"), doc_nodes(spark, sf_dir))
+
+
+def edges_of_mentions(items: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges from benchmark items to the documents that have words of theirs, over both whole tables."""
     from loomctx.functions.text import words
     from loomctx.operators.graph import doc_mentions
 
-    names = table(spark, sf_dir, "benchmark").select(_id("i", "item_id").alias("id"), F.explode(words("text")).alias("symbol"))
-    return doc_mentions(doc_nodes(spark, sf_dir).where("kind = 2").select("id", "content"), names)
+    names = items.select(_id("i", "item_id").alias("id"), F.explode(words("text")).alias("symbol"))
+    return doc_mentions(nodes.where("kind = 2").select("id", "content"), names)
+
+
+def document_packs(documents: DataFrame, items: DataFrame, *budgets: int, modes: list[str] | None = None) -> list[tuple[DataFrame, DataFrame]]:
+    """(items, totals) of every benchmark item's request (of these modes) for context from the documents, under each budget; postings and edges are made once."""
+    from loomctx.operators import hotset, pack
+    from loomctx.operators.graph import cut
+
+    docs = nodes_of_documents(documents)
+    files = docs.where("kind = 2").select("path", F.lit(None).cast("string").alias("skipped"))
+    everything, edges = docs.unionByName(file_nodes(docs)).unionByName(nodes_of_items(items)), cut(edges_of_mentions(items, docs))
+    posts, hot = pack.node_index(everything), cut(hotset.hot_members(docs))
+    asked = lambda b: requests_of_items(items, b).where(F.lit(True) if modes is None else F.col("mode").isin(modes))
+    return [pack.build_packs(asked(b), everything, edges, files, hot, 1, posts=posts) for b in budgets]
 
 
 def pack_log(spark: SparkSession, sf_dir: str) -> DataFrame:

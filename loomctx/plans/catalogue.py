@@ -14,6 +14,7 @@ from loomctx.functions.parse import declarations
 from loomctx.operators import graph as G
 from loomctx.operators import hotset, index, lookup, maintain, pack, postings, render, report, search
 from loomctx.plans import adapters as A
+from loomctx.plans import pack_twin
 from loomctx.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -261,11 +262,11 @@ def hot_set(spark, sf):
 
 # --- search -------------------------------------------------------------------------------------------------------
 
-_FOLD = f"translate(lower({{}}), '{search.ACCENTED}', '{search.PLAIN}')"
-_BM25 = rf"""docterms AS (SELECT doc_id, unnest(regexp_extract_all({_FOLD.format("text")}, '[\p{{L}}\p{{N}}_]+')) AS term FROM documents WHERE text IS NOT NULL),
+FOLD = f"translate(lower({{}}), '{search.ACCENTED}', '{search.PLAIN}')"
+_BM25 = rf"""docterms AS (SELECT doc_id, unnest(regexp_extract_all({FOLD.format("text")}, '[\p{{L}}\p{{N}}_]+')) AS term FROM documents WHERE text IS NOT NULL),
   tf AS (SELECT term, doc_id, count(*) AS tf FROM docterms GROUP BY ALL), dl AS (SELECT doc_id, sum(tf) AS dl FROM tf GROUP BY 1), st AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM dl),
   q AS (SELECT item_id, text AS query FROM benchmark),
-  qt AS (SELECT item_id, term, count(*) AS mult FROM (SELECT item_id, {_FOLD.format("t")} AS term FROM (SELECT item_id, unnest([t FOR t IN regexp_extract_all(query, '[\p{{L}}\p{{N}}_]+') IF strlen(t) >= 2]) AS t FROM q)) GROUP BY ALL),
+  qt AS (SELECT item_id, term, count(*) AS mult FROM (SELECT item_id, {FOLD.format("t")} AS term FROM (SELECT item_id, unnest([t FOR t IN regexp_extract_all(query, '[\p{{L}}\p{{N}}_]+') IF strlen(t) >= 2]) AS t FROM q)) GROUP BY ALL),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1),
   w AS (SELECT item_id, term, mult, CASE WHEN ln((n - df + 0.5) / (df + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - df + 0.5) / (df + 0.5)) END AS idf, avgdl FROM qt JOIN df USING (term), st),
   ranked AS (SELECT item_id, doc_id, round(sum(mult * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM w JOIN tf USING (term) JOIN dl USING (doc_id) GROUP BY ALL),
@@ -713,26 +714,21 @@ def ag_lang(spark, sf):
 
 
 def _packs(spark, sf, *budgets):
-    """(items, totals) of every benchmark item's request under each budget; postings and edges are made once."""
-    nodes = A.doc_nodes(spark, sf)
-    files = nodes.where("kind = 2").select("path", F.lit(None).cast("string").alias("skipped"))
-    hot, everything, edges = hotset.hot_members(nodes), nodes.unionByName(A.item_nodes(spark, sf)), G.cut(A.mention_edges(spark, sf))
-    posts = pack.node_index(everything)
-    return [pack.build_packs(A.query_requests(spark, sf, b), everything, edges, files, hot, 1, posts=posts) for b in budgets]
+    return A.document_packs(A.table(spark, sf, "documents"), A.table(spark, sf, "benchmark"), *budgets)
 
 
-@query(None)
+@query(pack_twin.CONTEXT_PACK)
 def context_pack(spark, sf):
     """Budgeted packs for every benchmark item, one batch."""
-    return _packs(spark, sf, 2000)[0][0].drop("content")
+    return pack_twin.flat(_packs(spark, sf, 2000)[0][0])
 
 
-@query(None)
+@query(pack_twin.TOKEN_SAVINGS)
 def bench_token_savings(spark, sf):
     return report.savings(_packs(spark, sf, 2000)[0][1])
 
 
-@query(None)
+@query(pack_twin.BY_BUDGET)
 def eval_by_budget(spark, sf):
     budgets = (2000, 6000, 12000)
     rows = [totals.withColumn("budget", F.lit(b)) for b, (_, totals) in zip(budgets, _packs(spark, sf, *budgets))]

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +15,17 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; where it names none, a local one if all executors are threads of this process, else an error."""
+    sc = spark.sparkContext
+    known = sc._jsc.sc().getCheckpointDir()
+    named = spark.conf.get("spark.checkpoint.dir", None) or (None if known.isEmpty() else known.get())
+    if not named:
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
+        named = "file://" + tempfile.mkdtemp(prefix="loomctx-shared-")
+    if known.isEmpty():
+        sc.setCheckpointDir(str(named))
+    return str(named).rstrip("/")
