@@ -265,7 +265,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096
 
     Null, empty or zero vectors and those with null or non-finite components link with nothing, and vectors of different
     lengths do not link with each other. A null vec_id is returned with no links and is nobody's partner; rows that
-    repeat an id with an equal vector count as links of each other. An empty table gives an empty result.
+    repeat an id with an equal vector count as links of each other, with different vectors each row has the links of its own. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     small_batches(spark, size=32 << 20)
@@ -274,7 +274,14 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096
     valid = rows.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).where(F.coalesce(finite, F.lit(False)) & F.exists("embedding", lambda c: c != 0))
     copies = valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"))
     copies = written(copies, "copies")
-    unit = copies.select(F.col("rep").alias("vec_id"), "weight", "embedding").mapInArrow(_unit, "vec_id long, weight long, unit array<double>").where("unit is not null")
+    repeated = copies.groupBy("rep").count().where("count > 1").limit(1).count() > 0
+    if repeated:
+        # different vectors share an id: keys in the order of the ids tell them apart
+        order = [F.col("rep"), F.xxhash64("embedding")]
+        copies = written(copies.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id()), "copies")
+    else:
+        copies = copies.withColumn("key", F.col("rep"))
+    unit = copies.select(F.col("key").alias("vec_id"), "weight", "embedding").mapInArrow(_unit, "vec_id long, weight long, unit array<double>").where("unit is not null")
     unit = written(unit, "unit")
     some: dict[int, list] = {}
     for r in unit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("unit").collect():
@@ -294,9 +301,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, sample: int = 4096
     sides = pairs.withColumn("group", F.col("a")).union(pairs.where("a != b").withColumn("group", F.col("b")))
     meeting = packed.join(sides, ["dim", "group"]).repartition("dim", "a", "b").sortWithinPartitions("dim", "a", "b")
     links = written(meeting.mapInArrow(_meet(threshold), "vec_id long, links long, least long"), "links")
-    total = links.groupBy(F.col("vec_id").alias("rep")).agg(F.sum("links").alias("links"))
-    final = components(links.select("vec_id", "least")).where("id != component").select(F.col("id").alias("rep"), "component")
-    known = copies.join(total, "rep", "left").join(final, "rep", "left").select("embedding", "rep", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
+    total = links.groupBy(F.col("vec_id").alias("key")).agg(F.sum("links").alias("links"))
+    final = components(links.select("vec_id", "least")).where("id != component").select(F.col("id").alias("key"), "component")
+    if repeated:
+        final = final.join(copies.select(F.col("key").alias("component"), F.col("rep").alias("least")), "component").select("key", F.col("least").alias("component"))
+    known = copies.join(total, "key", "left").join(final, "key", "left").select("embedding", "rep", "weight", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("component"))
     out = rows.join(known, "embedding", "left")
     ok = F.col("rep").isNotNull() & F.col("vec_id").isNotNull()
     return out.select(

@@ -1,14 +1,13 @@
 """Language identification by compression: the language whose dictionary makes a text smallest.
 
-For each language a raw-content zstandard dictionary is filled with passages of training texts. Texts are lower-cased
+For each language a raw-content zstandard dictionary is filled with whole training texts. Texts are lower-cased
 (A-Z) and everything but letters becomes single spaces; what is left is compressed whole with every
 dictionary, and the smallest result names the language. The score grows with the gap to the next
 smallest; below ``narrow`` the prediction is marked rejected, its best guess kept.
 
-Training reads at most ``sample`` texts of a language, lowest hash of doc_id first, of the ``languages`` most frequent ones. A
-text gives ``passage`` bytes at most: all of it, or passages at even distances from its first word to its last. So a dictionary has
-at most ``sample * passage`` bytes, and less where all of them together would pass ``TOTAL``. The chosen ids, at most
-``languages * sample``, are broadcast.
+Training reads whole texts of a bounded sample of rows: of the ``languages`` most frequent languages each gives texts, lowest hash of doc_id first and
+those longer than a quarter of ``size`` last, until they have ``size`` bytes, ``sample`` of them at most. So a dictionary has ``size`` bytes and
+a text more at most, at any number of rows or languages. The chosen ids, at most ``languages * sample``, are broadcast.
 """
 
 from __future__ import annotations
@@ -28,8 +27,6 @@ from loomctx.llm.toxicity import held_out
 UNKNOWN = "und"
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LETTER = re.compile(r"[^\W\d_]")
-#: Bytes of all dictionaries together at most, and passages that a long text gives.
-TOTAL, PIECES = 32 << 20, 8
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -41,26 +38,10 @@ def has_letter(body: bytes) -> bool:
     return bool(_ASCII_LETTER.search(body)) or any(c.isalpha() for c in body.decode("utf-8", "replace"))
 
 
-def spread(flat: bytes, most: int) -> bytes:
-    """All of a squeezed text, or ``most`` bytes of it in whole words, from passages at even distances from start to end."""
-    if len(flat) <= most:
-        return flat
-    size, out = most // PIECES, []
-    for k in range(PIECES):
-        at = round(k * (len(flat) - size) / (PIECES - 1))
-        cut = flat[at : at + size]
-        cut = cut[cut.find(b" ") + 1 :] if at else cut
-        out.append(cut[: cut.rfind(b" ")] if at + size < len(flat) and b" " in cut else cut)
-    return b" ".join(out)[:most]
-
-
-def _passages(most: int):
-    def kernel(batches):
-        for batch in batches:
-            bodies = [spread(squeezed(b or b""), most) for b in batch.column("body").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(bodies, pa.binary())], names=["lang", "doc_id", "passage"])
-
-    return kernel
+def _flat(batches):
+    for batch in batches:
+        bodies = [squeezed(b or b"") for b in batch.column("body").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("doc_id"), pa.array(bodies, pa.binary())], names=["lang", "doc_id", "flat"])
 
 
 def _classify(dictionaries: dict[str, bytes], level: int, narrow: float):
@@ -87,23 +68,24 @@ def _classify(dictionaries: dict[str, bytes], level: int, narrow: float):
     return kernel
 
 
-def dictionaries(docs: DataFrame, sample: int = 200, passage: int = 5000, languages: int = 1000, folds: int = 4, fold: int = 2) -> dict[str, bytes]:
+def dictionaries(docs: DataFrame, sample: int = 400, size: int = 256 << 10, languages: int = 1000, folds: int = 4, fold: int = 2) -> dict[str, bytes]:
     """A raw-content dictionary for each of the most frequent languages of the training rows, ties by name."""
     train = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"), folds, fold))
     names = sorted(r["lang"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect())
     if not names:
         return {}
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    order = Window.partitionBy("lang").orderBy(F.col("bytes") > size // 4, F.xxhash64("doc_id"), "doc_id", "bytes")
     known = F.broadcast(docs.sparkSession.createDataFrame([(n,) for n in names], "lang string"))
-    chosen = train.select("doc_id", "lang").join(known, "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id", "lang").distinct()
-    most = min(passage, TOTAL // (len(names) * sample))
+    first = train.select("doc_id", "lang", F.octet_length("text").cast("long").alias("bytes")).where("bytes > 0").join(known, "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    chosen = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size).select("doc_id", "lang").distinct()
     small_batches(docs.sparkSession)
     texts = docs.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("body"))
-    # rows that repeat an id give one passage to a dictionary
-    rows = texts.mapInArrow(_passages(most), "lang string, doc_id long, passage binary").groupBy("lang", "doc_id").agg(F.min("passage").alias("passage")).collect()
+    # rows that repeat an id give one text to a dictionary
+    rows = texts.mapInArrow(_flat, "lang string, doc_id long, flat binary").groupBy("lang", "doc_id").agg(F.min("flat").alias("flat")).collect()
     out: dict[str, bytes] = {}
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"])):
-        out[r["lang"]] = out.get(r["lang"], b"") + bytes(r["passage"]) + b" "
+        out[r["lang"]] = out.get(r["lang"], b"") + bytes(r["flat"]) + b" "
     return {k: v for k, v in out.items() if len(v) >= 8}
 
 

@@ -149,6 +149,26 @@ def test_vectors_like_brute_force(spark, chunk):
     assert all(rest[k] == (0, k, True) for k in range(1000, 1006)) and rest[1006] == (1, 1006, True) and rest[1007] == (1, 1006, False) and rest[None] == (0, None, True)
 
 
+def test_vectors_that_share_an_id(spark):
+    """Rows are told apart by their vectors, each with the links of its own; ids name the components."""
+    rng = np.random.Generator(np.random.PCG64(9))
+    base = rng.normal(size=(30, 6))
+    rows = [(int(rng.integers(0, 40)), base[rng.integers(0, 30)] + rng.normal(size=6) * rng.choice([0, 0.15])) for _ in range(120)]
+    rows += [(1, np.array([1.0, 0, 0, 0, 0, 0])), (1, np.array([0, 1.0, 0, 0, 0, 0])), (2, np.array([1.0, 0.01, 0, 0, 0, 0]))]
+    x = np.array([v / np.linalg.norm(v) for _, v in rows])
+    near = x @ x.T >= 0.95
+    np.fill_diagonal(near, False)
+    label = np.arange(len(rows))
+    for _ in rows:
+        label = np.array([min([label[i], *label[near[i]]]) for i in range(len(rows))])
+    least = {c: min(rows[i][0] for i in np.flatnonzero(label == c)) for c in set(label.tolist())}
+    want = sorted((rows[i][0], int(near[i].sum()), least[label[i]]) for i in range(len(rows)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+    got = covertree.near_vectors(df, chunk=16, cells=8, sample=64).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == want
+    assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
+
+
 def test_vectors_of_many_lengths(spark):
     rows = [(i, [1.0] * (i // 2 + 1)) for i in range(2400)]
     got = covertree.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample=64)

@@ -104,14 +104,22 @@ def test_language_held_out(docs):
     assert len(got) > 20 and (got.lang == got.lang_pred).mean() > 0.85
 
 
-def test_passages_come_from_the_whole_text(spark, docs):
-    flat = langid.squeezed(b" ".join(chr(97 + i * 26 // 5000).encode() * 6 for i in range(5000)))
-    got = langid.spread(flat, 800)
-    assert len(got) <= 800 and {w[:1] for w in (got.split()[0], got.split()[-1])} == {b"a", b"z"} and set(got.split()) <= set(flat.split()) and len({w[:1] for w in got.split()}) >= 7
-    assert langid.spread(b"a b", 8) == b"a b" and len(langid.spread(b"x" * 5000, 800)) <= 800
-    many = spark.createDataFrame([(i, f"word{chr(97 + i % 26)} " * 5, f"l{i % 300:03d}") for i in range(1500)], "doc_id long, text string, lang string")
+def test_training_takes_whole_texts(spark):
+    """Every text of the sample is whole in its language's dictionary, whatever the number of languages; long ones come last."""
+    rows = [(i, f"word{chr(97 + i % 26)} " * (5 + i % 7), f"l{i % 300:03d}") for i in range(1500)]
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     found = langid.dictionaries(many, sample=3)
     assert len(found) == 300 and len(langid.dictionaries(many, languages=7)) == 7
+    for lang, dictionary in found.items():
+        flat = [langid.squeezed(t.encode()) for _, t, k in rows if k == lang]
+        assert sum(dictionary.count(f) > 0 for f in set(flat)) >= 1
+        rest = dictionary
+        for f in sorted(set(flat), key=len, reverse=True):
+            rest = rest.replace(f, b"")
+        assert not rest.strip()
+    long = [(1, "abc " * 400, "xx"), (2, "def " * 30, "xx"), (3, "ghi " * 400, "yy")]
+    found = langid.dictionaries(spark.createDataFrame(long, "doc_id long, text string, lang string"), size=100, folds=1, fold=7)
+    assert b"def" in found["xx"] and b"abc" not in found["xx"] and found["yy"].count(b"ghi") == 400
     assert langid.identify(many).count() == 1500
 
 
