@@ -107,7 +107,7 @@ def search_terms(query: Column | str) -> Column:
 
 def contains_word(text: Column | str, word: Column) -> Column:
     """The word occurs next to no letter, digit or underscore."""
-    quoted = F.concat(F.lit("\\Q"), word, F.lit("\\E"))
+    quoted = F.concat(F.lit("\\Q"), F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     return F.regexp_like(_c(text), F.concat(F.lit(r"(?<![\p{L}\p{N}_])"), quoted, F.lit(r"(?![\p{L}\p{N}_])")))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomctx import schema as S
-from loomctx.functions.text import dirname, join_relative, short_name, words
+from loomctx.functions.text import contains_word, dirname, join_relative, short_name, words
 from loomctx.session import shared_folder
 
 
@@ -90,11 +90,24 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def doc_mentions(docs: DataFrame, entries: DataFrame, per_doc: int = S.MENTIONS_PER_DOC) -> DataFrame:
-    """Edges from code to the documents that name it: names of four bytes or more, the first ``per_doc`` of a document by name."""
+    """Edges from code to the documents that name it: names of four bytes or more, the first ``per_doc`` of a document by name.
+
+    A name is there where it stands next to no letter, digit or underscore. Names of such characters alone are the words of a document. Of any other
+    name, as ``$scope`` or ``a->b``, all words stand in the document as words of their own: the longest, or without any the first character, finds
+    the documents in which the whole name is then looked for.
+    """
     named = entries.select("id", short_name("symbol").alias("name")).where(F.octet_length("name") >= 4).groupBy("name").agg(F.min("id").alias("id"))
-    tokens = docs.select(F.col("id").alias("doc"), F.explode(F.array_distinct(words("content"))).alias("name"))
+    inside = F.array_sort(words("name"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
+    named = named.withColumn("anchor", F.coalesce(F.get(inside, 0), F.substring("name", 1, 1))).withColumn("word", F.get(inside, 0).eqNullSafe(F.col("name")))
+    tokens = docs.select(F.col("id").alias("doc"), F.explode(F.array_distinct(words("content"))).alias("anchor"))
+    plain = tokens.join(named.where("word"), "anchor").select("doc", "id", "name")
+    odd = named.where("not word")
+    marks = docs.select(F.col("id").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([^\p{L}\p{N}_])"), F.lit(1)))).alias("anchor"))
+    # only documents with some such name's anchor are read again
+    maybe = tokens.unionByName(marks).join(odd, "anchor").select("doc", "id", "name")
+    sure = maybe.join(docs.select(F.col("id").alias("doc"), "content"), "doc").where(contains_word("content", F.col("name"))).select("doc", "id", "name")
     order = Window.partitionBy("doc").orderBy("name")
-    kept = tokens.join(named, "name").withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_doc)
+    kept = plain.unionByName(sure).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_doc)
     return kept.select(F.col("id").alias("src"), F.lit(S.MENTIONS).alias("kind"), F.col("doc").alias("dst"), F.lit(0.7).alias("weight"))
 
 

@@ -109,9 +109,15 @@ def fn_snippets(spark, sf):
     return A.table(spark, sf, "pages").select("page_id", T.collapse("html").alias("flat"), T.first_lines("html", 4).alias("head"))
 
 
-@query("SELECT * FROM (VALUES ('src/app', '../lib/x', 'src/lib/x'), ('', './a/b', 'a/b'), ('a', '../../x', 'x'), ('a/b', './c/../d', 'a/b/d')) t(dir, spec, joined)")
+@query(
+    """WITH s AS (SELECT DISTINCT source || '/' || lang AS dir, CASE doc_id % 5 WHEN 0 THEN './d' WHEN 1 THEN '../d' WHEN 2 THEN '../../d' WHEN 3 THEN '../../../d' ELSE './x/../d' END || doc_id % 97 AS spec FROM documents)
+    SELECT dir, spec, CASE WHEN starts_with(spec, '../../') THEN '' WHEN starts_with(spec, '../') THEN regexp_extract(dir, '^[^/]*') || '/' ELSE dir || '/' END || regexp_extract(spec, '[^/]*$') AS joined FROM s WHERE dir IS NOT NULL"""
+)
 def fn_join_relative(spark, sf):
-    rows = spark.createDataFrame([("src/app", "../lib/x"), ("", "./a/b"), ("a", "../../x"), ("a/b", "./c/../d")], "dir string, spec string")
+    """Relative specifiers from every document's directory, up to beyond its top."""
+    k = F.col("doc_id") % 5
+    up = F.when(k == 0, "./d").when(k == 1, "../d").when(k == 2, "../../d").when(k == 3, "../../../d").otherwise("./x/../d")
+    rows = A.table(spark, sf, "documents").select(F.concat("source", F.lit("/"), "lang").alias("dir"), F.concat(up, (F.col("doc_id") % 97).cast("string")).alias("spec")).where("dir is not null").distinct()
     return rows.withColumn("joined", T.join_relative(F.col("dir"), F.col("spec")))
 
 
@@ -212,15 +218,37 @@ def jn_tested_by(spark, sf):
     return G.reference_edges(*_names(spark, sf))
 
 
+_TREE = """files AS (
+      SELECT 'py/b' || p_size || '/m' || p_partkey || '.py' AS path FROM part UNION SELECT 'py/pkg' || p_size || '/__init__.py' FROM part
+      UNION SELECT 'web/s' || p_size || '/c' || p_partkey || CASE p_partkey % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.js' END FROM part UNION SELECT 'j/com/a' || p_size || '/K' || (p_partkey // 2) || '.java' FROM part),
+    asks AS (SELECT DISTINCT l_partkey AS k, p_size AS z, l_linenumber AS n FROM lineitem JOIN part ON p_partkey = l_partkey)"""
+
+
 @query(
-    """WITH files(path) AS (VALUES ('a/b.py'), ('pkg/__init__.py'), ('c/util.py'), ('d/util.py'), ('a/util.py'), ('web/x.ts'), ('web/lib/index.ts'), ('j/com/acme/Foo.java'), ('k/Bar.java'), ('m/Bar.java')),
-    r(path, module, target) AS (VALUES ('c/main.py', 'a.b', 'a/b.py'), ('c/main.py', 'pkg', 'pkg/__init__.py'), ('c/main.py', '.util', 'c/util.py'), ('q/main.py', 'x.y.util', 'a/util.py'), ('web/y.ts', './x', 'web/x.ts'), ('web/y.ts', './lib', 'web/lib/index.ts'), ('j/Main.java', 'com.acme.Foo', 'j/com/acme/Foo.java'))
-    SELECT path, module, target FROM r"""
+    f"""WITH {_TREE}, asked AS (
+      SELECT 'py/b' || z || '/from' || n || '.py' AS path, CASE n % 3 WHEN 0 THEN 'b' || z || '.m' || k WHEN 1 THEN '.m' || k ELSE 'pkg' || z END AS module, CASE n % 3 WHEN 2 THEN 'py/pkg' || z || '/__init__.py' ELSE 'py/b' || z || '/m' || k || '.py' END AS target FROM asks
+      UNION SELECT 'web/s' || z || '/from' || n || '.ts', './c' || k, 'web/s' || z || '/c' || k || CASE k % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.tsx' ELSE '/index.js' END FROM asks
+      UNION SELECT 'j/from' || n || '.java', 'com.a' || z || '.K' || (k // 2), 'j/com/a' || z || '/K' || (k // 2) || '.java' FROM asks
+      UNION SELECT 'j/other' || n || '.java', 'org.x.K' || (k // 2), f.path FROM asks JOIN files f ON regexp_extract(f.path, '[^/]*$') = 'K' || (k // 2) || '.java' WHERE (SELECT count(*) FROM files g WHERE regexp_extract(g.path, '[^/]*$') = 'K' || (k // 2) || '.java') = 1)
+    SELECT path, module, target FROM asked"""
 )
 def jn_import_resolution(spark, sf):
-    files = spark.createDataFrame([(p,) for p in ("a/b.py", "pkg/__init__.py", "c/util.py", "d/util.py", "a/util.py", "web/x.ts", "web/lib/index.ts", "j/com/acme/Foo.java", "k/Bar.java", "m/Bar.java")], "path string")
-    imports = [("c/main.py", "a.b", "python"), ("c/main.py", "pkg", "python"), ("c/main.py", ".util", "python"), ("q/main.py", "x.y.util", "python"), ("q/main.py", "requests", "python"), ("web/y.ts", "./x", "typescript"), ("web/y.ts", "./lib", "tsx"), ("web/y.ts", "react", "tsx"), ("web/y.ts", "./none.js", "tsx"), ("j/Main.java", "com.acme.Foo", "java"), ("j/Main.java", "org.Bar", "java")]
-    return G.resolve_imports(spark.createDataFrame(imports, "path string, module string, lang string"), files)
+    """Imports of every part that orders name, in three languages, from a tree with a file or two for each part; nothing is found for a Java class of two packages by its name alone."""
+    p = A.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), F.col("p_size").cast("string").alias("z"))
+    k, z = F.col("k"), F.col("z")
+    klass = F.concat(F.lit("K"), F.floor(k / 2).cast("string"))
+    end = F.when(k % 3 == 0, ".ts").when(k % 3 == 1, ".tsx").otherwise("/index.js")
+    paths = (F.concat(F.lit("py/b"), z, F.lit("/m"), k, F.lit(".py")), F.concat(F.lit("py/pkg"), z, F.lit("/__init__.py")), F.concat(F.lit("web/s"), z, F.lit("/c"), k, end), F.concat(F.lit("j/com/a"), z, F.lit("/"), klass, F.lit(".java")))
+    files = p.select(F.explode(F.array(*paths)).alias("path")).distinct()
+    asks = A.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("k"), F.col("l_linenumber").alias("n")).distinct().join(p, "k")
+    n = F.col("n").cast("string")
+    ask = lambda path, module, lang: F.struct(path.alias("path"), module.alias("module"), F.lit(lang).alias("lang"))
+    module = F.when(F.col("n") % 3 == 0, F.concat(F.lit("b"), z, F.lit(".m"), k)).when(F.col("n") % 3 == 1, F.concat(F.lit(".m"), k)).otherwise(F.concat(F.lit("pkg"), z))
+    each = F.array(
+        ask(F.concat(F.lit("py/b"), z, F.lit("/from"), n, F.lit(".py")), module, "python"), ask(F.concat(F.lit("web/s"), z, F.lit("/from"), n, F.lit(".ts")), F.concat(F.lit("./c"), k), "typescript"),
+        ask(F.concat(F.lit("j/from"), n, F.lit(".java")), F.concat(F.lit("com.a"), z, F.lit("."), klass), "java"), ask(F.concat(F.lit("j/other"), n, F.lit(".java")), F.concat(F.lit("org.x."), klass), "java"),
+    )
+    return G.resolve_imports(asks.select(F.explode(each).alias("i")).select("i.*"), files)
 
 
 _NAMED = r"named AS (SELECT name, min(id) AS id FROM (SELECT 'i' || item_id AS id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS name FROM benchmark) WHERE strlen(name) >= 4 GROUP BY name)"
@@ -236,6 +264,20 @@ def jn_doc_mentions(spark, sf):
     return G.doc_mentions(docs, b)
 
 
+@query(
+    r"""WITH w AS (SELECT item_id, unnest(regexp_extract_all(text, '[\p{L}\p{N}_]+')) AS w FROM benchmark),
+    named AS (SELECT name, min(id) AS id FROM (SELECT 'i' || item_id AS id, '$' || w AS name FROM w UNION ALL SELECT 'j' || item_id, '-> ' || w FROM w) WHERE strlen(name) >= 4 GROUP BY name),
+    t AS (SELECT DISTINCT doc_id, unnest(CASE WHEN doc_id % 2 = 0 THEN regexp_extract_all(replace(text, ' ', ' $'), '\$[\p{L}\p{N}_]+') ELSE regexp_extract_all(replace(text, ' ', ' -> '), '-> [\p{L}\p{N}_]+') END) AS name FROM documents)
+    SELECT id AS src, 6 AS kind, 'd' || doc_id AS dst, 0.7::DOUBLE AS weight FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY name) AS k FROM t JOIN named USING (name)) WHERE k <= 8"""
+)
+def jn_doc_mentions_any_name(spark, sf):
+    """Names with signs in them: every word of the items as $word and as -> word."""
+    w = A.table(spark, sf, "benchmark").select("item_id", F.explode(T.words("text")).alias("w"))
+    names = w.select(F.concat(F.lit("i"), "item_id").alias("id"), F.concat(F.lit("$"), "w").alias("symbol")).union(w.select(F.concat(F.lit("j"), "item_id"), F.concat(F.lit("-> "), "w")))
+    content = F.when(F.col("doc_id") % 2 == 0, F.replace("text", F.lit(" "), F.lit(" $"))).otherwise(F.replace("text", F.lit(" "), F.lit(" -> ")))
+    return G.doc_mentions(A.table(spark, sf, "documents").select(F.concat(F.lit("d"), "doc_id").alias("id"), content.alias("content")), names)
+
+
 # --- degree, hot set ----------------------------------------------------------------------------------------------
 
 _DEG = f"WITH {A.EDGES_SQL}, deg AS (SELECT id, count(*) AS degree FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id)"
