@@ -25,6 +25,8 @@ from loomctx.llm.stage import raw_text, small_batches
 from loomctx.llm.toxicity import held_out
 
 UNKNOWN = "und"
+#: Times the sample that hashes leave of a language before it is ranked, and the hashes' range.
+SPARE, HASHES = 8, 1 << 30
 _ASCII_LETTER = re.compile(rb"[A-Za-z]")
 _LETTER = re.compile(r"[^\W\d_]")
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -71,12 +73,15 @@ def _classify(dictionaries: dict[str, bytes], level: int, narrow: float):
 def dictionaries(docs: DataFrame, sample: int = 400, size: int = 256 << 10, languages: int = 1000, folds: int = 4, fold: int = 2) -> dict[str, bytes]:
     """A raw-content dictionary for each of the most frequent languages of the training rows, ties by name."""
     train = docs.where("lang is not null and doc_id is not null").where(~held_out(F.col("doc_id"), folds, fold))
-    names = sorted(r["lang"] for r in train.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect())
+    counted = train.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("doc_id").alias("ids")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    names = sorted(r["lang"] for r in counted)
     if not names:
         return {}
     order = Window.partitionBy("lang").orderBy(F.col("bytes") > size // 4, F.xxhash64("doc_id"), "doc_id", "bytes")
-    known = F.broadcast(docs.sparkSession.createDataFrame([(n,) for n in names], "lang string"))
-    first = train.select("doc_id", "lang", F.octet_length("text").cast("long").alias("bytes")).where("bytes > 0").join(known, "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
+    known = F.broadcast(docs.sparkSession.createDataFrame([(r["lang"], min(1.0, SPARE * sample / r["ids"]) * HASHES) for r in counted], "lang string, share double"))
+    first = train.select("doc_id", "lang", F.octet_length("text").cast("long").alias("bytes")).where("bytes > 0").join(known, "lang")
+    # some times the sample is left for one task of a language to rank, however many rows it has
+    first = first.where(F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(HASHES)) < F.col("share")).withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
     before = F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1))
     chosen = first.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < size).select("doc_id", "lang").distinct()
     small_batches(docs.sparkSession)
