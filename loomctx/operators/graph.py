@@ -16,18 +16,24 @@ def max_weight(edges: DataFrame) -> DataFrame:
 
 
 def resolve_names(references: DataFrame, entries: DataFrame) -> DataFrame:
-    """Targets of names: the first entry of the name in the same path (weight 1), else the only entry anywhere (0.6), else none.
+    """References that have a target, with it."""
+    return targets(references, entries).where("target is not null")
+
+
+def targets(references: DataFrame, entries: DataFrame) -> DataFrame:
+    """Targets of names: the first entry of the name in the same path (weight 1), else the only entry anywhere (0.6), else null.
 
     references: chunk, path, name, and whatever else; entries: id, path, symbol, and optionally ``ord`` for their order in a
-    path. A reference whose target is its own chunk is dropped, without a fallback.
+    path. A reference whose target is its own chunk has none, without a fallback.
     """
     order = F.struct("ord", "id") if "ord" in entries.columns else F.struct("id")
     named = entries.select("id", "path", short_name("symbol").alias("name"), order.alias("o"))
     local = named.groupBy("name", "path").agg(F.min_by("id", "o").alias("local_id"))
     alone = named.groupBy("name").agg(F.count("*").alias("n"), F.min("id").alias("only_id")).where("n = 1").drop("n")
     out = references.join(local, ["name", "path"], "left").join(alone, "name", "left")
-    out = out.withColumn("target", F.coalesce("local_id", "only_id")).withColumn("weight", F.when(F.col("local_id").isNotNull(), 1.0).otherwise(0.6))
-    return out.where("target is not null and target != chunk").drop("local_id", "only_id")
+    found = F.coalesce("local_id", "only_id")
+    out = out.withColumn("target", F.when(found != F.col("chunk"), found)).withColumn("weight", F.when(F.col("local_id").isNotNull(), 1.0).otherwise(0.6))
+    return out.drop("local_id", "only_id")
 
 
 def reference_edges(references: DataFrame, entries: DataFrame) -> DataFrame:

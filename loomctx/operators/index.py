@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from loomctx import schema as S
 from loomctx.functions.sections import markdown_sections
 from loomctx.functions.text import content_hash, is_test_path, language, node_id, token_estimate
+from loomctx.operators import delta
 from loomctx.operators import graph as G
 
 
@@ -41,20 +42,14 @@ def one_per_id(nodes: DataFrame) -> DataFrame:
     return nodes.groupBy("id").agg(F.max_by(F.struct(*columns), F.struct("path", "byte_start")).alias("n")).select("id", "n.*")
 
 
-def build_edges(nodes: DataFrame, placed: DataFrame, parsed: DataFrame, files: DataFrame) -> DataFrame:
-    """All edges of the current files. ``placed`` are nodes of every place (path, symbol, kind, id); parsed: path, decls, imports."""
-    chunks = placed.where(F.col("kind") == S.CHUNK)
-    at = chunks.select("path", "byte_start", F.col("id").alias("chunk"), (F.col("role") == "test").alias("is_test"))
-    d = parsed.select("path", F.explode("decls").alias("d")).select("path", F.col("d.byte_start").alias("byte_start"), "d.calls", "d.bases", "d.impls").join(at, ["path", "byte_start"])
-    refs = None
-    for column, kind in (("calls", S.CALLS), ("bases", S.INHERITS), ("impls", S.IMPLEMENTS)):
-        part = d.select("chunk", "path", F.explode(column).alias("name"), F.lit(kind).alias("kind"), "is_test")
-        refs = part if refs is None else refs.unionByName(part)
-    entries = chunks.select("id", "path", "symbol", F.col("byte_start").alias("ord"))
-    edges = G.reference_edges(refs.distinct(), entries)
-    file_ids = placed.where(F.col("kind") == S.FILE).select("path", F.col("id").alias("file"))
-    imports = parsed.join(files.select("path", "lang"), "path").select("path", "lang", F.explode("imports").alias("module"))
-    links = G.resolve_imports(imports, files.select("path")).join(file_ids, "path").join(file_ids.select(F.col("path").alias("target"), F.col("file").alias("dst")), "target")
-    import_edges = links.where("file != dst").select(F.col("file").alias("src"), F.lit(S.IMPORTS).alias("kind"), "dst", F.lit(1.0).alias("weight"))
-    mentions = G.doc_mentions(placed.where(F.col("kind") == S.DOC).select("id", "content"), entries)
-    return G.max_weight(edges.unionByName(import_edges).unionByName(mentions))
+def build_edges(placed: DataFrame, parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """All edges of the current files from nothing. ``placed`` are nodes of every place; parsed: path, decls, imports."""
+    now = delta.entries(placed)
+    refs = G.targets(delta.references(parsed, placed), now)
+    imports = G.resolve_imports(imported(parsed, files), files.select("path"))
+    return delta.edges_of(refs, imports, G.doc_mentions(placed.where(F.col("kind") == S.DOC).select("id", "content"), now), placed)
+
+
+def imported(parsed: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, module, lang) of every import."""
+    return parsed.join(files.select("path", "lang"), "path").select("path", "lang", F.explode("imports").alias("module"))

@@ -14,7 +14,7 @@ from loomctx import schema as S
 from loomctx.functions.parse import declarations
 from loomctx.functions.text import first_lines
 from loomctx.operators import graph as G
-from loomctx.operators import hotset, index, lookup, maintain, pack, postings, render, report
+from loomctx.operators import delta, hotset, index, lookup, maintain, pack, postings, render, report
 from loomctx.sources import config, files
 from loomctx.sources.store import PACKS, Store, ulid
 
@@ -51,12 +51,12 @@ class NoIndex(RuntimeError):
 class Engine:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.store = spark, Store(spark, root)
-        self.root, self.parsed = self.store.root, 0
+        self.root, self.parsed, self.resolved = self.store.root, 0, {}
 
     # --- writing --------------------------------------------------------------------------------------------------
 
     def index(self, force: bool = False) -> dict:
-        """Bring the index up to date. Only new and changed files are read and parsed, edges and ranks are made anew.
+        """Bring the index up to date. Only new and changed files are read and parsed, and only what they can affect is resolved again; ranks are made anew.
 
         Declarations are kept with the index, so those of unchanged files are read back. ``parsed`` is the number of files parsed by the last run.
         """
@@ -84,7 +84,8 @@ class Engine:
         parsed = G.cut(parsed_new.unionByName(old_parsed.join(kept_text.select("path"), "path", "left_semi")))
         placed = G.cut(index.build_nodes(everything, parsed))
         fresh = index.one_per_id(placed)
-        edges = G.cut(index.build_edges(fresh, placed, parsed, everything))
+        by_change = self._edges(force, status, everything, parsed, placed)
+        edges = by_change["edges"]
         ranks = G.centrality(edges).select("id", "centrality")
         stamp = F.current_timestamp()
         before = old_nodes.select("id", F.col("created_at").alias("old_created"), F.lit(True).alias("was"))
@@ -108,9 +109,32 @@ class Engine:
         counters |= {"edges": edges.count(), "hot_set_version": hot.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]}
         head = git(self.root, "rev-parse", "--short", "HEAD")
         posts = self._post(old_nodes, nodes)
-        store.commit({"nodes": nodes, "edges": edges, "files": rows, "hot_set": hot, "declarations": parsed}, {"last_index_report": counters, "last_indexed_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "head_commit": head[0] if head else None, "postings": posts})
+        store.commit({"nodes": nodes, "edges": edges, "files": rows, "hot_set": hot, "declarations": parsed, "references": by_change["references"], "imports": by_change["imports"]}, {"edges_by_change": True, "last_index_report": counters, "last_indexed_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "head_commit": head[0] if head else None, "postings": posts})
         return counters
 
+    def _edges(self, force: bool, status: DataFrame, everything: DataFrame, parsed: DataFrame, placed: DataFrame) -> dict[str, DataFrame]:
+        """References, imports and edges as the changed files leave them; ``resolved`` counts the references, imports and documents that were looked at again."""
+        store, now = self.store, delta.entries(placed)
+        old = {name: store.table(name) for name in ("references", "imports", "declarations", "edges", "nodes", "files")}
+        if force or not store.manifest()["meta"].get("edges_by_change"):
+            old = {name: table.limit(0) for name, table in old.items()}
+            paths = everything.select("path")
+        else:
+            paths = G.cut(status.where("status in ('new', 'changed', 'deleted')").select("path"))
+        places = old["files"].join(paths, "path", "left_semi").select("path", F.explode("merkle").alias("e")).select("path", F.col("e.id").alias("id"), F.col("e.byte_start").alias("ord"))
+        declared = old["declarations"].select("path", F.explode("decls").alias("d")).select("path", F.col("d.name").alias("symbol"), F.col("d.byte_start").alias("ord"))
+        names = G.cut(delta.changed_names(places.join(declared, ["path", "ord"]).select("id", "path", "symbol", "ord"), now.join(paths, "path", "left_semi")))
+        changed = parsed.join(paths, "path", "left_semi")
+        refs, refs_again = delta.change_references(old["references"], delta.references(changed, placed), paths, names, now)
+        before, after = old["files"].where("skipped is null").select("path"), everything.select("path")
+        moved = before.join(after, "path", "left_anti").unionByName(after.join(before, "path", "left_anti"))
+        imports, imports_again = delta.change_imports(old["imports"], index.imported(changed, everything), paths, moved, after)
+        docs, old_docs = (t.where(F.col("kind") == S.DOC) for t in (placed, old["nodes"].where("valid")))
+        mentions, docs_again = delta.change_mentions(old["edges"].where(F.col("kind") == S.MENTIONS), old_docs, docs.select("id", "content").distinct(), names, now)
+        refs, imports = G.cut(refs), G.cut(imports)
+        self.resolved = {"references": refs_again.count(), "imports": imports_again.count(), "documents": docs_again.count()}
+        return {"references": refs, "imports": imports, "edges": G.cut(delta.edges_of(refs, imports, mentions, placed))}
+
     def _post(self, old_nodes: DataFrame, nodes: DataFrame) -> dict:
         """Adds the nodes that are new or named anew to the postings and takes out those that are gone; after ``BATCHES`` runs all are written anew."""
         known = self.store.manifest()["meta"].get("postings")

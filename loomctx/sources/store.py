@@ -20,7 +20,15 @@ from loomctx.functions.parse import DECL
 from loomctx.operators.maintain import retained, usage_stats
 from loomctx.sources.files import STATE_DIR
 
-TABLES = {"nodes": S.NODES, "edges": S.EDGES, "files": S.FILES, "hot_set": "version long, position long, node_id string", "declarations": f"path string, decls array<{DECL}>, imports array<string>"}
+TABLES = {
+    "nodes": S.NODES,
+    "edges": S.EDGES,
+    "files": S.FILES,
+    "hot_set": "version long, position long, node_id string",
+    "declarations": f"path string, decls array<{DECL}>, imports array<string>",
+    "references": "path string, chunk string, name string, kind int, is_test boolean, target string, weight double",
+    "imports": "path string, module string, lang string, target string",
+}
 PACKS = "id string, ts timestamp, query string, budget long, hot_set_version long, selected_tokens long, raw_tokens long, saved_pct double, stable_ids array<string>, pack string, surface string"
 USAGE = "node_id string, ts timestamp"
 KEPT = 2
