@@ -2,7 +2,7 @@
 
 Tables of an index, each in a folder of its own with a folder for each batch below:
 
-* ``forward`` (id, dl, terms, codes, tfs): the terms of each document, by which single documents are scored;
+* ``forward`` (id, dl, terms, codes, tfs): the terms of each document by their codes, by which single documents are scored;
 * ``blocks`` (bucket, term, shard, block, n, max_tf, min_dl, postings): a term's postings of a shard of documents by falling
   impact, ``BLOCK`` to a row. A block's greatest part of a score follows from its greatest ``tf`` and least ``dl`` at any average length, so bounds hold as the index grows;
 * ``df`` (bucket, term, df) and ``stats`` (docs, words): what the batch adds to counts, less what it takes away;
@@ -15,11 +15,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomctx.functions.text import words
-from loomctx.operators.graph import cut
+from loomctx.operators.graph import stored
 from loomctx.operators.search import B, K1, _body, fold, query_terms
 
 #: Postings of a block and documents of a shard, so that no term's postings are sorted in one task.
@@ -67,8 +69,8 @@ def forward(docs: DataFrame, id_col: str, *texts: str) -> DataFrame:
     """(id, dl, terms, codes, tfs) of documents with any word; ids are unique. Only texts are shuffled, and once."""
     found = docs.select(F.col(id_col).alias("id"), _body(texts).alias("text")).repartition("id").select("id", words(fold(F.col("text"))).alias("w"))
     counted = found.select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
-    listed = counted.groupBy("id", "dl").agg(F.array_sort(F.collect_list(F.struct("term", "tf"))).alias("t"))
-    return listed.select("id", "dl", F.col("t.term").alias("terms"), F.transform("t.term", code).alias("codes"), F.col("t.tf").alias("tfs"))
+    listed = counted.groupBy("id", "dl").agg(F.array_sort(F.collect_list(F.struct(code("term").alias("code"), "term", "tf"))).alias("t"))
+    return listed.select("id", "dl", F.col("t.term").alias("terms"), F.col("t.code").alias("codes"), F.col("t.tf").alias("tfs"))
 
 
 def blocks(listed: DataFrame, shards: int = 1) -> DataFrame:
@@ -92,8 +94,8 @@ def _stats(listed: DataFrame, sign: int = 1) -> DataFrame:
 
 def build(docs: DataFrame, id_col: str, *texts: str) -> Index:
     """An index for the use of one session."""
-    listed = cut(forward(docs, id_col, *texts))
-    made = cut(blocks(listed, max(1, -(-listed.count() // SHARD))))
+    listed = stored(forward(docs, id_col, *texts))
+    made = stored(blocks(listed, max(1, -(-listed.count() // SHARD))))
     counts = made.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
     return Index(listed, made.withColumn("batch", F.lit(0).cast("long")), counts, _stats(listed))
 
@@ -154,14 +156,41 @@ def _live(rows: DataFrame, index: Index) -> DataFrame:
     return rows if index.gone is None else rows.join(index.gone, ["id", "batch"], "left_anti")
 
 
-def _scored(pairs: DataFrame, asked: DataFrame, index: Index, length, clash: bool) -> DataFrame:
+def _sums(k1: float, b: float, mean: float):
+    """Scores of pairs from a document's codes, which are in order, and a query's codes and weights."""
+
+    def kernel(batches):
+        for batch in batches:
+            lists = {}
+            for name in ("codes", "tfs", "q_codes", "q_weights"):
+                column = batch.column(name)
+                lists[name] = np.asarray(column.flatten()), np.concatenate([[0], np.cumsum(np.asarray(column.value_lengths()))])
+            length = k1 * (1 - b + b * np.asarray(batch.column("dl")) / mean)
+            score = np.zeros(batch.num_rows)
+            for i in range(batch.num_rows):
+                codes, tfs, asked, weights = (values[at[i] : at[i + 1]] for values, at in lists.values())
+                at = np.minimum(np.searchsorted(codes, asked), len(codes) - 1)
+                hit = codes[at] == asked
+                tf = tfs[at[hit]]
+                score[i] = (weights[hit] * tf / (tf + length[i])).sum()
+            yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("id"), pa.array(score)], names=["query_id", "id", "score"])
+
+    return kernel
+
+
+def _scored(pairs: DataFrame, asked: DataFrame, index: Index, mean: float, clash: bool) -> DataFrame:
     """``pairs`` (query_id, id) with their whole scores, from the documents' terms: by codes, by the terms where codes clash."""
     key = "terms" if clash else "codes"
-    at = lambda values, t: F.element_at(values, F.array_position(F.col(f"q_{key}" if values == "q_weights" else key), t).cast("int"))
     found = pairs.join(index.forward.select("id", "dl", key, "tfs"), "id").join(asked.select("query_id", f"q_{key}", "q_weights"), "query_id")
-    parts = F.transform(F.array_intersect(key, f"q_{key}"), lambda t: F.struct(at("q_weights", t).alias("w"), at("tfs", t).alias("tf")))
-    score = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["w"] * p["tf"] / (p["tf"] + length))
-    return found.select("query_id", "id", F.round(score, 6).alias("score"))
+    if clash:
+        at = lambda values, keys, t: F.element_at(values, F.array_position(F.col(keys), t).cast("int"))
+        parts = F.transform(F.array_intersect("terms", "q_terms"), lambda t: F.struct(at("q_weights", "q_terms", t).alias("w"), at("tfs", "terms", t).alias("tf")))
+        score = F.aggregate(parts, F.lit(0.0), lambda acc, p: acc + p["w"] * p["tf"] / (p["tf"] + K1 * (1 - B + B * F.col("dl") / mean)))
+        found = found.select("query_id", "id", score.alias("score"))
+    else:
+        types = dict(found.dtypes)
+        found = found.mapInArrow(_sums(K1, B, mean), f"query_id {types['query_id']}, id {types['id']}, score double")
+    return found.select("query_id", "id", F.round("score", 6).alias("score"))
 
 
 def _nth(rows: DataFrame, n: int) -> DataFrame:
@@ -194,21 +223,21 @@ def top_hits(index: Index, queries: DataFrame, k: int, counts: dict[str, DataFra
     # all terms with the code of a query's term: another one than that is a clash
     terms = terms.withColumn("bucket", bucket(F.col("code"))).join(index.df.select("bucket", F.col("term").alias("other"), code("term").alias("code"), "df"), ["bucket", "code"])
     weight = (F.col("mult") * F.when(idf <= 0, 1e-6).otherwise(idf) * (K1 + 1)).alias("w")
-    terms = cut(terms.select("query_id", "bucket", "code", "term", (F.col("term") != F.col("other")).alias("clash"), weight))
+    terms = stored(terms.select("query_id", "bucket", "code", "term", (F.col("term") != F.col("other")).alias("clash"), weight))
     clash = not terms.where("clash").isEmpty()
     terms = terms.where("not clash").drop("clash")
     length_of = lambda dl: K1 * (1 - B + B * dl / (total / docs))
-    score = lambda pairs: _scored(pairs.select("query_id", "id"), asked, index, length_of(F.col("dl")), clash)
+    score = lambda pairs: _scored(pairs.select("query_id", "id"), asked, index, total / docs, clash)
     # one array for each query, as long as the query
     asked = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "code", "w"))).alias("q"))
     asked = asked.select("query_id", F.col("q.term").alias("q_terms"), F.col("q.code").alias("q_codes"), F.col("q.w").alias("q_weights"))
     heads = index.blocks.select("bucket", "term", "batch", "shard", "block", "max_tf", "min_dl")
     bound = F.col("w") * F.col("max_tf") / (F.col("max_tf") + length_of(F.col("min_dl")))
-    heads = cut(terms.join(heads, ["bucket", "term"]).select("query_id", "bucket", "term", "w", "batch", "shard", "block", bound.alias("bound")))
+    heads = stored(terms.join(heads, ["bucket", "term"]).select("query_id", "bucket", "term", "w", "batch", "shard", "block", bound.alias("bound")))
     lists = heads.groupBy("query_id", "term").agg(F.max("bound").alias("top"))
     lighter = Window.partitionBy("query_id").orderBy("top", "term")
     lists = lists.withColumn("below", F.coalesce(F.sum("top").over(lighter.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    lists = cut(lists.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("top"), F.desc("term")))))
+    lists = stored(lists.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("top"), F.desc("term")))))
     bodies = index.blocks.select("bucket", "term", "batch", "shard", "block", "postings")
 
     def opened(some: DataFrame, *more: str) -> DataFrame:
@@ -217,20 +246,20 @@ def top_hits(index: Index, queries: DataFrame, k: int, counts: dict[str, DataFra
 
     first = heads.where("block = 0").join(lists.where(F.col("place") <= PROBED_TERMS).select("query_id", "term"), ["query_id", "term"], "left_semi")
     probed = opened(first).groupBy("query_id", "id").agg(F.sum("part").alias("part"), F.count("*").alias("n"))
-    probed = cut(probed)
-    floors = cut(_nth(score(_most(probed, "part", PROBED_DOCS)), k))
+    probed = stored(probed)
+    floors = stored(_nth(score(_most(probed, "part", PROBED_DOCS)), k))
 
     needed = lists.join(floors, "query_id", "left").select("query_id", "term", (F.coalesce("floor", F.lit(float("-inf"))) - MARGIN - F.col("below")).alias("need"))
     heads = heads.join(needed, ["query_id", "term"])
     # what a document may still have of a term's unread blocks
     left = heads.groupBy("query_id", "term").agg(F.coalesce(F.max(F.when(F.col("bound") < F.col("need"), F.col("bound"))), F.lit(0.0)).alias("left"))
-    left = cut(left)
+    left = stored(left)
     reading = heads.where("bound >= need").join(left, ["query_id", "term"])
     sums = opened(reading, "left").groupBy("query_id", "id").agg(F.sum("part").alias("part"), F.sum(F.col("part") - F.col("left")).alias("gain"), F.count("*").alias("n"))
     unread = left.where("left > 0").groupBy("query_id").agg(F.sum("left").alias("rest"), F.collect_list(F.struct(code("term").alias("code"), "left")).alias("l"))
-    unread = cut(unread.select("query_id", "rest", F.col("l.code").alias("l_codes"), F.col("l.left").alias("lefts")))
+    unread = stored(unread.select("query_id", "rest", F.col("l.code").alias("l_codes"), F.col("l.left").alias("lefts")))
     able = sums.join(unread.select("query_id", "rest"), "query_id", "left").join(floors, "query_id", "left")
-    able = cut(able.where(F.col("floor").isNull() | (F.col("gain") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor") - MARGIN)))
+    able = stored(able.where(F.col("floor").isNull() | (F.col("gain") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor") - MARGIN)))
     raised = _nth(score(_most(able, "part", PROBED_DOCS)), k).select("query_id", F.col("floor").alias("raised"))
     able = able.join(raised, "query_id", "left").withColumn("floor", F.greatest("floor", "raised")).where(F.col("floor").isNull() | (F.col("gain") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor") - MARGIN))
     # only unread terms that the document has can add to it; a clash of codes makes the bound no smaller
@@ -238,6 +267,6 @@ def top_hits(index: Index, queries: DataFrame, k: int, counts: dict[str, DataFra
     open_ = F.aggregate(F.array_intersect("codes", "l_codes"), F.lit(0.0), lambda acc, c: acc + F.element_at("lefts", F.array_position(F.col("l_codes"), c).cast("int")))
     able = able.where(F.col("floor").isNull() | (F.col("gain") + F.coalesce(open_, F.lit(0.0)) >= F.col("floor") - MARGIN)).select("query_id", "id")
     if counts is not None:
-        able = cut(able)
+        able = stored(able)
         counts |= {"probed": probed.groupBy("query_id").agg(F.sum("n").alias("n")), "read": sums.groupBy("query_id").agg(F.sum("n").alias("n")), "scored": able.groupBy("query_id").agg(F.count("*").alias("n"))}
     return _most(score(able), "score", k)
