@@ -256,7 +256,9 @@ def top_hits(index: Index, queries: DataFrame, k: int, counts: dict[str, DataFra
     left = stored(left)
     reading = heads.where("bound >= need").join(left, ["query_id", "term"])
     sums = opened(reading, "left").groupBy("query_id", "id").agg(F.sum("part").alias("part"), F.sum(F.col("part") - F.col("left")).alias("gain"), F.count("*").alias("n"))
-    unread = left.where("left > 0").groupBy("query_id").agg(F.sum("left").alias("rest"), F.collect_list(F.struct(code("term").alias("code"), "left")).alias("l"))
+    # terms of one code add up, so that a document with either has room for both
+    by_code = left.where("left > 0").groupBy("query_id", code("term").alias("code")).agg(F.sum("left").alias("left"))
+    unread = by_code.groupBy("query_id").agg(F.sum("left").alias("rest"), F.collect_list(F.struct("code", "left")).alias("l"))
     unread = stored(unread.select("query_id", "rest", F.col("l.code").alias("l_codes"), F.col("l.left").alias("lefts")))
     able = sums.join(unread.select("query_id", "rest"), "query_id", "left").join(floors, "query_id", "left")
     able = stored(able.where(F.col("floor").isNull() | (F.col("gain") + F.coalesce("rest", F.lit(0.0)) >= F.col("floor") - MARGIN)))
