@@ -153,35 +153,36 @@ def tg_markdown_sections(spark, sf):
 @query(
     f"""WITH {A.EDGES_SQL}, {A.NODES_SQL}, deg AS (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edges UNION ALL SELECT dst FROM edges) GROUP BY id),
     m AS (SELECT n.id, n.symbol, coalesce(d.n, 0)::DOUBLE AS c FROM nodes n LEFT JOIN deg d USING (id) WHERE starts_with(n.id, 'p')),
-    w AS (SELECT 'Part#' || p_partkey AS name FROM part WHERE p_size = 7 UNION SELECT p_brand || '.Part#' || p_partkey FROM part WHERE p_size = 9)
+    w AS (SELECT 'Part#' || p_partkey AS name FROM part UNION SELECT p_brand || '.Part#' || p_partkey FROM part)
     SELECT name, id, nth FROM (SELECT w.name, m.id, row_number() OVER (PARTITION BY w.name ORDER BY m.c DESC, m.id) AS nth FROM w JOIN m ON m.symbol = w.name OR split_part(m.symbol, '.', 2) = w.name) WHERE nth <= 3"""
 )
 def fl_symbol_lookup(spark, sf):
     deg = G.degrees(G.max_weight(A.graph_edges(spark, sf)))
     chunks = A.graph_nodes(spark, sf).where(F.col("id").startswith("p")).join(deg, "id", "left").withColumn("centrality", F.coalesce("degree", F.lit(0)).cast("double"))
     p = A.table(spark, sf, "part")
-    names = p.where("p_size = 7").select(F.concat(F.lit("Part#"), "p_partkey").alias("name")).union(p.where("p_size = 9").select(F.concat("p_brand", F.lit(".Part#"), "p_partkey").alias("name"))).distinct()
+    names = p.select(F.concat(F.lit("Part#"), "p_partkey").alias("name")).union(p.select(F.concat("p_brand", F.lit(".Part#"), "p_partkey").alias("name"))).distinct()
     return pack.symbol_hits(chunks, names, 3).select("name", "id", *_long("nth"))
 
 
 @query(
-    """WITH f AS (SELECT source || '/' || lang || '/' || (doc_id % 50) || '.txt' AS path FROM documents GROUP BY 1), s AS (SELECT DISTINCT lang || '/' || (doc_id % 50) || '.txt' AS suffix FROM documents WHERE doc_id % 3 = 0)
+    """WITH f AS (SELECT source || '/' || lang || '/' || (doc_id % 50) || '.txt' AS path FROM documents GROUP BY 1), s AS (SELECT DISTINCT lang || '/' || (doc_id % 50) || '.txt' AS suffix FROM documents WHERE doc_id IS NOT NULL)
     SELECT suffix, path, nth FROM (SELECT suffix, path, row_number() OVER (PARTITION BY suffix ORDER BY length(path), path) AS nth FROM s JOIN f ON path = suffix OR ends_with(path, '/' || suffix)) WHERE nth <= 3"""
 )
 def fl_path_suffix(spark, sf):
     d = A.table(spark, sf, "documents")
     tail = F.concat("lang", F.lit("/"), (F.col("doc_id") % 50).cast("string"), F.lit(".txt"))
     files = d.select(F.concat("source", F.lit("/"), tail).alias("path")).distinct()
-    return G.paths_matching(files, d.where("doc_id % 3 = 0").select(tail.alias("suffix")), 3).select("suffix", "path", *_long("nth"))
+    return G.paths_matching(files, d.where("doc_id is not null").select(tail.alias("suffix")), 3).select("suffix", "path", *_long("nth"))
 
 
 @query(
-    """WITH w AS (SELECT unnest(['d000000000003', 'nope', 'd000000000001', 'd000000000003']) AS id, generate_subscripts(['d000000000003', 'nope', 'd000000000001', 'd000000000003'], 1) AS pos)
-    SELECT pos::BIGINT AS pos, w.id, text AS content FROM w JOIN documents ON 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') = w.id"""
+    """WITH w AS (SELECT event_id AS pos, 'd' || lpad(CAST(user_id * 7 % 1500 AS VARCHAR), 12, '0') AS id FROM events)
+    SELECT pos, w.id, sha256(text) AS content_sha FROM w JOIN documents ON 'd' || lpad(CAST(doc_id AS VARCHAR), 12, '0') = w.id"""
 )
 def get_content(spark, sf):
-    wanted = spark.createDataFrame([(i + 1, x) for i, x in enumerate(["d000000000003", "nope", "d000000000001", "d000000000003"])], "pos long, id string")
-    return wanted.join(A.doc_nodes(spark, sf).select("id", "content"), "id").select("pos", "id", "content")
+    """Contents by id in the order asked, an id for every event; some ask for what isn't there, many for the same."""
+    wanted = A.table(spark, sf, "events").select(F.col("event_id").alias("pos"), F.concat(F.lit("d"), F.lpad((F.col("user_id") * 7 % 1500).cast("string"), 12, "0")).alias("id"))
+    return wanted.join(A.doc_nodes(spark, sf).where("kind = 2").select("id", F.sha2("content", 256).alias("content_sha")), "id").select("pos", "id", "content_sha")
 
 
 # --- edges --------------------------------------------------------------------------------------------------------
@@ -465,14 +466,14 @@ def _items(spark, sf):
     return o.select(r.alias("request_id"), F.concat(F.lit("src/"), k % 300).alias("path"), F.floor(F.col("o_totalprice") / 100).cast("long").alias("tokens"), reason.alias("reason"), F.when(r < 20, "signature").otherwise(kind).alias("type"), F.round(k % 89 / 89, 4).alias("score"))
 
 
-_FILES = "ft AS (SELECT 'src/' || p_partkey AS path, p_size::BIGINT * 10000 AS file_tokens FROM part WHERE p_partkey < 200)"
+_FILES = "ft AS (SELECT 'src/' || p_partkey AS path, CASE WHEN p_size <> 7 THEN p_size::BIGINT * 10000 END AS file_tokens FROM part)"
 
 
 @query(
     f"WITH {_ITEMS}, {_FILES}, b AS (SELECT request_id, path, sum(tokens) AS t, any_value(file_tokens) AS f FROM items LEFT JOIN ft USING (path) GROUP BY ALL), t AS (SELECT request_id, sum(t)::BIGINT AS selected_tokens, sum(coalesce(f, t))::BIGINT AS raw_tokens FROM b GROUP BY 1) SELECT *, greatest(raw_tokens - selected_tokens, 0) AS saved_tokens, CASE WHEN raw_tokens > 0 THEN round(greatest(raw_tokens - selected_tokens, 0) * 10000.0::DOUBLE / raw_tokens) / 100 ELSE 0 END AS saved_pct FROM t"
 )
 def pack_totals(spark, sf):
-    files = A.table(spark, sf, "part").where("p_partkey < 200").select(F.concat(F.lit("src/"), "p_partkey").alias("path"), (F.col("p_size").cast("long") * 10000).alias("file_tokens"))
+    files = A.table(spark, sf, "part").select(F.concat(F.lit("src/"), "p_partkey").alias("path"), F.when(F.col("p_size") != 7, F.col("p_size").cast("long") * 10000).alias("file_tokens"))
     return pack.totals(_items(spark, sf), files)
 
 
@@ -703,7 +704,7 @@ def stats_ewma(spark, sf):
 
 @query("SELECT surface, count(*) AS packs, list_sort(list(v))[count(*) // 2 + 1] AS median_saved_pct FROM (SELECT event_type AS surface, round(value, 2) AS v FROM events) GROUP BY 1")
 def median_upper(spark, sf):
-    return A.pack_log(spark, sf).groupBy("surface").agg(F.count("*").alias("packs"), T.upper_median(F.collect_list("saved_pct")).alias("median_saved_pct"))
+    return report.upper_medians(A.pack_log(spark, sf), "surface", "saved_pct").select("surface", F.col("n").alias("packs"), F.col("median").alias("median_saved_pct"))
 
 
 @query("SELECT surface, count(*) AS n, round(median(v), 4) AS median_saved_pct FROM (SELECT event_type AS surface, round(value, 2) AS v FROM events) GROUP BY 1")
