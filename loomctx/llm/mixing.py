@@ -34,29 +34,27 @@ def estimated_tokens(text: Column) -> Column:
 def split(total: int, capacity: dict, weight: dict) -> dict[tuple, int]:
     """Water filling in whole tokens: ``total`` in proportion to the weights, none above its capacity.
 
-    Tokens that proportions leave over go one each to the largest fractions, smaller names first. Children without weight get nothing.
-    The parts add up to the lesser of ``total`` and the capacities of those with weight.
+    Children are met once, by the level at which they are full (capacity over weight): those that the level of the rest reaches get their capacity, the
+    others share what is left. Tokens that proportions leave over go one each to the largest fractions, smaller names first. Children without weight get
+    nothing. The parts add up to the lesser of ``total`` and the capacities of those with weight.
     """
     out, left = dict.fromkeys(capacity, 0), int(total)
-    open_ = sorted(k for k in capacity if capacity[k] > 0 and weight[k] > 0)
-    while open_ and left:
-        whole = sum(weight[k] for k in open_)
-        full = [k for k in open_ if weight[k] * left >= capacity[k] * whole]
-        if full:
-            for k in full:
-                out[k] = min(capacity[k], left)
-                left -= out[k]
-            open_ = [k for k in open_ if out[k] < capacity[k] and k not in full]
-            continue
-        share = {k: weight[k] * left / whole for k in open_}
-        for k in open_:
-            out[k] = min(capacity[k], math.floor(share[k]))
-        left -= sum(out[k] for k in open_)
-        for k in sorted(open_, key=lambda k: (out[k] - share[k], k)):
-            more = min(left, 1, capacity[k] - out[k])
-            out[k] += more
-            left -= more
-        break
+    open_ = [k for k in capacity if capacity[k] > 0 and weight[k] > 0]
+    common = math.lcm(*(Fraction(weight[k]).denominator for k in open_))
+    parts = {k: int(Fraction(weight[k]) * common) for k in open_}
+    whole = sum(parts.values())
+    # two unequal levels differ by more than one over the square of the greatest part, so whole numbers order them
+    finer = 2 * max(parts.values(), default=1).bit_length()
+    open_.sort(key=lambda k: (capacity[k] << finer) // parts[k])
+    at = 0
+    while at < len(open_) and parts[open_[at]] * left >= capacity[open_[at]] * whole:
+        k = open_[at]
+        out[k] = capacity[k]
+        left, whole, at = left - capacity[k], whole - parts[k], at + 1
+    rest = {k: divmod(parts[k] * left, whole) for k in open_[at:]}
+    out |= {k: share for k, (share, _) in rest.items()}
+    for k in sorted(rest, key=lambda k: (-rest[k][1], k))[: left - sum(share for share, _ in rest.values())]:
+        out[k] += 1
     return out
 
 

@@ -1,4 +1,5 @@
 import json
+import random
 import sys
 
 import duckdb
@@ -286,3 +287,17 @@ def test_stages_decide_by_row(spark, sf, docs):
     assert rows(P.without_personal_data(spark, private, sf)) == [(7, "at <ip> end"), (7, "mail <email> now"), (7, "no such thing here"), (None, "mail <email> now"), (None, None)]
     both = P.toxic(spark, docs.unionByName(docs.withColumn("doc_id", F.lit(None).cast("long"))), sf)
     assert both.where("doc_id is null").count() == both.where("doc_id is not null").count() < docs.count()
+
+
+def test_budgets_of_many_leaves_are_water_filling():
+    """At 20000 leaves: sums whole, no leaf above its capacity, all that are below it at one level but for a token."""
+    r = random.Random(5)
+    tokens = {("a", f"s{i:05d}"): r.randint(1, 10**6) for i in range(20000)}
+    weights = {k: r.choice([0.25, 1.0, 3.0]) for k in tokens}
+    total = sum(tokens.values()) // 2
+    got = mixing.budgets(tokens, total, weights, 1)
+    assert sum(got.values()) == total and all(0 <= got[k] <= tokens[k] for k in tokens)
+    short = [k for k in tokens if got[k] < tokens[k]]
+    low, high = max((got[k] - 1) / weights[k] for k in short), min((got[k] + 1) / weights[k] for k in short)
+    assert low <= high  # one level fits all
+    assert all(tokens[k] / weights[k] <= high for k in tokens if got[k] == tokens[k])
