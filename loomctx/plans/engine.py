@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomctx import schema as S
+from loomctx.functions import tokens
 from loomctx.functions.parse import declarations
 from loomctx.functions.text import first_lines
 from loomctx.operators import graph as G
@@ -83,7 +84,7 @@ class Engine:
         self.parsed = parsed_new.count()
         parsed = G.cut(parsed_new.unionByName(old_parsed.join(kept_text.select("path"), "path", "left_semi")))
         placed = G.cut(index.build_nodes(everything, parsed))
-        fresh = index.one_per_id(placed)
+        fresh, encoding = self._counted(index.one_per_id(placed), old_nodes)
         by_change = self._edges(force, status, everything, parsed, placed)
         edges = by_change["edges"]
         ranks = G.centrality(edges).select("id", "centrality")
@@ -109,9 +110,22 @@ class Engine:
         counters |= {"edges": edges.count(), "hot_set_version": hot.agg(F.coalesce(F.max("version"), F.lit(0))).first()[0]}
         head = git(self.root, "rev-parse", "--short", "HEAD")
         posts = self._post(old_nodes, nodes)
-        store.commit({"nodes": nodes, "edges": edges, "files": rows, "hot_set": hot, "declarations": parsed, "references": by_change["references"], "imports": by_change["imports"]}, {"edges_by_change": True, "last_index_report": counters, "last_indexed_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "head_commit": head[0] if head else None, "postings": posts})
+        store.commit({"nodes": nodes, "edges": edges, "files": rows, "hot_set": hot, "declarations": parsed, "references": by_change["references"], "imports": by_change["imports"]}, {"edges_by_change": True, "last_index_report": counters, "last_indexed_at": datetime.now(timezone.utc).isoformat(timespec="seconds"), "head_commit": head[0] if head else None, "postings": posts, "encoding": encoding})
         return counters
 
+    def _counted(self, fresh: DataFrame, old_nodes: DataFrame) -> tuple[DataFrame, str | None]:
+        """Nodes with exact tokens if the settings name an encoding, and what identifies it; only nodes that the same encoding hasn't counted before are."""
+        path = config.load(self.root).get("encoding")
+        if not path:
+            return fresh, None
+        ranks = tokens.read_ranks(self.spark, path)
+        encoding = tokens.fingerprint(ranks)
+        same = self.store.manifest()["meta"].get("encoding") == encoding
+        known = old_nodes.select("id", F.col("tokens").alias("exact")) if same else old_nodes.limit(0).select("id", F.col("tokens").alias("exact"))
+        new = fresh.join(known, "id", "left_anti").select("id", tokens.exact_tokens(self.spark, "content", ranks).alias("exact"))
+        counts = G.cut(new.unionByName(known.join(fresh.select("id"), "id", "left_semi")))
+        return fresh.join(counts, "id").withColumn("tokens", F.col("exact")).select(fresh.columns), encoding
+
     def _edges(self, force: bool, status: DataFrame, everything: DataFrame, parsed: DataFrame, placed: DataFrame) -> dict[str, DataFrame]:
         """References, imports and edges as the changed files leave them; ``resolved`` counts the references, imports and documents that were looked at again."""
         store, now = self.store, delta.entries(placed)
@@ -204,7 +218,7 @@ class Engine:
                 {
                     "pack_version": "1", "pack_id": q["request_id"], "query": q["query"], "mode": q["mode"] or "default", "repo": os.path.basename(self.root), "head": meta.get("head_commit"),
                     "freshness": {"state": "stale" if dirty else "fresh", "stale_files": len(dirty), "indexed_at": meta.get("last_indexed_at", "")},
-                    "token_budget": q["token_budget"], "tokenizer": "bytes/4", "token_estimate": True,
+                    "token_budget": q["token_budget"], "tokenizer": "ranks" if meta.get("encoding") else "bytes/4", "token_estimate": not meta.get("encoding"),
                     "items": [{k: v for k, v in {"type": r["type"], "path": r["path"], "symbol": r["symbol"], "lines": list(r["lines"]), "tokens": r["tokens"], "node": r["node"], "content": r["content"], "why": {"reason": r["reason"], "score": r["score"], "detail": r["detail"]}}.items() if v is not None} for r in mine],
                     "layout": {"stable_prefix_items": [r["node"] for r in mine if r["stable"]], "hot_set_version": version},
                     "totals": {"selected_tokens": t["selected_tokens"] if t else 0, "estimated_raw_tokens": t["raw_tokens"] if t else 0, "saved_tokens": t["saved_tokens"] if t else 0, "saved_pct": t["saved_pct"] if t else 0.0},

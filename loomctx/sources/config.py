@@ -19,18 +19,19 @@ role = 0.10
 [plan]
 budget = 12000
 threshold = 0.0
+# encoding = "PATH"   a file of byte-pair ranks; tokens are then counted, not estimated
 """
 
 
 def load(root: str) -> dict:
-    """{'weights': {...}, 'budget': int, 'threshold': float}."""
+    """{'weights': {...}, 'budget': int, 'threshold': float}, and 'encoding', a path, if it is set."""
     path = os.path.join(root, STATE_DIR, "config.toml")
     found: dict = {}
     if os.path.exists(path):
         with open(path, "rb") as f:
             found = tomllib.load(f)
     scoring, plan = found.get("scoring", {}), found.get("plan", {})
-    return {"weights": {k: float(scoring.get(k, v)) for k, v in S.WEIGHTS.items()}, "budget": int(plan.get("budget", S.DEFAULT_BUDGET)), "threshold": float(plan.get("threshold", 0.0))}
+    return {"weights": {k: float(scoring.get(k, v)) for k, v in S.WEIGHTS.items()}, "budget": int(plan.get("budget", S.DEFAULT_BUDGET)), "threshold": float(plan.get("threshold", 0.0))} | ({"encoding": str(plan["encoding"])} if "encoding" in plan else {})
 
 
 def init(root: str) -> list[str]:
