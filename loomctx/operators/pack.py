@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from loomctx import schema as S
 from loomctx.functions.text import hop_decay, percent, query_tokens, round2, short_name
 from loomctx.operators import postings
-from loomctx.operators.graph import cut, paths_matching, walk
+from loomctx.operators.graph import cut, paths_matching, stored, walk
 from loomctx.operators.search import matched_term, positional
 
 
@@ -166,13 +166,31 @@ def select_budget(candidates: DataFrame, budgets: DataFrame) -> DataFrame:
     return lists.select("request_id", F.explode(F.aggregate("items", zero, step, lambda a: a["out"])).alias("c")).select("request_id", "c.*")
 
 
-def stable_order(chosen: DataFrame, hot: DataFrame) -> DataFrame:
+def stable_order(chosen: DataFrame, hot: DataFrame, ranges: int | None = None) -> DataFrame:
     """Adds ``hot_position`` and ``ord`` (from 1): hot-set members first in their order, the rest by content hash.
 
-    chosen: request_id, id, hash; hot: node_id, position (of one version).
+    chosen: request_id, id, hash; hot: node_id, position (of one version). A pack is ordered by one task; requests of any length take ``ranges``:
+    see ``numbered_by_ranges``.
     """
     out = chosen.join(F.broadcast(hot.select(F.col("node_id").alias("id"), F.col("position").alias("hot_position"))), "id", "left")  # at most 64 rows
-    return out.withColumn("ord", F.row_number().over(Window.partitionBy("request_id").orderBy(F.col("hot_position").asc_nulls_last(), "hash", "id")))
+    order = [F.col("hot_position").asc_nulls_last(), F.col("hash").asc(), F.col("id").asc()]
+    if ranges:
+        return numbered_by_ranges(out, "request_id", order, ranges)
+    return out.withColumn("ord", F.row_number().over(Window.partitionBy("request_id").orderBy(*order)))
+
+
+def numbered_by_ranges(rows: DataFrame, group: str, order: list[Column], ranges: int) -> DataFrame:
+    """Adds ``ord``, the place from 1 in a group's order, without a task that holds a whole group.
+
+    The rows of all groups lie in ``ranges`` sampled ranges of (group, order), written once, since sampling again would set other bounds. A row's place is its
+    place within its group's part of the range and the lengths of the group's parts in the ranges before, of which there are at most ``ranges`` in a group.
+    """
+    laid = stored(rows.repartitionByRange(ranges, F.col(group).asc(), *order).withColumn("__range", F.spark_partition_id()))
+    parts = laid.groupBy(group, "__range").agg(F.count("*").alias("n"))
+    before = parts.select(group, "__range", (F.sum("n").over(Window.partitionBy(group).orderBy("__range")) - F.col("n")).alias("__before"))
+    within = laid.withColumn("__nth", F.row_number().over(Window.partitionBy(group, "__range").orderBy(*order)))
+    same = within[group].eqNullSafe(before[group]) & (within["__range"] == before["__range"])
+    return within.join(before, same).select(*(within[c] for c in rows.columns), (F.col("__before") + F.col("__nth")).alias("ord"))
 
 
 def totals(items: DataFrame, file_tokens: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomctx import schema as S
-from loomctx.functions import sections
+from loomctx.functions import sections, tokens
 from loomctx.functions import text as T
 from loomctx.functions.parse import declarations
 from loomctx.operators import graph as G
@@ -64,6 +64,16 @@ def fn_token_estimate(spark, sf):
     return A.table(spark, sf, "documents").groupBy("lang").agg(F.sum(T.token_estimate("text")).alias("tokens"), F.max(T.token_estimate("text")).alias("most"))
 
 
+#: Ranks of a public encoding, the same file on the driver and in tests.
+RANKS = "file:///opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+@query(None)
+def fn_token_exact(spark, sf, ranks=RANKS):
+    """Tokens of every whole text by a table of ranks; byte-pair merges have no SQL twin (``tests/test_tokens.py`` holds the counts against an independent tokenizer)."""
+    return A.table(spark, sf, "documents").select("doc_id", tokens.exact_tokens(spark, "text", tokens.read_ranks(spark, ranks)).alias("tokens"))
+
+
 _PATHS = ["src/app.py", "latest/x.py", "test_a.py", "a_test.py", "web/a.test.ts", "web/__tests__/b.js", "web/c.spec.tsx", "src/test/java/FooTest.java", "src/main/FooIT.java", "src/main/Foo.java", "README.md", "A.MD", "x.PY", "notes.markdown", "Makefile", ".hidden", "d.mjs"]
 
 
@@ -393,15 +403,16 @@ def threshold_prune(spark, sf):
 
 # --- selection ----------------------------------------------------------------------------------------------------
 
-_PARTS = "parts AS (SELECT p_brand AS request_id, 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, p_size::BIGINT AS tokens, round(p_retailprice / 1000, 6) AS score, 'f' || (p_partkey % 97) AS path, (p_partkey % 5) * 10 AS byte_start, (p_partkey % 5) * 10 + p_size AS byte_end, CASE WHEN p_partkey % 11 = 0 THEN 'anchor' ELSE 'calls' END AS reason, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 's' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS sig_id, 2::BIGINT AS sig_tokens FROM part)"
+_PARTS = "parts AS (SELECT p_brand || '/' || (p_partkey // 4000) AS request_id, 'p' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS id, p_size::BIGINT AS tokens, round(p_retailprice / 1000, 6) AS score, 'f' || (p_partkey % 97) AS path, (p_partkey % 5) * 10 AS byte_start, (p_partkey % 5) * 10 + p_size AS byte_end, CASE WHEN p_partkey % 11 = 0 THEN 'anchor' ELSE 'calls' END AS reason, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE 's' || lpad(CAST(p_partkey AS VARCHAR), 9, '0') END AS sig_id, 2::BIGINT AS sig_tokens FROM part)"
 
 
 def _parts(spark, sf):
+    """Parts as candidates; a request has those of a brand among 4000 keys, so requests grow in number, not in length."""
     k = F.col("p_partkey")
     pad = F.lpad(k.cast("string"), 9, "0")
     p = A.table(spark, sf, "part")
     return p.select(
-        F.col("p_brand").alias("request_id"), F.concat(F.lit("p"), pad).alias("id"), F.lit(2).alias("kind"), F.col("p_size").cast("long").alias("tokens"), F.round(F.col("p_retailprice") / 1000, 6).alias("score"), F.concat(F.lit("f"), k % 97).alias("path"),
+        F.concat("p_brand", F.lit("/"), F.floor(k / 4000)).alias("request_id"), F.concat(F.lit("p"), pad).alias("id"), F.lit(2).alias("kind"), F.col("p_size").cast("long").alias("tokens"), F.round(F.col("p_retailprice") / 1000, 6).alias("score"), F.concat(F.lit("f"), k % 97).alias("path"),
         (k % 5 * 10).alias("byte_start"), (k % 5 * 10 + F.col("p_size")).alias("byte_end"), F.when(k % 11 == 0, "anchor").otherwise("calls").alias("reason"), F.lit("").alias("detail"), F.when(k % 3 != 0, F.concat(F.lit("s"), pad)).alias("sig_id"), F.lit(2).cast("long").alias("sig_tokens"),
     )
 
@@ -452,7 +463,7 @@ def stable_order(spark, sf):
     n = A.doc_nodes(spark, sf).where("kind = 2")
     hot = n.where(F.col("id").endswith("07")).orderBy("id").limit(40)
     hot = hot.select(F.col("id").alias("node_id"), F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("id")).alias("position"))  # 40 rows
-    return pack.stable_order(n.select(F.col("lang").alias("request_id"), "id", "hash"), hot).select("request_id", "id", *_long("ord"), F.col("hot_position").isNotNull().alias("stable"))
+    return pack.stable_order(n.select(F.col("lang").alias("request_id"), "id", "hash"), hot, ranges=64).select("request_id", "id", *_long("ord"), F.col("hot_position").isNotNull().alias("stable"))
 
 
 _ITEMS = "items AS (SELECT least(o_custkey % 50, 48) AS request_id, 'src/' || (o_orderkey % 300) AS path, floor(o_totalprice / 100)::BIGINT AS tokens, CASE CASE WHEN o_custkey % 50 > 5 THEN o_orderkey % 5 ELSE 1 + o_orderkey % 2 END WHEN 0 THEN 'anchor' WHEN 1 THEN 'search_hit' WHEN 2 THEN 'calls' WHEN 3 THEN 'tested_by' ELSE 'doc_mention' END AS reason, CASE WHEN o_custkey % 50 < 20 THEN 'signature' ELSE CASE o_orderkey % 4 WHEN 0 THEN 'ast_chunk' WHEN 1 THEN 'doc_chunk' WHEN 2 THEN 'test' ELSE 'file' END END AS type, round((o_orderkey % 89) / 89, 4) AS score FROM orders)"
@@ -513,13 +524,15 @@ def render_envelope(spark, sf):
     return n.select("id", F.sha2(T.envelope(F.col("id"), F.col("path"), F.lit("ast_chunk"), F.col("line_start"), F.col("line_end"), F.col("symbol"), F.col("content")), 256).alias("digest"))
 
 
-_REND = f"""WITH {A.DOC_NODES_SQL}, i AS (SELECT lang AS request_id, id, {_ENV} AS env, row_number() OVER (PARTITION BY lang ORDER BY id) AS ord, right(id, 1) = '3' AS stable, tokens FROM chunks),
+_REND = f"""WITH {A.DOC_NODES_SQL}, i AS (SELECT lang || '/' || (id[2:]::BIGINT // 100) AS request_id, id, {_ENV} AS env, row_number() OVER (PARTITION BY request_id ORDER BY id) AS ord, right(id, 1) = '3' AS stable, tokens FROM chunks),
   b AS (SELECT request_id, coalesce(string_agg(env, '' ORDER BY ord) FILTER (stable), '') AS prefix, coalesce(string_agg(env, '' ORDER BY ord) FILTER (NOT stable), '') AS rest, coalesce(string_agg(id, '' ORDER BY ord) FILTER (stable), '') AS ids, sum(tokens)::BIGINT AS t FROM i GROUP BY 1)"""
 
 
 def _rendered(spark, sf):
     n = A.doc_nodes(spark, sf).where("kind = 2")
-    items = n.select(F.col("lang").alias("request_id"), F.row_number().over(Window.partitionBy("lang").orderBy("id")).alias("ord"), F.lit("ast_chunk").alias("type"), "path", "symbol", F.array("line_start", "line_end").alias("lines"), "tokens", F.col("id").alias("node"), "content", F.col("id").endswith("3").alias("stable"))
+    # packs of the documents of a language among 100 numbers: more documents are more packs, not longer ones
+    n = n.withColumn("request_id", F.concat("lang", F.lit("/"), F.floor(F.substring("id", 2, 12).cast("long") / 100)))
+    items = n.select("request_id", F.row_number().over(Window.partitionBy("request_id").orderBy("id")).alias("ord"), F.lit("ast_chunk").alias("type"), "path", "symbol", F.array("line_start", "line_end").alias("lines"), "tokens", F.col("id").alias("node"), "content", F.col("id").endswith("3").alias("stable"))
     totals = items.groupBy("request_id").agg(F.sum("tokens").alias("selected_tokens")).withColumns({"saved_pct": F.lit(12.5), "hot_set_version": F.lit(3)})
     return items, totals
 
