@@ -4,8 +4,8 @@
   by aggregation and joined by hash on both keys, so one long conversation or one much-used identifier is no hot key.
 * Order. A call comes after the calls its arguments name (strings ``"$<call_id>"``). Where these stand earlier, as they mostly do,
   (turn, seq) is a topological order already; a call that names a later one takes over its place, one step behind, and so
-  on along chains, by joins over the affected calls alone until nothing moves. Calls further behind than their conversation
-  has affected calls lie on, or behind, a cycle and keep their own place. Positions are counted in ranges of turns.
+  on along chains. Of conversations in which some call names a later one the needs alone, ``EDGES`` at most, go to one task, whatever the length of their
+  chains; longer ones take joins over the affected calls until nothing moves. Calls on, or behind, a cycle keep their own place. Positions are counted in ranges of turns.
 * Arguments are checked against the tool's JSON schema (type, required, properties, additionalProperties, items, enum, minimum, maximum,
   minLength, maxLength, pattern).
 * JSON has sorted keys, no spaces, and no escapes but those that JSON requires.
@@ -20,10 +20,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loomctx.llm.stage import small_batches, written
+from loomctx.llm.stage import release, small_batches, written
 
 #: Turns whose calls are numbered by one task.
 RANGE = 256
+#: Needs of a conversation that one task puts in order; conversations with more take joins.
+EDGES = 200_000
 REFERENCE = r'"\$([^"\\]+)"'
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -98,28 +100,113 @@ def _serialise(schemas: dict[str, dict]):
     return kernel
 
 
-def _ordered(calls: DataFrame) -> DataFrame:
-    """calls with ``place`` (turn, seq, steps behind) and ``cyclic``."""
-    edges = calls.select("conv_id", "call_id", F.explode(F.array_distinct("needs")).alias("need"))
-    keys = calls.select("conv_id", "call_id", F.struct("turn", "seq", F.lit(0).alias("behind")).alias("place"))
-    edges = edges.join(keys.select("conv_id", F.col("call_id").alias("need")), ["conv_id", "need"])
-    late = edges.join(keys, ["conv_id", "call_id"]).join(keys.select("conv_id", F.col("call_id").alias("need"), F.col("place").alias("other")), ["conv_id", "need"])
-    moved = written(late.where("other >= place").groupBy("conv_id", "call_id").agg(F.max("other").alias("place")).select("conv_id", "call_id", F.struct("place.turn", "place.seq", (F.col("place.behind") + 1).alias("behind")).alias("place")), "moved")
-    front, rounds, most = moved, 0, 0
-    all_moved = moved
+def places(own: dict, needs: dict) -> dict:
+    """What moves of one conversation: call -> (turn, seq, behind), or None on or behind a cycle.
+
+    own: call -> (turn, seq); needs: call -> the calls that it names. A call stands behind the latest call that it rests on, by the longest way there. Groups of
+    calls that rest on each other are found first (Tarjan's search, without recursion), which gives the calls in an order of needs first, too. A
+    call for which the latest call that a circle makes endlessly far is the latest of all lies on, or behind, a cycle.
+    """
+    number, low, on, stack, at = {}, {}, set(), [], 0
+    best, endless = {}, {}
+    for root in own:
+        if root in number:
+            continue
+        walk = [(root, iter(needs.get(root, ())))]
+        number[root] = low[root] = at = at + 1
+        stack.append(root)
+        on.add(root)
+        while walk:
+            call, rest = walk[-1]
+            for need in rest:
+                if need not in number:
+                    number[need] = low[need] = at = at + 1
+                    stack.append(need)
+                    on.add(need)
+                    walk.append((need, iter(needs.get(need, ()))))
+                    break
+                if need in on:
+                    low[call] = min(low[call], number[need])
+            else:
+                walk.pop()
+                if walk:
+                    low[walk[-1][0]] = min(low[walk[-1][0]], low[call])
+                if low[call] == number[call]:
+                    group = set()
+                    while call not in group:
+                        group.add(stack.pop())
+                    on -= group
+                    outside = [n for c in group for n in needs.get(c, ()) if n not in group]
+                    ends = [endless[n] for n in outside if endless[n] is not None]
+                    if len(group) > 1 or call in needs.get(call, ()):
+                        ends += [best[n][:2] for n in outside] + [own[c] for c in group]
+                    far = max(ends, default=None)
+                    for c in group:
+                        endless[c] = far
+                        best[c] = max([(*own[c], 0), *((*best[n][:2], best[n][2] + 1) for n in needs.get(c, ()) if n not in group)])
+    found = {c: None if endless[c] is not None and endless[c] >= best[c][:2] else best[c] for c in own}
+    return {c: p for c, p in found.items() if p is None or p[2]}
+
+
+def _places(table: pa.Table) -> pa.Table:
+    """The edges of one conversation, at most ``EDGES``, to the calls that move."""
+    own, needs = {}, {}
+    conv, call, turn, seq, need, need_turn, need_seq = (table[c].to_pylist() for c in ("conv_id", "call_id", "turn", "seq", "need", "need_turn", "need_seq"))
+    for c, t, s, n, nt, ns in zip(call, turn, seq, need, need_turn, need_seq):
+        own[c], own[n] = (t, s), (nt, ns)
+        needs.setdefault(c, []).append(n)
+    rows = [(conv[0], c, *(p or (*own[c], 0)), p is None) for c, p in places(own, needs).items()]
+    return pa.Table.from_pylist([dict(zip(_MOVED.names, r)) for r in rows], schema=_MOVED)
+
+
+_MOVED = pa.schema([("conv_id", pa.int64()), ("call_id", pa.string()), ("turn", pa.int64()), ("seq", pa.int64()), ("behind", pa.int64()), ("cyclic", pa.bool_())])
+
+
+def _by_rounds(edges: DataFrame) -> DataFrame:
+    """The same for conversations of any length: a step of all chains in each round, until nothing moves."""
+    own = lambda t, s: F.struct(F.col(t).alias("turn"), F.col(s).alias("seq"), F.lit(0).cast("long").alias("behind"))
+    keys = edges.select("conv_id", "call_id", own("turn", "seq").alias("place"))
+    keys = keys.unionByName(edges.select("conv_id", F.col("need").alias("call_id"), own("need_turn", "need_seq").alias("place"))).distinct()
+    behind = F.struct("other.turn", "other.seq", (F.col("other.behind") + 1).alias("behind"))
+    late = edges.select("conv_id", "call_id", own("turn", "seq").alias("place"), own("need_turn", "need_seq").alias("other")).where("other >= place")
+    front = all_moved = written(late.groupBy("conv_id", "call_id").agg(F.max("other").alias("other")).select("conv_id", "call_id", behind.alias("place")), "moved")
+    rounds, most = 0, 0
     while not front.isEmpty() and rounds <= 2 * most + 2:
         # calls that need one which has moved, and would not come after it any more
         needed = front.select("conv_id", F.col("call_id").alias("need"), F.col("place").alias("other"))
-        users = edges.join(needed, ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.max("other").alias("other"))
+        users = edges.select("conv_id", "call_id", "need").join(needed, ["conv_id", "need"]).groupBy("conv_id", "call_id").agg(F.max("other").alias("other"))
         now = users.join(keys, ["conv_id", "call_id"]).join(all_moved.withColumnRenamed("place", "better"), ["conv_id", "call_id"], "left").withColumn("place", F.coalesce("better", "place"))
-        front = written(now.where("other >= place").select("conv_id", "call_id", F.struct("other.turn", "other.seq", (F.col("other.behind") + 1).alias("behind")).alias("place")), "moved")
-        all_moved = written(all_moved.unionByName(front).groupBy("conv_id", "call_id").agg(F.max("place").alias("place")), "moved")
+        step = written(now.where("other >= place").select("conv_id", "call_id", behind.alias("place")), "moved")
+        joined = written(all_moved.unionByName(step).groupBy("conv_id", "call_id").agg(F.max("place").alias("place")), "moved")
+        release(*{id(x): x for x in (front, all_moved)}.values())
+        front, all_moved = step, joined
         rounds, most = rounds + 1, all_moved.groupBy("conv_id").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     # no chain is longer than the calls that moved in its conversation; what is further behind goes round in a circle
-    stuck = all_moved.where(F.col("place.behind") > most).select("conv_id", "call_id", F.lit(True).alias("cyclic"))
-    out = calls.join(all_moved.withColumnRenamed("place", "better"), ["conv_id", "call_id"], "left").join(stuck, ["conv_id", "call_id"], "left")
-    own = F.struct("turn", "seq", F.lit(0).alias("behind"))
-    return out.withColumn("cyclic", F.coalesce("cyclic", F.lit(False))).withColumn("place", F.when(F.col("cyclic"), own).otherwise(F.coalesce("better", own))).drop("better")
+    return all_moved.select("conv_id", "call_id", "place.turn", "place.seq", "place.behind", (F.col("place.behind") > most).alias("cyclic"))
+
+
+def _ordered(calls: DataFrame, most: int = EDGES) -> DataFrame:
+    """calls with ``place`` (turn, seq, steps behind) and ``cyclic``."""
+    keys = calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"))
+    edges = calls.select("conv_id", "call_id", F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), F.explode(F.array_distinct("needs")).alias("need"))
+    edges = written(edges.join(keys.select("conv_id", F.col("call_id").alias("need"), F.col("turn").alias("need_turn"), F.col("seq").alias("need_seq")), ["conv_id", "need"]), "needs")
+    # where no call names a later one all stand right
+    late = F.struct("need_turn", "need_seq") >= F.struct(F.col("turn").alias("need_turn"), F.col("seq").alias("need_seq"))
+    sizes = written(edges.groupBy("conv_id").agg(F.count("*").alias("n"), F.bool_or(late).alias("late")).where("late").drop("late"), "late")
+    moved = None
+    if not sizes.isEmpty():
+        some = edges.join(sizes.where(F.col("n") <= most), "conv_id", "left_semi")
+        moved = some.groupBy("conv_id").applyInArrow(_places, "conv_id long, call_id string, turn long, seq long, behind long, cyclic boolean")
+        long = sizes.where(F.col("n") > most)
+        if not long.isEmpty():
+            moved = moved.unionByName(_by_rounds(edges.join(long, "conv_id", "left_semi")))
+        moved = written(moved, "moved")
+    own = F.struct(F.col("turn").cast("long").alias("turn"), F.col("seq").cast("long").alias("seq"), F.lit(0).cast("long").alias("behind"))
+    if moved is None:
+        return calls.withColumn("cyclic", F.lit(False)).withColumn("place", own)
+    better = moved.select("conv_id", "call_id", F.struct("turn", "seq", "behind").alias("better"), F.col("cyclic").alias("round"))
+    out = calls.join(better, ["conv_id", "call_id"], "left").withColumn("cyclic", F.coalesce("round", F.lit(False)))
+    return out.withColumn("place", F.when(F.col("cyclic"), own).otherwise(F.coalesce("better", own))).drop("better", "round")
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:

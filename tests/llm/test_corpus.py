@@ -301,3 +301,35 @@ def test_budgets_of_many_leaves_are_water_filling():
     low, high = max((got[k] - 1) / weights[k] for k in short), min((got[k] + 1) / weights[k] for k in short)
     assert low <= high  # one level fits all
     assert all(tokens[k] / weights[k] <= high for k in tokens if got[k] == tokens[k])
+
+
+def brute_places(own, needs):
+    """Places pushed along all needs until nothing moves, endless ones by their length; None on or behind a cycle."""
+    place = {c: (*k, 0) for c, k in own.items()}
+    for _ in range(3 * len(own) + 3):
+        for c, some in needs.items():
+            for n in some:
+                if place[n] >= place[c]:
+                    place[c] = (*place[n][:2], place[n][2] + 1)
+    return {c: None if p[2] > len(own) else p for c, p in place.items() if p[2]}
+
+
+def test_places_like_pushing_until_nothing_moves():
+    r = random.Random(8)
+    for _ in range(3000):
+        n = r.randint(1, 9)
+        own = {i: (r.randint(0, 5), r.randint(0, 1)) for i in range(n)}
+        needs = {i: r.sample(range(n), r.randint(0, min(2, n))) for i in range(n) if r.random() < r.choice([0.3, 0.9])}
+        assert toolcalls.places(own, needs) == brute_places(own, needs), (own, needs)
+
+
+def test_a_long_chain_of_calls_takes_one_task(spark):
+    n = 3000
+    rows = [(1, i, 0, f"c{i}", [f"c{i + 1}"] if i < n - 1 else []) for i in range(n)] + [(2, 0, 0, "a", ["b"]), (2, 1, 0, "b", ["a"]), (2, 2, 0, "d", ["b"]), (2, 0, 1, "e", ["b"]), (3, 0, 0, "x", []), (3, 1, 0, "y", ["x"])]
+    calls = spark.createDataFrame(rows, "conv_id long, turn long, seq int, call_id string, needs array<string>")
+    got = {(x["conv_id"], x["call_id"]): (tuple(x["place"]), x["cyclic"]) for x in toolcalls._ordered(calls).collect()}
+    assert all(got[1, f"c{i}"] == ((n - 1, 0, n - 1 - i), False) for i in range(n))
+    rest = {k: v for k, v in got.items() if k[0] > 1}
+    assert rest == {(2, "a"): ((0, 0, 0), True), (2, "b"): ((1, 0, 0), True), (2, "d"): ((2, 0, 0), False), (2, "e"): ((0, 1, 0), True), (3, "x"): ((0, 0, 0), False), (3, "y"): ((1, 0, 0), False)}
+    some = calls.where("conv_id > 1")
+    assert {(x["conv_id"], x["call_id"]): (tuple(x["place"]), x["cyclic"]) for x in toolcalls._ordered(some, 0).collect()} == rest
