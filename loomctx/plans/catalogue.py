@@ -12,7 +12,7 @@ from loomctx.functions import sections, tokens
 from loomctx.functions import text as T
 from loomctx.functions.parse import declarations
 from loomctx.operators import graph as G
-from loomctx.operators import hotset, index, lookup, maintain, pack, postings, render, report, search
+from loomctx.operators import hotset, index, lookup, maintain, pack, postings, ranks, render, report, search
 from loomctx.plans import adapters as A
 from loomctx.plans import pack_twin
 from loomctx.sources import files
@@ -304,6 +304,25 @@ def ag_centrality(spark, sf):
     return G.centrality(G.max_weight(A.graph_edges(spark, sf))).withColumn("centrality", F.round("centrality", 6))
 
 
+def _kept_ranks(spark, sf):
+    """Ranks of calls and of imports that point the wrong way round, then changed: those imports go, all other edges come."""
+    edges = G.stored(G.max_weight(A.graph_edges(spark, sf)))
+    ends = lambda e: e.select("src", "dst")
+    wrong = edges.where(F.col("kind") == S.IMPORTS).select(F.col("dst").alias("src"), F.concat(F.lit("old:"), "src").alias("dst"))
+    calls = F.col("kind") == S.CALLS
+    return ranks.changed(ranks.from_edges(ends(edges.where(calls)).unionByName(wrong)), ends(edges.where(~calls)), wrong)
+
+
+@query(f"{_DEG} SELECT id, degree, round(degree / (SELECT max(degree) FROM deg), 6) AS centrality FROM deg")
+def ag_centrality_kept(spark, sf):
+    return ranks.centrality(_kept_ranks(spark, sf)).withColumn("centrality", F.round("centrality", 6))
+
+
+@query(f"{_DEG} SELECT id, degree, round(degree / (SELECT max(degree) FROM deg), 6) AS centrality FROM deg ORDER BY degree DESC, id LIMIT 200")
+def so_most_central(spark, sf):
+    return ranks.most_central(_kept_ranks(spark, sf)).withColumn("centrality", F.round("centrality", 6))
+
+
 @query(
     f"""WITH RECURSIVE {A.DOC_NODES_SQL}, top AS (SELECT id, row_number() OVER (ORDER BY centrality DESC, tokens, id) AS k, 's' || substr(id, 2) AS member FROM chunks WHERE centrality > 0 QUALIFY k <= 200),
     fold(k, used, ids) AS (SELECT 0::BIGINT, 0::BIGINT, []::VARCHAR[] UNION ALL SELECT t.k, CASE WHEN used + 12 <= 600 AND len(ids) < 64 THEN used + 12 ELSE used END, CASE WHEN used + 12 <= 600 AND len(ids) < 64 THEN list_append(ids, t.member) ELSE ids END FROM fold f JOIN top t ON t.k = f.k + 1)
