@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 #: Our own tag of the content-address layout.
 HASH_TAG = "loom1"
 _WORD = r"[\p{L}\p{N}_]+"
+_SIGN = r"[^\p{L}\p{N}_]"
 
 
 def _c(x: Column | str) -> Column:
@@ -101,6 +102,21 @@ def words(text: Column | str) -> Column:
     return F.regexp_extract_all(_c(text), F.lit(f"({_WORD})"), F.lit(1))
 
 
+def words_after_sign(text: Column | str) -> Column:
+    """Words that do not begin the text, each with the character before it."""
+    return F.regexp_extract_all(_c(text), F.lit(f"({_SIGN}{_WORD})"), F.lit(1))
+
+
+def words_before_sign(text: Column | str) -> Column:
+    """Words that do not end the text, each with the character after it."""
+    return F.regexp_extract_all(_c(text), F.lit(f"({_WORD}{_SIGN})"), F.lit(1))
+
+
+def signs(text: Column | str) -> Column:
+    """Characters that are no letter, digit or underscore."""
+    return F.regexp_extract_all(_c(text), F.lit(f"({_SIGN})"), F.lit(1))
+
+
 def search_terms(query: Column | str) -> Column:
     return F.filter(words(query), lambda w: F.octet_length(w) >= 2)
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomctx import schema as S
-from loomctx.functions.text import contains_word, dirname, join_relative, short_name, words
+from loomctx.functions.text import contains_word, dirname, join_relative, short_name, signs, words, words_after_sign, words_before_sign
 from loomctx.session import shared_folder
 
 
@@ -101,21 +101,25 @@ def doc_mentions(docs: DataFrame, entries: DataFrame, per_doc: int = S.MENTIONS_
     """Edges from code to the documents that name it: names of four bytes or more, the first ``per_doc`` of a document by name.
 
     A name is there where it stands next to no letter, digit or underscore. Names of such characters alone are the words of a document. Of any other
-    name, as ``$scope`` or ``a->b``, all words stand in the document as words of their own: the longest, or without any the first character, finds
-    the documents in which the whole name is then looked for.
+    name, as ``$scope`` or ``a->b``, the longest word with the sign before it, or without one the longest with the sign after it, or without any word the first
+    character, stands in the document as well and finds the documents in which the whole name is then looked for. A document is read again once for
+    all names that it may have, in their order, until ``per_doc`` of them are found.
     """
     named = entries.select("id", short_name("symbol").alias("name")).where(F.octet_length("name") >= 4).groupBy("name").agg(F.min("id").alias("id"))
-    inside = F.array_sort(words("name"), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0))
-    named = named.withColumn("anchor", F.coalesce(F.get(inside, 0), F.substring("name", 1, 1))).withColumn("word", F.get(inside, 0).eqNullSafe(F.col("name")))
-    tokens = docs.select(F.col("id").alias("doc"), F.explode(F.array_distinct(words("content"))).alias("anchor"))
-    plain = tokens.join(named.where("word"), "anchor").select("doc", "id", "name")
+    named = named.withColumn("word", F.get(words("name"), 0).eqNullSafe(F.col("name")))
+    contents = docs.select(F.col("id").alias("doc"), "content")
+    found = contents.select("doc", F.explode(F.array_distinct(words("content"))).alias("name")).join(named.where("word"), "name").select("doc", "id", "name")
     odd = named.where("not word")
-    marks = docs.select(F.col("id").alias("doc"), F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"([^\p{L}\p{N}_])"), F.lit(1)))).alias("anchor"))
-    # only documents with some such name's anchor are read again
-    maybe = tokens.unionByName(marks).join(odd, "anchor").select("doc", "id", "name")
-    sure = maybe.join(docs.select(F.col("id").alias("doc"), "content"), "doc").where(contains_word("content", F.col("name"))).select("doc", "id", "name")
+    if not odd.isEmpty():
+        longest = lambda marked: F.get(F.array_sort(marked, lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).when(a > b, 1).otherwise(0)), 0)
+        odd = odd.withColumn("anchor", F.coalesce(longest(words_after_sign("name")), longest(words_before_sign("name")), F.substring("name", 1, 1)))
+        anchors = F.array_distinct(F.concat(words_after_sign("content"), words_before_sign("content"), signs("content")))
+        maybe = contents.select("doc", F.explode(anchors).alias("anchor")).join(odd, "anchor").groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("name", "id"))).alias("names"))
+        there = lambda n: F.contains("content", n["name"]) & contains_word("content", n["name"])
+        first = F.aggregate("names", F.slice("names", 1, 0), lambda acc, n: F.when(F.size(acc) >= per_doc, acc).when(there(n), F.concat(acc, F.array(n))).otherwise(acc))
+        found = found.unionByName(maybe.join(contents, "doc").select("doc", F.explode(first).alias("n")).select("doc", "n.id", "n.name"))
     order = Window.partitionBy("doc").orderBy("name")
-    kept = plain.unionByName(sure).withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_doc)
+    kept = found.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= per_doc)
     return kept.select(F.col("id").alias("src"), F.lit(S.MENTIONS).alias("kind"), F.col("doc").alias("dst"), F.lit(0.7).alias("weight"))
 
 
