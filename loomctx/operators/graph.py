@@ -83,15 +83,16 @@ def resolve_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
     """(path, module, target): the file that an import means, if the repository has it.
 
     Python takes the first candidate with a hit (of two the one in the same directory, else the shorter), TypeScript the first exact path, Java the
-    first candidate with exactly one hit. An import of the own file is none.
+    first candidate with exactly one hit. An import of the own file is none. Imports and files both grow, and their estimates don't count what explodes:
+    so none of them is sent whole through the driver to every executor.
     """
     candidates = import_candidates(imports.select("path", "module", "lang").distinct())
-    exact = candidates.where(F.col("lang").isin("typescript", "tsx")).join(files.select(F.col("path").alias("target")), F.col("candidate") == F.col("target"))
+    exact = candidates.where(F.col("lang").isin("typescript", "tsx")).join(files.select(F.col("path").alias("target")).hint("merge"), F.col("candidate") == F.col("target"))
     exact = exact.select("path", "module", "priority", "target", F.lit(0).alias("near"), F.lit(1).alias("nth"))
     others = candidates.where(~F.col("lang").isin("typescript", "tsx"))
-    hits = paths_matching(files, others.select(F.col("candidate").alias("suffix")), 2)
+    hits = paths_matching(files, others.select(F.col("candidate").alias("suffix")).hint("merge"), 2)
     hits = hits.withColumn("n", F.count("*").over(Window.partitionBy("suffix"))).select(F.col("suffix").alias("candidate"), F.col("path").alias("target"), "nth", "n")
-    suffix = others.join(hits, "candidate").where("lang = 'python' or n = 1")
+    suffix = others.join(hits.hint("merge"), "candidate").where("lang = 'python' or n = 1")
     suffix = suffix.select("path", "module", "priority", "target", F.when(F.col("target").startswith(dirname("path")), 0).otherwise(1).alias("near"), "nth")
     best = exact.unionByName(suffix).groupBy("path", "module").agg(F.min_by("target", F.struct("priority", "near", "nth")).alias("target"))
     return best.where("target != path")
