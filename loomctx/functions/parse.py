@@ -30,5 +30,6 @@ def _kernel(batches):
 
 
 def declarations(files: DataFrame) -> DataFrame:
-    """(path, decls, imports) of files (path, lang, text)."""
-    return files.select("path", "lang", "text").mapInArrow(_kernel, f"path string, decls array<{DECL}>, imports array<string>")
+    """(path, decls, imports) of files (path, lang, text). Small tables hold work for all cores, so files are dealt to four tasks for each, which AQE doesn't join again."""
+    dealt = files.select("path", "lang", "text").repartition(4 * files.sparkSession.sparkContext.defaultParallelism, "path")
+    return dealt.mapInArrow(_kernel, f"path string, decls array<{DECL}>, imports array<string>")
