@@ -34,8 +34,10 @@ def members(files: DataFrame) -> DataFrame:
 
 
 def node_changes(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(path, id, change): added or removed entries of a path; old and new: path, id."""
-    return old.join(new, ["path", "id"], "left_anti").withColumn("change", F.lit("removed")).unionByName(new.join(old, ["path", "id"], "left_anti").withColumn("change", F.lit("added")))
+    """(path, id, change): added or removed entries of a path; old and new: path, id. One aggregate over both: entries may repeat."""
+    both = old.select("path", "id", F.lit(True).alias("was")).unionByName(new.select("path", "id", F.lit(False).alias("was")))
+    sides = both.groupBy("path", "id").agg(F.min("was").alias("a"), F.max("was").alias("b"))
+    return sides.where("a = b").select("path", "id", F.when(F.col("a"), "removed").otherwise("added").alias("change"))
 
 
 def stale_ids(old: DataFrame, new: DataFrame) -> DataFrame:
