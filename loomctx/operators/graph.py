@@ -151,24 +151,25 @@ def neighbours(frontier: DataFrame, edges: DataFrame, kinds=S.WALK_KINDS) -> Dat
     return out.unionByName(back)
 
 
-def walk(seeds: DataFrame, edges: DataFrame, valid: DataFrame, priors, hops: int = 2, group: tuple[str, ...] = (), most: int | None = None, inside: DataFrame | None = None) -> DataFrame:
+def walk(seeds: DataFrame, edges: DataFrame, valid: DataFrame, priors, hops: int = 2, group: tuple[str, ...] = (), most: int | None = None, inside: DataFrame | None = None, sent: int = 300_000) -> DataFrame:
     """Nodes within ``hops`` of the seeds that aren't seeds: (id, hops, reason, source), the best edge for each.
 
     Among edges that reach a node in the same hop the one with the greater prior, lesser kind, forward direction and lesser source wins. ``valid`` lists
-    the ids that may be entered. With ``group`` columns in seeds every group walks for itself, all in the same jobs; a group whose
+    the ids that may be entered. A frontier of at most ``sent`` nodes goes to all edges, a larger one meets them by a shuffle. With ``group`` columns in seeds every group walks for itself, all in the same jobs; a group whose
     frontier has ``most`` nodes or more stops. ``inside`` (id, member) replaces nodes by their members, as files by their chunks.
     """
     keys = list(group)
     some = edges.where(F.col("kind").isin(*S.WALK_KINDS))
     end = lambda a, b, reverse: F.struct(F.col(a).alias("source"), F.col(b).alias("id"), F.lit(reverse).alias("reverse"))
     both = some.select("kind", F.explode(F.array(end("src", "dst", False), end("dst", "src", True))).alias("e")).select("e.source", "e.id", "kind", "e.reverse")
-    known = seeds.select(*keys, "id").distinct()
+    known = cut(seeds.select(*keys, "id").distinct())
     frontier, found = known, None
     for hop in range(1, hops + 1):
         if most is not None:
             n = F.count("*").over(Window.partitionBy(*keys)) if keys else F.count("*").over(Window.partitionBy(F.lit(0)))
             frontier = frontier.withColumn("n", n).where(F.col("n") < most).drop("n")
-        steps = frontier.select(*keys, F.col("id").alias("source")).join(both, "source")
+        start = frontier.select(*keys, F.col("id").alias("source"))
+        steps = both.join(F.broadcast(start) if start.count() <= sent else start, "source")
         if inside is not None:
             steps = steps.join(inside, "id", "left").withColumn("id", F.coalesce("member", "id")).drop("member")
         steps = steps.join(valid.select("id"), "id", "left_semi").join(known, [*keys, "id"], "left_anti")
