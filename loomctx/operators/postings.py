@@ -26,6 +26,8 @@ from loomctx.operators.search import B, K1, _body, fold, query_terms
 
 #: Postings of a block and documents of a shard, so that no term's postings are sorted in one task.
 BLOCK, SHARD = 128, 250_000
+#: Bytes of text that a task splits and postings that a task sorts: more documents are more tasks, not larger ones.
+TEXT, POSTS = 4 << 20, 1_000_000
 #: Folders of a batch by term.
 BUCKETS = 16
 #: Document length at which impacts are compared when postings are sorted; bounds don't depend on it.
@@ -67,18 +69,22 @@ def bucket(number):
 
 def forward(docs: DataFrame, id_col: str, *texts: str) -> DataFrame:
     """(id, dl, terms, codes, tfs) of documents with any word; ids are unique. Only texts are shuffled, and once."""
-    found = docs.select(F.col(id_col).alias("id"), _body(texts).alias("text")).repartition("id").select("id", words(fold(F.col("text"))).alias("w"))
+    bodies = docs.select(F.col(id_col).alias("id"), _body(texts).alias("text"))
+    size = bodies.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    found = bodies.repartition(max(1, -(-size // TEXT)), "id").select("id", words(fold(F.col("text"))).alias("w"))
     counted = found.select("id", F.size("w").cast("long").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
     listed = counted.groupBy("id", "dl").agg(F.array_sort(F.collect_list(F.struct(code("term").alias("code"), "term", "tf"))).alias("t"))
     return listed.select("id", "dl", F.col("t.term").alias("terms"), F.col("t.code").alias("codes"), F.col("t.tf").alias("tfs"))
 
 
-def blocks(listed: DataFrame, shards: int = 1) -> DataFrame:
-    """Blocks of these documents' postings; equal impacts go by id."""
+def blocks(listed: DataFrame) -> DataFrame:
+    """Blocks of these documents' postings, dealt by ranges of terms; equal impacts go by id."""
+    docs, n = listed.agg(F.count("*"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    shards, tasks = max(1, -(-docs // SHARD)), max(1, -(-n // POSTS))
     posts = listed.select("id", "dl", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"), F.explode(F.arrays_zip("terms", "tfs")).alias("t"))
     posts = posts.select("shard", bucket(code("t.terms")).alias("bucket"), F.col("t.terms").alias("term"), "id", F.col("t.tfs").alias("tf"), "dl")
     order = Window.partitionBy("shard", "bucket", "term").orderBy((K1 * (1 - B) + K1 * B / PIVOT * F.col("dl")) / F.col("tf"), "id")
-    placed = posts.repartition("shard", "bucket").withColumn("k", F.row_number().over(order)).withColumn("block", F.floor((F.col("k") - 1) / BLOCK))
+    placed = posts.repartitionByRange(tasks, "shard", "bucket", "term").withColumn("k", F.row_number().over(order)).withColumn("block", F.floor((F.col("k") - 1) / BLOCK))
     row = F.struct("id", "tf", "dl")
     made = placed.groupBy("shard", "bucket", "term", "block").agg(F.count("*").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.array_sort(F.collect_list(F.struct("k", row.alias("p")))).alias("ps"))
     return made.select("bucket", "term", "shard", "block", "n", "max_tf", "min_dl", F.col("ps.p").alias("postings"))
@@ -95,7 +101,7 @@ def _stats(listed: DataFrame, sign: int = 1) -> DataFrame:
 def build(docs: DataFrame, id_col: str, *texts: str) -> Index:
     """An index for the use of one session."""
     listed = stored(forward(docs, id_col, *texts))
-    made = stored(blocks(listed, max(1, -(-listed.count() // SHARD))))
+    made = stored(blocks(listed))
     counts = made.groupBy("bucket", "term").agg(F.sum("n").alias("df"))
     return Index(listed, made.withColumn("batch", F.lit(0).cast("long")), counts, _stats(listed))
 
@@ -138,7 +144,7 @@ def write_batch(spark: SparkSession, path: str, batch: int, docs: DataFrame, id_
     listed = spark.read.schema(SCHEMAS["forward"].format(id=id_type)).parquet(folder("forward"))
     lost = spark.read.schema(SCHEMAS["gone"].format(id=id_type)).parquet(folder("gone")).select("id", F.col("of").alias("batch"))
     lost = _read(spark, path, "forward", id_type, 0, batch - 1).join(lost, ["id", "batch"], "left_semi")
-    made = blocks(listed, max(1, -(-listed.count() // SHARD)))
+    made = blocks(listed)
     made.write.mode("overwrite").partitionBy("bucket").parquet(folder("blocks"))
     counts = _df(listed).unionByName(_df(lost, -1)).groupBy("bucket", "term").agg(F.sum("df").alias("df")).where("df != 0")
     counts.repartition("bucket").sortWithinPartitions("term").write.mode("overwrite").partitionBy("bucket").parquet(folder("df"))

@@ -4,6 +4,8 @@ import re
 
 import pytest
 
+from pyspark.sql import functions as F
+
 from loomctx.functions.parse import declarations
 from loomctx.operators import graph, maintain, pack
 from loomctx.plans import catalogue
@@ -37,3 +39,17 @@ def test_walk_of_sent_and_shuffled_frontiers(spark):
     seeds, valid = spark.createDataFrame([("n3",), ("n10",)], "id string"), spark.createDataFrame([(f"n{i}",) for i in range(48)], "id string")
     rows = [sorted(map(tuple, graph.walk(seeds, edges, valid, pack.default_prior, sent=n).collect())) for n in (0, 1000)]
     assert rows[0] == rows[1] and len(rows[0]) > 3
+
+
+def test_more_postings_are_more_tasks(spark, monkeypatch):
+    """Tasks that split texts and sort postings hold a bounded number of them; before, the session's partitions and a shard's 16 buckets had all."""
+    from loomctx.operators import postings
+
+    monkeypatch.setattr(postings, "TEXT", 2000)
+    monkeypatch.setattr(postings, "POSTS", 300)
+    docs = spark.createDataFrame([(i, " ".join(f"w{i * j % 97}" for j in range(40))) for i in range(300)], "id long, text string")
+    listed = graph.stored(postings.forward(docs, "id", "text"))
+    made = graph.stored(postings.blocks(listed))
+    sizes = [r["n"] for r in made.groupBy(F.input_file_name()).agg(F.sum("n").alias("n")).collect()]
+    assert len(sizes) > 8 and max(sizes) <= 1200 and sum(sizes) == listed.agg(F.sum(F.size("terms"))).first()[0]
+    assert listed.select(F.input_file_name()).distinct().count() > 8
