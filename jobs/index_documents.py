@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from jobs.settings import settings
 from loomctx.operators import postings
+from loomctx.operators.graph import stored
 
 CONFIG = os.path.join(os.path.dirname(os.path.abspath(__file__)), "index_documents.json")
 SETTINGS = {"documents": str, "index": str, "checkpoint": str, "id_column": str, "text_column": str, "files_per_batch": int}
@@ -33,7 +34,8 @@ def run(spark: SparkSession, documents: str, index: str, checkpoint: str, id_col
 
     def take(rows: DataFrame, batch: int) -> None:
         rows = rows.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-        known = rows.where("id is not null").groupBy("id").agg(F.max("text").alias("text"))
+        # written once, as it is read several times below and its texts would be shuffled each time
+        known = stored(rows.where("id is not null").groupBy("id").agg(F.max("text").alias("text")))
         present, absent = known.where("text is not null"), known.where("text is null").select("id")
         postings.write_batch(spark, index, batch, present, "id", "text", deleted=absent)
         counts = rows.agg(F.count("*").alias("read"), F.count_if(F.col("id").isNull()).alias("without_id")).first()
