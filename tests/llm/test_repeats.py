@@ -114,6 +114,30 @@ def test_widely_shared_passages(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in repeated_bytes(df).collect()} == brute_bytes(texts, 400)
 
 
+def test_copies_of_hot_anchors_meet_no_counts(spark, monkeypatch):
+    """Of a hot anchor's rows only a few for each content go on to be joined with counts, however many copies there are; texts are joined alike at any size."""
+    from loomctx.llm import segments
+
+    monkeypatch.setattr(segments, "HOT_ROWS", 4)
+    monkeypatch.setattr(segments, "PARTS", 2)
+    write, led = segments.written, []
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "leads":
+            led.append((out.count(), out.select("anchor", "content").distinct().count()))
+        return out
+
+    monkeypatch.setattr(segments, "written", counted)
+    passage = " ".join(f"p{i}" for i in range(150))
+    texts = {i: passage if i % 4 else f"{i} {passage}" for i in range(160)}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    out = repeated_bytes(df)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()} == brute_bytes(texts, 400)
+    assert len(led) == 1 and 0 < led[0][0] <= 2 * led[0][1]
+    assert "strategy=merge" in out._jdf.queryExecution().analyzed().toString()
+
+
 @pytest.mark.parametrize("words", [12, 18, 70, 150])
 def test_crowded_passages(spark, monkeypatch, words):
     """The same result where an anchor's contents are too many for one task, down to whole windows as keys; hot anchors or not."""
