@@ -12,6 +12,10 @@ from loomctx.functions.text import contains_word, dirname, join_relative, short_
 from loomctx.session import shared_folder
 
 
+#: Rows of a few columns that may go to every task.
+SENT = 300_000
+
+
 def max_weight(edges: DataFrame) -> DataFrame:
     """One edge for each (src, kind, dst), the heaviest."""
     return edges.groupBy("src", "kind", "dst").agg(F.max("weight").alias("weight"))
@@ -215,6 +219,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def sent(rows: DataFrame, most: int = SENT) -> DataFrame:
+    """``rows``, which are counted and so should be kept, as a side that goes to every task if they are ``most`` at most, else as they are."""
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
 def stored(df: DataFrame) -> DataFrame:
     """As ``cut``, but as a Parquet table, of which later steps read the columns they need."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -53,3 +53,17 @@ def test_more_postings_are_more_tasks(spark, monkeypatch):
     sizes = [r["n"] for r in made.groupBy(F.input_file_name()).agg(F.sum("n").alias("n")).collect()]
     assert len(sizes) > 8 and max(sizes) <= 1200 and sum(sizes) == listed.agg(F.sum(F.size("terms"))).first()[0]
     assert listed.select(F.input_file_name()).distinct().count() > 8
+
+
+def test_budgets_share_one_gathering(spark, monkeypatch):
+    """Packs under several budgets are selected from candidates gathered once, and are those of each budget alone."""
+    from loomctx.plans import adapters
+
+    documents = spark.createDataFrame([(i, f"alpha beta{i % 3} gamma{i % 5} delta " * (5 + i), "en", "s") for i in range(12)], "doc_id long, text string, lang string, source string")
+    items = spark.createDataFrame([(1, "alpha beta1 gamma2"), (2, "delta doc_3 beta2")], "item_id long, text string")
+    calls, gather = [], pack.gather
+    monkeypatch.setattr(pack, "gather", lambda *a, **b: calls.append(1) or gather(*a, **b))
+    rows = lambda found: sorted(map(tuple, found.select("request_id", "ord", "node", "score").collect()))
+    both = [rows(found) for found, _ in adapters.document_packs(documents, items, 60, 400)]
+    assert len(calls) == 1 and len(both[0]) < len(both[1])
+    assert [rows(adapters.document_packs(documents, items, b)[0][0]) for b in (60, 400)] == both
