@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from loomctx.functions.text import words
-from loomctx.operators.graph import stored
+from loomctx.operators.graph import sent, stored
 from loomctx.operators.search import B, K1, _body, fold, query_terms
 
 #: Postings of a block and documents of a shard, so that no term's postings are sorted in one task.
@@ -187,7 +187,8 @@ def _sums(k1: float, b: float, mean: float):
 def _scored(pairs: DataFrame, asked: DataFrame, index: Index, mean: float, clash: bool) -> DataFrame:
     """``pairs`` (query_id, id) with their whole scores, from the documents' terms: by codes, by the terms where codes clash."""
     key = "terms" if clash else "codes"
-    found = pairs.join(index.forward.select("id", "dl", key, "tfs"), "id").join(asked.select("query_id", f"q_{key}", "q_weights"), "query_id")
+    # a few documents of each query: their ids go to the documents' terms, not the terms of all documents to them
+    found = sent(stored(pairs)).join(index.forward.select("id", "dl", key, "tfs"), "id").join(asked.select("query_id", f"q_{key}", "q_weights"), "query_id")
     if clash:
         at = lambda values, keys, t: F.element_at(values, F.array_position(F.col(keys), t).cast("int"))
         parts = F.transform(F.array_intersect("terms", "q_terms"), lambda t: F.struct(at("q_weights", "q_terms", t).alias("w"), at("tfs", "terms", t).alias("tf")))
@@ -237,17 +238,20 @@ def top_hits(index: Index, queries: DataFrame, k: int, counts: dict[str, DataFra
     # one array for each query, as long as the query
     asked = terms.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("term", "code", "w"))).alias("q"))
     asked = asked.select("query_id", F.col("q.term").alias("q_terms"), F.col("q.code").alias("q_codes"), F.col("q.w").alias("q_weights"))
-    heads = index.blocks.select("bucket", "term", "batch", "shard", "block", "max_tf", "min_dl")
+    heads = index.blocks.select("bucket", "term", "batch", "shard", "block", "n", "max_tf", "min_dl")
     bound = F.col("w") * F.col("max_tf") / (F.col("max_tf") + length_of(F.col("min_dl")))
-    heads = stored(terms.join(heads, ["bucket", "term"]).select("query_id", "bucket", "term", "w", "batch", "shard", "block", bound.alias("bound")))
+    heads = stored(terms.join(heads, ["bucket", "term"]).select("query_id", "bucket", "term", "w", "batch", "shard", "block", "n", bound.alias("bound")))
     lists = heads.groupBy("query_id", "term").agg(F.max("bound").alias("top"))
     lighter = Window.partitionBy("query_id").orderBy("top", "term")
     lists = lists.withColumn("below", F.coalesce(F.sum("top").over(lighter.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
     lists = stored(lists.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("top"), F.desc("term")))))
-    bodies = index.blocks.select("bucket", "term", "batch", "shard", "block", "postings")
+    place = ["bucket", "term", "batch", "shard", "block"]
+    bodies = index.blocks.join(sent(terms.select("bucket", "term").distinct()), ["bucket", "term"], "left_semi").select(*place, "postings")
 
     def opened(some: DataFrame, *more: str) -> DataFrame:
-        rows = some.join(bodies, ["bucket", "term", "batch", "shard", "block"]).select("query_id", "w", "batch", *more, F.explode("postings").alias("p"))
+        """Postings of these blocks, about ``POSTS`` to a task, so that no task's sums grow with the index."""
+        tasks = max(1, -(-(some.agg(F.sum("n")).first()[0] or 0) // POSTS))
+        rows = some.drop("n").repartition(tasks, *place).hint("merge").join(bodies.repartition(tasks, *place), place).select("query_id", "w", "batch", *more, F.explode("postings").alias("p"))
         return _live(rows.select("query_id", "batch", *more, "p.id", (F.col("w") * F.col("p.tf") / (F.col("p.tf") + length_of(F.col("p.dl")))).alias("part")), index)
 
     first = heads.where("block = 0").join(lists.where(F.col("place") <= PROBED_TERMS).select("query_id", "term"), ["query_id", "term"], "left_semi")

@@ -102,3 +102,17 @@ def test_pruned_search_scores_few_and_loses_none(spark):
         assert [round(s, 5) for _, s in got[q]] == pytest.approx([-s for s, _ in scores], abs=3e-5)
     scored = counts["scored"].agg(F.sum("n")).first()[0]
     assert scored * 10 < len(everything)
+
+
+def test_opened_postings_are_dealt_by_their_number(spark, monkeypatch):
+    """A task opens about ``POSTS`` postings, however few files hold their blocks, with the same hits."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 7}" for k in range(1, 9))) for i in range(300)], "id long, text string")
+    queries = spark.createDataFrame([(1, "w1 w2 w3"), (2, "w4 w0"), (3, "w5 w6 w1")], "query_id long, query string")
+    index = P.build(docs, "id", "text")
+    want = sorted(map(tuple, P.top_hits(index, queries, 20).collect()))
+    monkeypatch.setattr(P, "POSTS", 40)
+    counts = {}
+    assert sorted(map(tuple, P.top_hits(index, queries, 20, counts).collect())) == want
+    tasks = [int(n) for n in re.findall(r"RepartitionByExpression \[.*\], (\d+)", counts["read"]._jdf.queryExecution().analyzed().toString())]
+    read = counts["read"].agg({"n": "sum"}).first()[0]
+    assert read > 40 and tasks and set(tasks) == {-(-read // 40)}
