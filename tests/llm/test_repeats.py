@@ -138,6 +138,23 @@ def test_copies_of_hot_anchors_meet_no_counts(spark, monkeypatch):
     assert "strategy=merge" in out._jdf.queryExecution().analyzed().toString()
 
 
+@pytest.mark.parametrize("crowd", [3, 1000])
+def test_texts_are_joined_alike_crowded_or_not(spark, monkeypatch, crowd):
+    """The segments to compare are written before the result is made, which reads the texts once, whether an anchor is crowded or not."""
+    from loomctx.llm import segments
+
+    monkeypatch.setattr(segments, "CROWD", crowd)
+    write, names = segments.written, []
+    monkeypatch.setattr(segments, "written", lambda df, name: names.append(name) or write(df, name))
+    passage = " ".join(f"p{i}" for i in range(150))
+    texts = {i: f"{'ab'[i % 2] * (i % 5)} a{i} {passage} b{i}" for i in range(40)}
+    out = repeated_bytes(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    leaves = out._jdf.queryExecution().optimizedPlan().collectLeaves()
+    assert [leaves.apply(i).toString().count("text#") for i in range(leaves.size()) if "text#" in leaves.apply(i).toString()] == [1]
+    assert "cut" in names and any(n.startswith("fine-") for n in names) == (crowd == 3)
+    assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in out.collect()} == brute_bytes(texts, 400)
+
+
 @pytest.mark.parametrize("words", [12, 18, 70, 150])
 def test_crowded_passages(spark, monkeypatch, words):
     """The same result where an anchor's contents are too many for one task, down to whole windows as keys; hot anchors or not."""
