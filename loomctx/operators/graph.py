@@ -173,13 +173,21 @@ def walk(seeds: DataFrame, edges: DataFrame, valid: DataFrame, priors, hops: int
             n = F.count("*").over(Window.partitionBy(*keys)) if keys else F.count("*").over(Window.partitionBy(F.lit(0)))
             frontier = frontier.withColumn("n", n).where(F.col("n") < most).drop("n")
         start = frontier.select(*keys, F.col("id").alias("source"))
-        steps = both.join(F.broadcast(start) if start.count() <= sent else start, "source")
+        near = F.broadcast if start.count() <= sent else lambda rows: rows
+        # edges of the frontiers of all groups, once for all of them
+        steps = both.join(near(start.select("source").distinct() if keys else start), "source")
         if inside is not None:
             steps = steps.join(inside, "id", "left").withColumn("id", F.coalesce("member", "id")).drop("member")
-        steps = steps.join(valid.select("id"), "id", "left_semi").join(known, [*keys, "id"], "left_anti")
-        steps = steps.withColumn("reason", reasons(F.col("kind"), F.col("reverse")))
-        best = steps.groupBy(*keys, "id").agg(F.min_by(F.struct("reason", "source"), F.struct((-priors(F.col("reason"))).alias("p"), "kind", "reverse", "source")).alias("b"))
-        level = cut(best.select(*keys, "id", F.lit(hop).alias("hops"), "b.reason", "b.source"))
+        steps = steps.join(valid.select("id"), "id", "left_semi").withColumn("reason", reasons(F.col("kind"), F.col("reverse")))
+        order = [(-priors(F.col("reason"))).alias("p"), F.col("kind"), F.col("reverse"), F.col("source")]
+        if keys:
+            # groups prefer alike, so the steps to a node are numbered once and a group takes the least number of its own
+            steps = cut(steps.withColumn("nth", F.row_number().over(Window.partitionBy("id").orderBy(*order))).select("id", "nth", "source", "reason"))
+            least = steps.select("id", "nth", "source").join(near(start), "source").groupBy(*keys, "id").agg(F.min("nth").alias("nth"))
+            best = least.join(known, [*keys, "id"], "left_anti").join(steps, ["id", "nth"])
+        else:
+            best = steps.join(known, "id", "left_anti").groupBy("id").agg(F.min_by(F.struct("reason", "source"), F.struct(*order)).alias("b")).select("id", "b.*")
+        level = cut(best.select(*keys, "id", F.lit(hop).alias("hops"), "reason", "source"))
         found = level if found is None else found.unionByName(level)
         frontier = level.select(*keys, "id")
         known = known.unionByName(frontier)
